@@ -100,18 +100,19 @@ def _native_windows(v):
     field = composites.prepare_field(v.field.where(F.col("variable").isin("T", "Q")), levels=[500])
     matched = composites.with_centres(events, v.location).withColumn("time", F.col("event_time"))
     matched = composites.asof_nearest(matched, v.axis).drop("time")
-    boxes = composites.join_event_boxes(field, matched, WINDOW.half_lat, WINDOW.half_lon)
+    few = composites.few_boxes(v.event_daily, WINDOW.half_lat, WINDOW.half_lon)
+    boxes = composites.join_event_boxes(field, matched, WINDOW.half_lat, WINDOW.half_lon, few=few)
     return composites.relative_positions(boxes, field.select("lat", "lon"), WINDOW.half_lat, WINDOW.half_lon)
 
 
 @query("x09_cluster_events")
 def cluster_events(v):
-    return clustering.cluster_events(_native_windows(v), "1-URGENT", WINDOW, 55, "T", 500, "Q", 500)
+    return clustering.cluster_events(_native_windows(v), "1-URGENT", WINDOW, 2, "T", 500, "Q", 500)
 
 
 @query("x10_cluster_pooled")
 def cluster_pooled(v):
-    return clustering.cluster_events(_native_windows(v), None, WINDOW, 55, "T", 500, "Q", 500)
+    return clustering.cluster_events(_native_windows(v), None, WINDOW, 5, "T", 500, "Q", 500)
 
 
 @query("x11_cluster_averages", f"""

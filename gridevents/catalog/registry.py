@@ -25,11 +25,15 @@ def query(name: str, sql: str | None = None):
 
 
 def r6(column: str | Column, name: str | None = None) -> Column:
-    """Rounded to six places, without negative zero."""
+    """Rounded to six places, without negative zero.
+
+    The small shift moves exact halves off the rounding edge, where the last bit
+    of a sum would decide.
+    """
     col = F.col(column) if isinstance(column, str) else column
-    return (F.round(col, 6) + F.lit(0.0)).alias(name or column)
+    return (F.round(col + F.lit(1e-9), 6) + F.lit(0.0)).alias(name or column)
 
 
 def s6(expression: str) -> str:
     """The same in SQL."""
-    return f"(round({expression}, 6) + 0.0)"
+    return f"(round({expression} + 1e-9, 6) + 0.0)"

@@ -38,7 +38,7 @@ def before_colon(token: Column) -> Column:
 
 def comma_list(text: Column) -> Column:
     """Comma text as an array of trimmed items."""
-    return F.transform(F.split(text, ","), F.trim)
+    return F.transform(F.split(text, ","), lambda item: F.trim(item))
 
 
 def bracket_list(items: Column) -> Column:

@@ -6,8 +6,10 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, functions as F
 
+from gridevents.functions.geo import grid_step
+from gridevents.operators.axes import axis_origin_and_step
 from gridevents.operators.joins import lookup_join, with_group_stats
-from gridevents.operators.ordering import axis_positions, coordinate_index, running_position
+from gridevents.operators.ordering import axis_positions, running_totals
 from gridevents.operators.stats import block_of
 
 #: Blocks of the first dimension that are numbered together.
@@ -18,14 +20,23 @@ def with_chunks(field: DataFrame, sizes: Mapping[str, int]) -> DataFrame:
     """Add ``chunk_<dim>``, the block number of each row along the chunked dimensions.
 
     ``sizes`` maps dimension to block length, e.g. ``{"time": 6, "level": 1}``.
-    Positions come from the distinct axis values only.
+    Stamps get their position by a join with the time axis.  Levels are few and
+    uneven: their sorted list is one value.  Latitude and longitude are regular,
+    so their position is arithmetic.
     """
     out = field
     for dim, size in sizes.items():
-        axis = axis_positions(field) if dim == "time" else coordinate_index(field, dim)
-        numbered = axis.select(dim, F.floor(F.col("pos") / size).cast("long").alias(f"chunk_{dim}"))
-        spread = [c for c in field.columns if c != dim]
-        out = lookup_join(out, numbered, [dim], spread)
+        if dim == "time":
+            axis = axis_positions(field)
+            out = lookup_join(out, axis, ["time"], [c for c in field.columns if c != "time"])
+        elif dim == "level":
+            listed = field.agg(F.sort_array(F.collect_set("level"))).scalar()
+            out = out.withColumn("pos", F.array_position(listed, F.col("level")) - 1)
+        else:
+            facts = axis_origin_and_step(field, dim).select(F.struct("origin", "step").alias("f")).scalar()
+            out = out.withColumn("_axis", facts)
+            out = out.withColumn("pos", grid_step(F.col(dim), F.col("_axis.origin"), F.col("_axis.step"))).drop("_axis")
+        out = out.withColumn(f"chunk_{dim}", F.floor(F.col("pos") / size).cast("long")).drop("pos")
     return out
 
 
@@ -41,10 +52,9 @@ def chunk_table(chunked: DataFrame, dims: list[str], counter: int = 0) -> DataFr
         F.min("time").alias("first_time"), F.max("time").alias("last_time"))
     # Counted in levels, like every ordinal here: runs of blocks, then blocks.
     runs = blocks.withColumn("_run", F.floor(F.col(keys[0]) / BLOCK_RUN))
-    levels, fine = ["_run", keys[0]], keys[1:] or keys[:1]
-    numbered = running_position(runs, [], levels, fine, "chunk_id")
-    ahead = running_position(numbered, [], levels, fine, "offset", "n_times")
-    return ahead.withColumn("chunk_id", F.col("chunk_id") + counter).drop("_run")
+    totals = {"chunk_id": None, "offset": "n_times"}
+    numbered = running_totals(runs, [], ["_run", keys[0]], keys[1:] or keys[:1], totals)
+    return numbered.withColumn("chunk_id", F.col("chunk_id") + counter).drop("_run")
 
 
 def with_group_size(df: DataFrame, keys: list[str], spread: list[str], name: str = "n_rows") -> DataFrame:

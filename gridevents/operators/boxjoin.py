@@ -7,11 +7,16 @@ the box test drops what the tile lets through.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridevents.functions.geo import tile, tiles_covering
 from gridevents.operators.joins import BROADCAST_ROWS, equi_join, fits, lookup_join
 
+#: Tile edge in degrees.
+TILE = 10.0
+
 #: Boxes on one (time, tile) that one task serves before the tile is split.
 BOXES_PER_TASK = 10_000
 
@@ -54,12 +59,30 @@ def centred_boxes(events: DataFrame, half_lat: float, half_lon: float,
                   .withColumn("lon_lo", F.col(lon) - half_lon).withColumn("lon_hi", F.col(lon) + half_lon))
 
 
+def tiles_per_box(half_lat: float, half_lon: float, size: float) -> int:
+    """Most tiles that one box can touch."""
+    return (math.ceil(2 * half_lat / size) + 1) * (math.ceil(2 * half_lon / size) + 1)
+
+
+def few_boxes(events: DataFrame, half_lat: float, half_lon: float, per_event: int = 1,
+              tile_size: float = TILE, max_rows: int = BROADCAST_ROWS) -> bool:
+    """True when the boxes of ``events`` surely fit the broadcast bound.
+
+    Counts the bare events, before any time join; ``per_event`` is the number of
+    boxes each of them becomes (its lags).
+    """
+    return fits(events, max_rows // (per_event * tiles_per_box(half_lat, half_lon, tile_size)))
+
+
 def join_event_boxes(field: DataFrame, events: DataFrame, half_lat: float, half_lon: float,
-                     tile_size: float = 10.0, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+                     tile_size: float = TILE, few: bool | None = None,
+                     max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Field cells at each event's ``matched_time`` inside the box around its centre.
 
     ``events`` carries ``matched_time``, ``centre_lat``, ``centre_lon``.  The
     time equality comes first, so only the stamps of events are looked at.
+    ``few`` is a size check already made (see ``few_boxes``); without it the
+    boxes are counted here.
 
     * Few events (counted): their tiles are broadcast and the field is not
       shuffled at all.
@@ -72,7 +95,7 @@ def join_event_boxes(field: DataFrame, events: DataFrame, half_lat: float, half_
     boxes = box_tiles(centred_boxes(events, half_lat, half_lon), tile_size) \
         .withColumnRenamed("matched_time", "_t")
     cells = cell_tiles(field, tile_size).withColumnRenamed("time", "_t")
-    if fits(boxes, max_rows):
+    if few if few is not None else fits(boxes, max_rows):
         joined = equi_join(cells, boxes, key, hint=True)
     else:
         parts = F.ceil(F.count(F.lit(1)) / F.lit(BOXES_PER_TASK)).cast("long")

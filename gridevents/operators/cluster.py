@@ -105,15 +105,20 @@ def sweep(df: DataFrame, ks: Sequence[int] = tuple(K_RANGE), seed: int = 0,
 
     The loop is over the few k only; every fit and score is a distributed job on
     the vector table, which is written once so that each job reads the same rows.
+    A k above the number of different vectors has no clustering and is left out.
     """
     table = written(df.select(features), "vectors")
+    different = table.distinct().limit(max(ks)).count()
     scores = [(int(k), float(silhouette_score(fit_kmeans(table, k, seed, features).transform(table), features)))
-              for k in ks]
+              for k in ks if k <= different]
     return df.sparkSession.createDataFrame(scores, "k int, score double")
 
 
 def choose_k(scores: DataFrame) -> int:
-    return best_k(scores).first()["k"]
+    best = best_k(scores).first()
+    if best is None:
+        raise ValueError("the vectors are all alike: nothing to cluster")
+    return best["k"]
 
 
 def fit_predict(df: DataFrame, k: int, seed: int = 0, features: str = "features") -> DataFrame:

@@ -9,9 +9,9 @@ the calendar and the grid, not by the amount of data.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gridevents.operators.joins import equi_join
 
@@ -19,24 +19,41 @@ from gridevents.operators.joins import equi_join
 COPY_BLOCK = 100_000
 
 
+def _size(weight: str | None) -> Column:
+    return F.lit(1) if weight is None else F.col(weight)
+
+
 def bucket_offsets(df: DataFrame, group: Sequence[str], levels: Sequence[str],
-                   weight: str | None = None) -> DataFrame:
-    """Rows that precede each bucket: one row per (group, levels), column ``_start``."""
-    size = F.sum(weight) if weight else F.count(F.lit(1))
-    buckets = df.groupBy(*group, *levels).agg(size.cast("long").alias("_n"))
-    start = F.lit(0).cast("long")
+                   totals: Mapping[str, str | None]) -> DataFrame:
+    """What precedes each bucket: one row per (group, levels), a column ``_ahead_<name>`` per total."""
+    names = list(totals)
+    buckets = df.groupBy(*group, *levels).agg(*[F.sum(_size(w)).cast("long").alias(f"_n_{n}") for n, w in totals.items()])
     out = buckets
     for depth in range(len(levels), 0, -1):
         keys = [*group, *levels[:depth]]
-        outer = [*group, *levels[:depth - 1]]
-        sizes = buckets if depth == len(levels) else buckets.groupBy(*keys).agg(F.sum("_n").alias("_n"))
-        before = (W.partitionBy(*outer).orderBy(levels[depth - 1])
-                  .rowsBetween(W.unboundedPreceding, -1))
-        name = f"_before{depth}"
-        ahead = sizes.withColumn(name, F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long")).drop("_n")
-        out = ahead if depth == len(levels) else equi_join(out, ahead, keys)
-        start = start + F.col(name)
-    return out.select(*group, *levels, start.alias("_start"))
+        before = (W.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(W.unboundedPreceding, -1))
+        innermost = depth == len(levels)
+        sizes = buckets if innermost else buckets.groupBy(*keys).agg(*[F.sum(f"_n_{n}").alias(f"_n_{n}") for n in names])
+        ahead = sizes.select(*keys, *[F.coalesce(F.sum(f"_n_{n}").over(before), F.lit(0)).alias(f"_b{depth}_{n}")
+                                      for n in names])
+        out = ahead if innermost else equi_join(out, ahead, keys)
+    summed = [sum((F.col(f"_b{d}_{n}") for d in range(1, len(levels) + 1)), F.lit(0)).cast("long").alias(f"_ahead_{n}")
+              for n in names]
+    return out.select(*group, *levels, *summed)
+
+
+def running_totals(df: DataFrame, group: Sequence[str], levels: Sequence[str], fine: Sequence[str],
+                   totals: Mapping[str, str | None]) -> DataFrame:
+    """Running totals before each row of its group, ordered by ``levels`` then ``fine``.
+
+    ``totals`` maps a new column to the column it sums (None counts rows).
+    """
+    offsets = bucket_offsets(df, group, levels, totals)
+    before = W.partitionBy(*group, *levels).orderBy(*fine).rowsBetween(W.unboundedPreceding, -1)
+    joined = equi_join(df, offsets, [*group, *levels])
+    sums = {n: (F.col(f"_ahead_{n}") + F.coalesce(F.sum(_size(w)).over(before), F.lit(0))).cast("long")
+            for n, w in totals.items()}
+    return joined.select(*df.columns, *[c.alias(n) for n, c in sums.items()])
 
 
 def running_position(df: DataFrame, group: Sequence[str], levels: Sequence[str],
@@ -46,12 +63,7 @@ def running_position(df: DataFrame, group: Sequence[str], levels: Sequence[str],
     With ``weight`` a row stands for that many copies and gets the position of
     its first copy.
     """
-    offsets = bucket_offsets(df, group, levels, weight)
-    size = F.col(weight) if weight else F.lit(1)
-    before = (W.partitionBy(*group, *levels).orderBy(*fine).rowsBetween(W.unboundedPreceding, -1))
-    return (equi_join(df, offsets, [*group, *levels])
-            .withColumn(name, (F.col("_start") + F.coalesce(F.sum(size).over(before), F.lit(0))).cast("long"))
-            .drop("_start"))
+    return running_totals(df, group, levels, fine, {name: weight})
 
 
 def with_copies(df: DataFrame, keys: Sequence[str], name: str = "_copies") -> DataFrame:

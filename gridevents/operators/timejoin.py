@@ -30,11 +30,13 @@ def _scope_of(df: DataFrame, axis_scope: str) -> DataFrame:
 def neighbours(stamps: DataFrame, axis: DataFrame) -> DataFrame:
     """For each (``_scope``, ``time``): the axis entries at or before and at or after it.
 
-    ``axis`` has ``_scope``, ``time``, ``pos``.  Adds structs ``_prev`` and
-    ``_next`` of (time, pos), NULL past the ends of the axis.
+    ``axis`` has ``_scope``, ``time`` and whatever else is to be carried (such
+    as ``pos``).  Adds structs ``_prev`` and ``_next`` of an axis row, NULL past
+    the ends of the axis.
     """
     day = F.to_date("time")
-    entry = F.struct(F.col("time").alias("time"), F.col("pos").alias("pos"))
+    carried = ["time", *[c for c in axis.columns if c not in ("_scope", "time")]]
+    entry = F.struct(*carried)
     marks = axis.select("_scope", "time", day.alias("_day"), entry.alias("_entry"), F.lit(False).alias("_asked"))
     asked = stamps.select("_scope", "time").distinct().select(
         "_scope", "time", day.alias("_day"), F.lit(None).cast(marks.schema["_entry"].dataType).alias("_entry"),
@@ -113,7 +115,8 @@ def asof_nearest(events: DataFrame, axis: DataFrame, axis_scope: str = "year",
                  tolerance: str | None = None) -> DataFrame:
     """Each event with ``matched_time``, the axis stamp nearest to its ``time``."""
     scoped = _scope_of(events, axis_scope)
-    mapping = nearest_stamps(scoped, _scoped_axis(axis, axis_scope), tolerance)
+    stamps = _scope_of(axis.select("time").distinct(), axis_scope)
+    mapping = nearest_stamps(scoped, stamps, tolerance)
     return salted_join(scoped, mapping, ["_scope", "time"], events.columns).drop("_scope")
 
 

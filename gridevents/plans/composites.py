@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gridevents.functions.geo import wrap_longitude
 from gridevents.operators.axes import canonical_longitude, relative_offsets, relative_positions
-from gridevents.operators.boxjoin import join_event_boxes
+from gridevents.operators.boxjoin import few_boxes, join_event_boxes
 from gridevents.operators.climate import subtract_climatology
 from gridevents.operators.events import synthetic_stamp
 from gridevents.operators.filters import select_levels, select_region, select_variable
@@ -58,14 +58,14 @@ def _labelled(window: DataFrame, field: DataFrame, labels: str, half_lat: float,
 
 def composite_windows(field: DataFrame, matched: DataFrame, half_lat: float, half_lon: float,
                       labels: str = "offset", resolution: float = QUARTER_DEGREE,
-                      climatology: DataFrame | None = None) -> DataFrame:
+                      climatology: DataFrame | None = None, few: bool | None = None) -> DataFrame:
     """The window of ``field`` around every matched event, with relative coordinates.
 
     ``matched`` has ``matched_time``, ``centre_lat``, ``centre_lon``; its other
     columns are carried through (the event stamp as ``event_time``).
     """
     events = matched.withColumnRenamed("time", "event_time")
-    window = join_event_boxes(field, events, half_lat, half_lon)
+    window = join_event_boxes(field, events, half_lat, half_lon, few=few)
     if climatology is not None:
         spread = window.withColumn("time", F.col("matched_time"))
         window = (subtract_climatology(spread, climatology)
@@ -82,7 +82,7 @@ def composite_raw(field: DataFrame, events: DataFrame, locations: DataFrame, hal
     stamps = axis if axis is not None else cube
     matched = asof_nearest(numbered_events(events), stamps, axis_scope, tolerance)
     return composite_windows(cube, with_centres(matched, locations), half_lat, half_lon, labels,
-                             climatology=climatology)
+                             climatology=climatology, few=few_boxes(events, half_lat, half_lon))
 
 
 def composite_anomaly(field: DataFrame, events: DataFrame, locations: DataFrame, climatology: DataFrame,
@@ -107,7 +107,8 @@ def composite_lagged(field: DataFrame, events: DataFrame, locations: DataFrame,
     cube = prepare_field(field, variable, levels)
     stamps = axis if axis is not None else cube
     matched = asof_lagged(numbered_events(events), stamps, lags, axis_scope, lag_unit)
-    return composite_windows(cube, with_centres(matched, locations), half_lat, half_lon, "positional")
+    return composite_windows(cube, with_centres(matched, locations), half_lat, half_lon, "positional",
+                             few=few_boxes(events, half_lat, half_lon, len(lags)))
 
 
 def composite_lagged_points(field: DataFrame, points: DataFrame, climatology: DataFrame,
@@ -124,7 +125,8 @@ def composite_lagged_points(field: DataFrame, points: DataFrame, climatology: Da
                .withColumn("centre_lon", wrap_longitude(F.col("lon"))).drop("lon"))
     stamps = axis if axis is not None else cube
     matched = asof_lagged(centred, stamps, lags, axis_scope)
-    return composite_windows(cube, matched, half_lat, half_lon, labels, climatology=clim)
+    return composite_windows(cube, matched, half_lat, half_lon, labels, climatology=clim,
+                             few=few_boxes(points, half_lat, half_lon, len(lags)))
 
 
 def lagged_region_extract(field: DataFrame, events: DataFrame, lags: Sequence[int], lat: tuple[float, float],

@@ -64,7 +64,7 @@ def main() -> int:
             if len(got) != len(want):
                 raise AssertionError(f"rows {len(got)} != {len(want)}")
             types = {c: (str(got[c].dtype), str(want[c].dtype)) for c in got.columns
-                     if str(got[c].dtype) != str(want[c].dtype)}
+                     if str(got[c].dtype).split('[')[0] != str(want[c].dtype).split('[')[0]}
             a, b = canonical(got), canonical(want)
             diff = [c for c in a.columns if not a[c].equals(b[c])]
             if diff:
