@@ -97,11 +97,12 @@ def insertion_points(stamps: DataFrame, axis: DataFrame) -> DataFrame:
 def lagged_stamps(stamps: DataFrame, axis: DataFrame, lags: Sequence[int]) -> DataFrame:
     """Mapping (``_scope``, ``time``) -> ``lag``, ``matched_time``, ``lag`` axis steps earlier.
 
-    The step is clamped to the axis: at least 0, at most its length minus the lag.
+    The step is clamped to the axis: at least 0, at most its length minus the
+    lag (lag 0 stops at the last stamp).
     """
     asked = F.explode(F.array(*[F.lit(int(lag)) for lag in lags]))
     points = insertion_points(stamps, axis).withColumn("lag", asked)
-    pos = clamp(F.col("idx") - F.col("lag"), F.lit(0), F.col("_size") - F.col("lag"))
+    pos = clamp(F.col("idx") - F.col("lag"), F.lit(0), F.col("_size") - F.greatest(F.col("lag"), F.lit(1)))
     points = points.select("_scope", "time", "lag", pos.cast("long").alias("pos"))
     at = axis.select("_scope", "pos", F.col("time").alias("matched_time"))
     return salted_join(points, at, ["_scope", "pos"], ["time"]).drop("pos")

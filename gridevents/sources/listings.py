@@ -15,17 +15,15 @@ from gridevents.operators.ordering import strided
 from gridevents.schema import EVENT_POINT
 
 
-def parse_places(lines: DataFrame, order: str | None = None, lon_first: bool = False) -> DataFrame:
-    """Places from ``(a, b)`` lines, numbered ``loc_id`` in list order.
+def parse_places(lines: DataFrame, order: str, lon_first: bool = False) -> DataFrame:
+    """Places from ``(a, b)`` lines, numbered ``loc_id`` by the column ``order``.
 
-    ``lon_first`` says which of the two numbers comes first.  ``order`` names a
-    column to number by; without it the reading order counts.  A place list is
-    at most one row per grid cell, which bounds the numbering window.
+    ``lon_first`` says which of the two numbers comes first.  A place list is at
+    most one row per grid cell, which bounds the numbering window.
     """
     first, second = pair_part(F.col("value"), 1), pair_part(F.col("value"), 2)
     lat, lon = (second, first) if lon_first else (first, second)
-    rank = F.col(order) if order else F.monotonically_increasing_id()
-    places = (lines.select(rank.alias("_rank"), lat.alias("lat"), lon.alias("lon"))
+    places = (lines.select(F.col(order).alias("_rank"), lat.alias("lat"), lon.alias("lon"))
               .where(F.col("lat").isNotNull() & F.col("lon").isNotNull()))
     number = F.row_number().over(W.orderBy("_rank", "lat", "lon")) - 1
     return places.select(number.cast("long").alias("loc_id"), "lat", "lon")
@@ -37,7 +35,10 @@ def every_nth_place(places: DataFrame, step: int = 6) -> DataFrame:
 
 
 def read_places(spark: SparkSession, path: str, lon_first: bool = False) -> DataFrame:
-    return parse_places(spark.read.text(path), lon_first=lon_first)
+    """Places of a text list, in the order of its files, their splits and lines."""
+    lines = spark.read.text(path)
+    at = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    return parse_places(lines.withColumn("_order", at), "_order", lon_first)
 
 
 def parse_stamp_lists(lines: DataFrame) -> DataFrame:
