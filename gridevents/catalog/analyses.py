@@ -35,7 +35,7 @@ SELECT e.algo, e.loc_id, e.time AS event_time, m.matched_time, e.ordinal, make_t
   f.variable, f.level, f.lat-c.centre_lat AS rel_lat, f.lon-c.centre_lon AS rel_lon, f.value
 FROM {_COMP} AND f.variable='T' AND f.level IN (850,700,500,300,250)""")
 def composite_raw(v):
-    out = composites.composite_raw(v.field, v.event_daily, v.location, 2, 4, "T", [850, 700, 500, 300, 250], axis=v.axis)
+    out = composites.composite_raw(v.field, v.event_daily, v.location, 2, 4, "T", [850, 700, 500, 300, 250], axis=v.axis, unique_events=True)
     return out.select("algo", "loc_id", "event_time", "matched_time", "ordinal", "synthetic_time", "variable", "level",
                       "rel_lat", "rel_lon", "value")
 
@@ -47,7 +47,7 @@ JOIN (SELECT variable, level, lat, (lon+180)%360-180 AS lon, avg(value) AS cv FR
  ON k.variable=f.variable AND k.level=f.level AND k.lat=f.lat AND k.lon=f.lon""")
 def composite_anomaly(v):
     clim = climate.mean_climatology(v.climatology)
-    out = composites.composite_anomaly(v.field, v.event_daily, v.location, clim, half_lat=2, half_lon=4, variable="T", axis=v.axis)
+    out = composites.composite_anomaly(v.field, v.event_daily, v.location, clim, half_lat=2, half_lon=4, variable="T", axis=v.axis, unique_events=True)
     return out.select("algo", "loc_id", "event_time", "variable", "level", "rel_lat", "rel_lon", r6("value"))
 
 
@@ -59,7 +59,7 @@ _COORDS = "JOIN loncoord x ON x.lon=f.lon JOIN latcoord y ON y.lat=f.lat"
 @query("x05_composite_native", f"""
 SELECT e.algo, e.loc_id, e.time AS event_time, e.ordinal, f.variable, f.level, {_POS}, f.value FROM {_COMP} AND f.variable='Q' {_COORDS}""")
 def composite_native(v):
-    out = composites.composite_native(v.field, v.event_daily, v.location, half_lat=2, half_lon=4, variable="Q", axis=v.axis)
+    out = composites.composite_native(v.field, v.event_daily, v.location, half_lat=2, half_lon=4, variable="Q", axis=v.axis, unique_events=True)
     return out.select("algo", "loc_id", "event_time", "ordinal", "variable", "level", "rel_lat", "rel_lon", "value")
 
 
@@ -68,7 +68,7 @@ SELECT e.algo, e.loc_id, e.time AS event_time, CAST(m.lag AS INTEGER) AS lag, m.
 FROM numbered e JOIN lagmap m ON m.time=e.time JOIN centre c ON c.loc_id=e.loc_id
  JOIN wfield f ON f.time=m.matched_time {_BOX} AND f.variable='Z' {_COORDS}""")
 def composite_lagged(v):
-    out = composites.composite_lagged(v.field, v.event_daily, v.location, [2, 4], 2, 4, "Z", axis=v.axis)
+    out = composites.composite_lagged(v.field, v.event_daily, v.location, [2, 4], 2, 4, "Z", axis=v.axis, unique_events=True)
     return out.select("algo", "loc_id", "event_time", "lag", "matched_time", "variable", "level", "rel_lat", "rel_lon", "value")
 
 
@@ -96,11 +96,11 @@ def lagged_region(v):
 
 
 def _native_windows(v):
-    events = clustering.positioned_events(v.event_daily).withColumnRenamed("time", "event_time")
+    events = clustering.positioned_events(v.event_daily, unique=True).withColumnRenamed("time", "event_time")
     field = composites.prepare_field(v.field.where(F.col("variable").isin("T", "Q")), levels=[500])
     matched = composites.with_centres(events, v.location).withColumn("time", F.col("event_time"))
     matched = composites.asof_nearest(matched, v.axis).drop("time")
-    few = composites.few_boxes(v.event_daily, WINDOW.half_lat, WINDOW.half_lon)
+    few = composites.few_boxes(v.event_daily)
     boxes = composites.join_event_boxes(field, matched, WINDOW.half_lat, WINDOW.half_lon, few=few)
     return composites.relative_positions(boxes, field.select("lat", "lon"), WINDOW.half_lat, WINDOW.half_lon)
 
@@ -123,7 +123,7 @@ SELECT algo, cluster, variable, level, rel_lat, rel_lon, {s6('mv')} AS mean_valu
 WINDOW w AS (PARTITION BY algo, cluster, variable, level)""")
 def cluster_averages(v):
     two = v.field.where(F.col("variable").isin("T", "Q"))
-    comp = composites.composite_raw(two, v.event_daily, v.location, 2, 4, axis=v.axis)
+    comp = composites.composite_raw(two, v.event_daily, v.location, 2, 4, axis=v.axis, unique_events=True)
     out = clustering.cluster_averages(comp, [925, 850, 700, 500, 300, 250])
     return out.select("algo", "cluster", "variable", "level", "rel_lat", "rel_lon", r6("mean_value"), r6("norm_value"))
 
@@ -201,9 +201,7 @@ _DAYS = "SELECT time FROM event_daily GROUP BY time HAVING count(DISTINCT algo)
 SELECT algo, time, lat, lon, tag, time IN ({_DAYS}) AS consensus FROM mask""")
 def consensus_filter(v):
     days = consensus.consensus_times(v.event_daily, 5)
-    on = consensus.on_consensus(v.mask, days).withColumn("consensus", F.lit(True))
-    off = consensus.on_consensus(v.mask, days, invert=True).withColumn("consensus", F.lit(False))
-    return on.unionByName(off).select("algo", "time", "lat", "lon", "tag", "consensus")
+    return consensus.marked(v.mask, days).select("algo", "time", "lat", "lon", "tag", "consensus")
 
 
 @query("x17_monthly_anomaly", f"""

@@ -98,7 +98,7 @@ def mde(v):
 SELECT variable, time, level, lat, lon, {s6('value - avg(value) OVER (PARTITION BY variable, month(time), level, lat, lon)')} AS diff FROM field""")
 def difference(v):
     dated = v.field.withColumn("mon", F.month("time"))
-    out = with_group_stats(dated, ["variable", "mon", "level", "lat", "lon"], {"m": F.avg("value")}, ["time"])
+    out = with_group_stats(dated, ["variable", "mon", "level", "lat", "lon"], {"m": F.avg("value")})
     return out.select("variable", "time", "level", "lat", "lon", r6(F.col("value") - F.col("m"), "diff"))
 
 

@@ -45,7 +45,7 @@ def silhouette(v):
 
 @query("m04_k_sweep")
 def sweep(v):
-    return cluster.sweep(_vectors(v))
+    return cluster.sweep(written(_vectors(v), "vectors"))
 
 
 @query("m05_best_k", f"""

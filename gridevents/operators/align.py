@@ -6,8 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from gridevents.operators.filters import select_level, select_variable
-
 POINT = ["time", "level", "lat", "lon"]
 
 
@@ -25,9 +23,13 @@ def wide(field: DataFrame, variables: Sequence[str], keys: Sequence[str] = tuple
 
 def stacked_variables(field: DataFrame, level_variable: str, level: float, surface_variable: str,
                       surface_level: float | None = None) -> DataFrame:
-    """Two variables under each other, one cut to a level (an outer alignment in long form)."""
-    upper = select_level(select_variable(field, level_variable), level)
-    lower = select_variable(field, surface_variable)
+    """Two variables under each other, one cut to a level (an outer alignment in long form).
+
+    One pass over the cube with a condition per variable.
+    """
+    name = F.col("variable")
+    upper = (name == level_variable) & (F.col("level") == float(level))
+    lower = name == surface_variable
     if surface_level is not None:
-        lower = select_level(lower, surface_level)
-    return upper.unionByName(lower)
+        lower = lower & (F.col("level") == float(surface_level))
+    return field.where(upper | lower).withColumn("variable", F.upper("variable"))

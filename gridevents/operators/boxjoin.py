@@ -7,29 +7,25 @@ the box test drops what the tile lets through.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridevents.functions.geo import tile, tiles_covering
-from gridevents.operators.joins import BROADCAST_ROWS, equi_join, fits, lookup_join
-
-#: Tile edge in degrees.
-TILE = 10.0
+from gridevents.operators.joins import BROADCAST_ROWS, equi_join, fits, lookup_join, salted_join
+from gridevents.session import written
 
 #: Boxes on one (time, tile) that one task serves before the tile is split.
 BOXES_PER_TASK = 10_000
 
 
-def box_tiles(boxes: DataFrame, size: float) -> DataFrame:
+def box_tiles(boxes: DataFrame, size: tuple[float, float]) -> DataFrame:
     """One row per box and tile it touches.  Boxes have lat_lo, lat_hi, lon_lo, lon_hi."""
     return (boxes
-            .withColumn("_ti", F.explode(tiles_covering(F.col("lat_lo"), F.col("lat_hi"), size)))
-            .withColumn("_tj", F.explode(tiles_covering(F.col("lon_lo"), F.col("lon_hi"), size))))
+            .withColumn("_ti", F.explode(tiles_covering(F.col("lat_lo"), F.col("lat_hi"), size[0])))
+            .withColumn("_tj", F.explode(tiles_covering(F.col("lon_lo"), F.col("lon_hi"), size[1]))))
 
 
-def cell_tiles(cells: DataFrame, size: float) -> DataFrame:
-    return cells.withColumn("_ti", tile(F.col("lat"), size)).withColumn("_tj", tile(F.col("lon"), size))
+def cell_tiles(cells: DataFrame, size: tuple[float, float]) -> DataFrame:
+    return cells.withColumn("_ti", tile(F.col("lat"), size[0])).withColumn("_tj", tile(F.col("lon"), size[1]))
 
 
 def _inside() -> Column:
@@ -40,7 +36,7 @@ def _inside() -> Column:
 _HELPERS = ("lat_lo", "lat_hi", "lon_lo", "lon_hi", "_ti", "_tj")
 
 
-def join_boxes(cells: DataFrame, boxes: DataFrame, size: float = 1.0, spread: tuple[str, ...] = ("time",),
+def join_boxes(cells: DataFrame, boxes: DataFrame, size: tuple[float, float] = (1.0, 1.0), spread: tuple[str, ...] = ("time",),
                max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Cells with every fixed box they lie in (edges included).
 
@@ -59,52 +55,68 @@ def centred_boxes(events: DataFrame, half_lat: float, half_lon: float,
                   .withColumn("lon_lo", F.col(lon) - half_lon).withColumn("lon_hi", F.col(lon) + half_lon))
 
 
-def tiles_per_box(half_lat: float, half_lon: float, size: float) -> int:
-    """Most tiles that one box can touch."""
-    return (math.ceil(2 * half_lat / size) + 1) * (math.ceil(2 * half_lon / size) + 1)
+def tile_size(half_lat: float, half_lon: float) -> tuple[float, float]:
+    """Tiles of half a box per axis: a box touches nine at most, a little over twice its area."""
+    return float(half_lat), float(half_lon)
+
 
+#: Tiles that one box can touch with tiles of half its size.
+TILES_PER_BOX = 9
 
-def few_boxes(events: DataFrame, half_lat: float, half_lon: float, per_event: int = 1,
-              tile_size: float = TILE, max_rows: int = BROADCAST_ROWS) -> bool:
+
+def few_boxes(events: DataFrame, per_event: int = 1, max_rows: int = BROADCAST_ROWS) -> bool:
     """True when the boxes of ``events`` surely fit the broadcast bound.
 
     Counts the bare events, before any time join; ``per_event`` is the number of
     boxes each of them becomes (its lags).
     """
-    return fits(events, max_rows // (per_event * tiles_per_box(half_lat, half_lon, tile_size)))
+    return fits(events, max_rows // (per_event * TILES_PER_BOX))
 
 
 def join_event_boxes(field: DataFrame, events: DataFrame, half_lat: float, half_lon: float,
-                     tile_size: float = TILE, few: bool | None = None,
-                     max_rows: int = BROADCAST_ROWS) -> DataFrame:
+                     few: bool | None = None, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Field cells at each event's ``matched_time`` inside the box around its centre.
 
     ``events`` carries ``matched_time``, ``centre_lat``, ``centre_lon``.  The
     time equality comes first, so only the stamps of events are looked at.
     ``few`` is a size check already made (see ``few_boxes``); without it the
-    boxes are counted here.
+    events are counted here.
 
     * Few events (counted): their tiles are broadcast and the field is not
       shuffled at all.
-    * Many events: the field is first cut to the (time, tile) pairs in use.
-      A pair that many boxes ask for is split: its boxes are dealt out to parts
-      and its cells are repeated per part, so that no task serves a hot stamp
-      alone.  All other pairs stay as they are.
+    * Many events: they are written out once, as they are read several times.
+      The field is cut to the (time, tile) pairs in use.  A pair that many boxes
+      ask for is split: its boxes are dealt out to parts and its cells are
+      repeated per part, so that no task serves a hot stamp alone.  All other
+      pairs stay as they are.
     """
+    size = tile_size(half_lat, half_lon)
     key = ["_t", "_ti", "_tj"]
-    boxes = box_tiles(centred_boxes(events, half_lat, half_lon), tile_size) \
-        .withColumnRenamed("matched_time", "_t")
-    cells = cell_tiles(field, tile_size).withColumnRenamed("time", "_t")
-    if few if few is not None else fits(boxes, max_rows):
-        joined = equi_join(cells, boxes, key, hint=True)
+    cells = cell_tiles(field, size).withColumnRenamed("time", "_t")
+    if few if few is not None else few_boxes(events, max_rows=max_rows):
+        joined = equi_join(cells, _event_tiles(events, half_lat, half_lon, size), key, hint=True)
     else:
-        parts = F.ceil(F.count(F.lit(1)) / F.lit(BOXES_PER_TASK)).cast("long")
-        asked = boxes.groupBy(*key).agg(parts.alias("_parts"))
-        cells = (lookup_join(cells, asked, key, ["lat", "lon"], max_rows=max_rows)
-                 .withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
-                 .drop("_parts"))
-        row = F.xxhash64(*events.drop("matched_time").columns)
-        boxes = (lookup_join(boxes, asked, key, [c for c in boxes.columns if c not in key], max_rows=max_rows)
-                 .withColumn("_part", F.pmod(row, F.col("_parts"))).drop("_parts"))
-        joined = equi_join(cells, boxes, [*key, "_part"]).drop("_part")
+        boxes = _event_tiles(written(events, "matched"), half_lat, half_lon, size)
+        joined = _join_many(cells, boxes, key, max_rows)
     return joined.where(_inside()).withColumnRenamed("_t", "matched_time").drop(*_HELPERS)
+
+
+def _event_tiles(events: DataFrame, half_lat: float, half_lon: float, size: tuple[float, float]) -> DataFrame:
+    return box_tiles(centred_boxes(events, half_lat, half_lon), size).withColumnRenamed("matched_time", "_t")
+
+
+def _join_many(cells: DataFrame, boxes: DataFrame, key: list[str], max_rows: int) -> DataFrame:
+    """Shuffled join of cells and boxes on (time, tile), splitting pairs with very many boxes."""
+    parts = F.ceil(F.count(F.lit(1)) / F.lit(BOXES_PER_TASK)).cast("long")
+    asked = boxes.groupBy(*key).agg(parts.alias("_parts"))
+    n_keys, most = asked.agg(F.count(F.lit(1)), F.max("_parts")).first()
+    spread = [c for c in cells.columns if c not in key]
+    cells = (equi_join(cells, asked, key, hint=True) if n_keys <= max_rows
+             else salted_join(cells, asked, key, spread))
+    if most is None or most == 1:
+        return equi_join(cells.drop("_parts"), boxes, key)
+    cells = cells.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts")
+    row = [c for c in boxes.columns if c not in key]
+    boxes = (equi_join(boxes, asked, key, hint=True) if n_keys <= max_rows else salted_join(boxes, asked, key, row))
+    boxes = boxes.withColumn("_part", F.pmod(F.xxhash64(*row), F.col("_parts"))).drop("_parts")
+    return equi_join(cells, boxes, [*key, "_part"]).drop("_part")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gridevents.operators.axes import reduce_dims
 from gridevents.operators.filters import select_region, select_season
-from gridevents.operators.joins import salted_join
+from gridevents.operators.joins import equi_join
 
 CELL = ["variable", "level", "lat", "lon"]
 CLIMATOLOGY_DIMS = ["variable", "mon", "level", "lat", "lon", "bnds"]
@@ -35,9 +35,9 @@ def subtract_climatology(field: DataFrame, clim: DataFrame, name: str = "anomaly
     """Departure from a climatology with the same cells; cells without one drop out.
 
     The climatology is as large as the grid, so it is shuffled, not broadcast.
-    Each cell holds every stamp: the salt by time keeps a cell from being one task.
+    It has one row per cell, and a cell has one row per stamp: the merge streams.
     """
-    joined = salted_join(field, clim.select(*CELL, "clim_value"), CELL, ["time"])
+    joined = equi_join(field, clim.select(*CELL, "clim_value"), CELL)
     return joined.withColumn(name, F.col("value") - F.col("clim_value")).drop("clim_value")
 
 
@@ -55,10 +55,10 @@ def monthly_anomaly(field: DataFrame, base: DataFrame, mode: str = "match") -> D
     """
     means = monthly_mean(base).withColumnRenamed("mean_value", "clim_value")
     if mode == "match":
-        joined = salted_join(field.withColumn("mon", F.month("time")), means, ["mon", *CELL], ["time"])
+        joined = equi_join(field.withColumn("mon", F.month("time")), means, ["mon", *CELL])
         out = joined.drop("mon")
     elif mode == "cross":
-        out = salted_join(field, means.withColumnRenamed("mon", "clim_month"), CELL, ["time"])
+        out = equi_join(field, means.withColumnRenamed("mon", "clim_month"), CELL)
     else:
         raise ValueError("mode must be 'match' or 'cross'")
     return out.withColumn("anomaly", F.col("value") - F.col("clim_value")).drop("clim_value")

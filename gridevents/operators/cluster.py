@@ -9,7 +9,6 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridevents.operators.axes import best_k
-from gridevents.session import written
 
 #: Range of k that is tried (2 to 9).
 K_RANGE = range(2, 10)
@@ -103,11 +102,11 @@ def sweep(df: DataFrame, ks: Sequence[int] = tuple(K_RANGE), seed: int = 0,
           features: str = "features") -> DataFrame:
     """Silhouette score of a fit per k.
 
-    The loop is over the few k only; every fit and score is a distributed job on
-    the vector table, which is written once so that each job reads the same rows.
+    The loop is over the few k only; every fit and score is a distributed job.
+    Give a stored table (see ``written``), so that each job reads the same rows.
     A k above the number of different vectors has no clustering and is left out.
     """
-    table = written(df.select(features), "vectors")
+    table = df.select(features)
     different = table.distinct().limit(max(ks)).count()
     scores = [(int(k), float(silhouette_score(fit_kmeans(table, k, seed, features).transform(table), features)))
               for k in ks if k <= different]

@@ -16,9 +16,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Rows a broadcast side may have.  Rows here are a few numbers wide, so this
-#: is some tens of MB at most.
-BROADCAST_ROWS = 500_000
+#: Rows a broadcast side may have.  Rows here are about a dozen numbers wide, so
+#: this is some 150 MB at most, whatever the size of the other side.
+BROADCAST_ROWS = 1_000_000
 
 #: Parts a hot key is split into.
 SALTS = 16
@@ -72,13 +72,18 @@ def group_stats(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column])
 
 
 def with_group_stats(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column],
-                     spread: Sequence[str]) -> DataFrame:
+                     spread: Sequence[str] = ()) -> DataFrame:
     """Every row with the aggregates of its group.
 
     A window would sort and hold each group in one task; here groups are
-    pre-aggregated and joined back on the keys plus a salt.
+    pre-aggregated and joined back, row by row against one statistics row.
+
+    Few large groups (an algorithm, a level) need ``spread``, which salts the
+    join.  Groups that contain the grid cell hold one row per stamp at most; they
+    are joined as they are, and adaptive execution still splits an uneven part.
     """
-    return salted_join(df, group_stats(df, keys, aggs), keys, spread)
+    stats = group_stats(df, keys, aggs)
+    return salted_join(df, stats, keys, spread) if spread else equi_join(df, stats, keys)
 
 
 def with_total_stats(df: DataFrame, aggs: Mapping[str, Column]) -> DataFrame:

@@ -94,19 +94,21 @@ def axis_positions(times: DataFrame, scope: Sequence[str] = (), name: str = "pos
 
 
 def event_ordinals(events: DataFrame, group: Sequence[str] = ("algo", "year"),
-                   order: Sequence[str] = ("loc_id",), name: str = "ordinal") -> DataFrame:
+                   order: Sequence[str] = ("loc_id",), name: str = "ordinal", unique: bool = False) -> DataFrame:
     """Running event number per group: place by place, in time order inside a place.
 
     Needs ``time``; ``year`` is derived from it.  Repeated events keep their
-    multiplicity and take consecutive numbers.
+    multiplicity and take consecutive numbers.  ``unique`` says that no event is
+    repeated (detection gives each once), which saves folding and unfolding them.
     """
     base = events.columns
-    prepared = with_copies(events, base).withColumn("_day", F.to_date("time"))
+    prepared = events if unique else with_copies(events, base)
+    prepared = prepared.withColumn("_day", F.to_date("time"))
     if "year" not in base:
         prepared = prepared.withColumn("year", F.year("time"))
-    others = [c for c in base if c not in {*group, *order, "time"}]
-    numbered = running_position(prepared, list(group), [*order, "_day"], ["time", *others], name, "_copies")
-    return expand_copies(numbered, name).drop("_day")
+    fine = ["time", *[c for c in base if c not in {*group, *order, "time"}]]
+    numbered = running_position(prepared, list(group), [*order, "_day"], fine, name, None if unique else "_copies")
+    return (numbered if unique else expand_copies(numbered, name)).drop("_day")
 
 
 def strided(axis: DataFrame, step: int, name: str = "pos") -> DataFrame:

@@ -65,13 +65,14 @@ def batched_z_score(df: DataFrame, feature: Sequence[str], splits: int, group: S
 
     ``pos`` is the event's position in its group and ``size`` the group's number
     of events.  Groups smaller than ``splits`` are an error, as blocks would be
-    empty.  Block statistics are aggregated and joined back, salted by position.
+    empty.  Block statistics are aggregated and joined back; an event has each
+    feature once, so features share the rows evenly.
     """
     enough = F.when(F.col(size) >= splits, F.col(size)).otherwise(
         F.raise_error(F.lit("fewer events than blocks")).cast("long"))
     blocked = df.withColumn(size, enough).withColumn("block", block_of(pos, size, splits))
     aggs = {"_mean": F.avg(value), "_std": F.stddev_pop(value)}
-    scored = with_group_stats(blocked, [*group, *feature, "block"], aggs, [pos])
+    scored = with_group_stats(blocked, [*group, *feature, "block"], aggs, () if feature else [pos])
     z = F.coalesce(z_score(F.col(value), F.col("_mean"), F.col("_std")), F.lit(0.0))
     return scored.withColumn("z", z).drop("_mean", "_std")
 
@@ -85,5 +86,5 @@ def whole_z_score(df: DataFrame, feature: Sequence[str], group: Sequence[str] =
 def time_deviation(field: DataFrame, cell: Sequence[str] = ("variable", "level", "lat", "lon"),
                    name: str = "deviation") -> DataFrame:
     """Departure of each value from its cell's mean over time."""
-    out = with_group_stats(field, cell, {"_mean": F.avg("value")}, ["time"])
+    out = with_group_stats(field, cell, {"_mean": F.avg("value")})
     return out.withColumn(name, F.col("value") - F.col("_mean")).drop("_mean")

@@ -12,22 +12,27 @@ from gridevents.operators.cluster import K_RANGE, choose_k, fit_predict, sweep
 from gridevents.operators.features import Window, as_vectors, feature_arrays
 from gridevents.operators.ordering import event_ordinals
 from gridevents.operators.stats import batched_z_score, normalise
+from gridevents.session import written
 
 EVENT_KEY = ["algo", "loc_id", "event_time"]
 FEATURE = ["variable", "rel_lat", "rel_lon"]
 
 
-def positioned_events(events: DataFrame) -> DataFrame:
+def positioned_events(events: DataFrame, unique: bool = False) -> DataFrame:
     """Events with their position and count per algorithm, ordered by year, place and stamp."""
-    numbered = event_ordinals(events, ["algo"], ["year", "loc_id"], "pos")
+    numbered = event_ordinals(events, ["algo"], ["year", "loc_id"], "pos", unique)
     return with_group_size(numbered, ["algo"], ["loc_id", "time"])
 
 
 def scaled_composite(composite: DataFrame, splits: int, level_variable: str, level: float,
                      surface_variable: str, surface_level: float | None = None) -> DataFrame:
-    """Two variables of a composite, scaled per feature inside blocks of events."""
+    """Two variables of a composite, scaled per feature inside blocks of events.
+
+    The two variables are written out first: scaling reads them twice, and a
+    composite is too costly to build twice.
+    """
     stacked = stacked_variables(composite, level_variable, level, surface_variable, surface_level)
-    return batched_z_score(stacked, FEATURE, splits, ["algo"])
+    return batched_z_score(written(stacked, "stacked"), FEATURE, splits, ["algo"])
 
 
 def event_vectors(scaled: DataFrame, window: Window, variables: Sequence[str]) -> DataFrame:
@@ -36,8 +41,9 @@ def event_vectors(scaled: DataFrame, window: Window, variables: Sequence[str]) -
 
 def cluster_vectors(vectors: DataFrame, ks: Sequence[int] = tuple(K_RANGE), seed: int = 0) -> DataFrame:
     """Labels from the k with the best silhouette; ``k`` is kept with them."""
-    k = choose_k(sweep(vectors, ks, seed))
-    return fit_predict(vectors, k, seed).withColumn("k", F.lit(k))
+    table = written(vectors, "vectors")
+    k = choose_k(sweep(table, ks, seed))
+    return fit_predict(table, k, seed).withColumn("k", F.lit(k))
 
 
 def cluster_events(composite: DataFrame, algorithm: str | None, window: Window, splits: int,

@@ -39,9 +39,9 @@ def with_centres(events: DataFrame, locations: DataFrame) -> DataFrame:
     return lookup_join(events, centres, ["loc_id"], [c for c in events.columns if c != "loc_id"])
 
 
-def numbered_events(events: DataFrame) -> DataFrame:
+def numbered_events(events: DataFrame, unique: bool = False) -> DataFrame:
     """Events with their ordinal per algorithm and year and its synthetic hourly stamp."""
-    numbered = event_ordinals(events)
+    numbered = event_ordinals(events, unique=unique)
     return numbered.withColumn("synthetic_time", synthetic_stamp(F.col("year"), F.col("ordinal")))
 
 
@@ -76,13 +76,14 @@ def composite_windows(field: DataFrame, matched: DataFrame, half_lat: float, hal
 def composite_raw(field: DataFrame, events: DataFrame, locations: DataFrame, half_lat: float = 15.0,
                   half_lon: float = 25.0, variable: str | None = None, levels: Sequence[float] | None = None,
                   labels: str = "offset", axis: DataFrame | None = None, axis_scope: str = "year",
-                  tolerance: str | None = None, climatology: DataFrame | None = None) -> DataFrame:
-    """Composite at the stamp nearest to each event."""
+                  tolerance: str | None = None, climatology: DataFrame | None = None,
+                  unique_events: bool = False) -> DataFrame:
+    """Composite at the stamp nearest to each event (see ``event_ordinals`` for ``unique_events``)."""
     cube = prepare_field(field, variable, levels)
     stamps = axis if axis is not None else cube
-    matched = asof_nearest(numbered_events(events), stamps, axis_scope, tolerance)
+    matched = asof_nearest(numbered_events(events, unique_events), stamps, axis_scope, tolerance)
     return composite_windows(cube, with_centres(matched, locations), half_lat, half_lon, labels,
-                             climatology=climatology, few=few_boxes(events, half_lat, half_lon))
+                             climatology=climatology, few=few_boxes(events))
 
 
 def composite_anomaly(field: DataFrame, events: DataFrame, locations: DataFrame, climatology: DataFrame,
@@ -102,13 +103,13 @@ def composite_native(field: DataFrame, events: DataFrame, locations: DataFrame,
 def composite_lagged(field: DataFrame, events: DataFrame, locations: DataFrame, lags: Sequence[int] = (2, 4),
                      half_lat: float = 15.0, half_lon: float = 25.0, variable: str | None = None,
                      levels: Sequence[float] | None = None, axis: DataFrame | None = None,
-                     axis_scope: str = "year", lag_unit: str = "steps") -> DataFrame:
+                     axis_scope: str = "year", lag_unit: str = "steps", unique_events: bool = False) -> DataFrame:
     """Positional composites at several lags and for all algorithms, in one pass over the cube."""
     cube = prepare_field(field, variable, levels)
     stamps = axis if axis is not None else cube
-    matched = asof_lagged(numbered_events(events), stamps, lags, axis_scope, lag_unit)
+    matched = asof_lagged(numbered_events(events, unique_events), stamps, lags, axis_scope, lag_unit)
     return composite_windows(cube, with_centres(matched, locations), half_lat, half_lon, "positional",
-                             few=few_boxes(events, half_lat, half_lon, len(lags)))
+                             few=few_boxes(events, len(lags)))
 
 
 def composite_lagged_points(field: DataFrame, points: DataFrame, climatology: DataFrame,
@@ -126,7 +127,7 @@ def composite_lagged_points(field: DataFrame, points: DataFrame, climatology: Da
     stamps = axis if axis is not None else cube
     matched = asof_lagged(centred, stamps, lags, axis_scope)
     return composite_windows(cube, matched, half_lat, half_lon, labels, climatology=clim,
-                             few=few_boxes(points, half_lat, half_lon, len(lags)))
+                             few=few_boxes(points, len(lags)))
 
 
 def lagged_region_extract(field: DataFrame, events: DataFrame, lags: Sequence[int], lat: tuple[float, float],

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridevents.functions.text import two_digits
 from gridevents.operators.blocks import chunk_table, with_chunks
-from gridevents.operators.consensus import on_consensus
+from gridevents.operators.consensus import marked
 from gridevents.operators.joins import lookup_join
 
 
@@ -69,9 +69,7 @@ def write_labels(labels: DataFrame, path: str, by: Sequence[str] = ("algo",)) ->
 
 def write_consensus(field: DataFrame, days: DataFrame, path: str) -> None:
     """Both subsets of an algorithm cube, under ``consensus=true`` and ``consensus=false``."""
-    on = on_consensus(field, days).withColumn("consensus", F.lit(True))
-    off = on_consensus(field, days, invert=True).withColumn("consensus", F.lit(False))
-    write_partitioned(on.unionByName(off), path, ["consensus", "algo"])
+    write_partitioned(marked(field, days), path, ["consensus", "algo"])
 
 
 def write_cluster_averages(averages: DataFrame, path: str) -> None:

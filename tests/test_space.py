@@ -57,10 +57,10 @@ def test_box_join_paths_agree(field, places, events, monkeypatch):
     matched = events.join(places, "loc_id").select("algo", "loc_id", F.date_trunc("hour", "time").cast("timestamp_ntz").alias("matched_time"),
                                                   F.col("lat").alias("centre_lat"), F.col("lon").alias("centre_lon"))
     cols = ["algo", "loc_id", "matched_time", "lat", "lon", "value"]
-    few = boxjoin.join_event_boxes(field, matched, 2, 3, tile_size=2.0, few=True)
-    many = boxjoin.join_event_boxes(field, matched, 2, 3, tile_size=2.0, few=False)
+    few = boxjoin.join_event_boxes(field, matched, 2, 3, few=True)
+    many = boxjoin.join_event_boxes(field, matched, 2, 3, few=False)
     monkeypatch.setattr(boxjoin, "BOXES_PER_TASK", 1)
-    split = boxjoin.join_event_boxes(field, matched, 2, 3, tile_size=2.0, few=False, max_rows=1)
+    split = boxjoin.join_event_boxes(field, matched, 2, 3, few=False, max_rows=1)
     assert values(few, *cols) == values(many, *cols) == values(split, *cols)
     brute = field.withColumnRenamed("time", "matched_time").join(matched, "matched_time").where(
         "abs(lat - centre_lat) <= 2 and abs(lon - centre_lon) <= 3")
