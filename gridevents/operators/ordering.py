@@ -102,13 +102,14 @@ def event_ordinals(events: DataFrame, group: Sequence[str] = ("algo", "year"),
     repeated (detection gives each once), which saves folding and unfolding them.
     """
     base = events.columns
-    prepared = events if unique else with_copies(events, base)
-    prepared = prepared.withColumn("_day", F.to_date("time"))
+    prepared = events if unique else with_copies(events, base).withColumn("_day", F.to_date("time"))
     if "year" not in base:
         prepared = prepared.withColumn("year", F.year("time"))
     fine = ["time", *[c for c in base if c not in {*group, *order, "time"}]]
-    numbered = running_position(prepared, list(group), [*order, "_day"], fine, name, None if unique else "_copies")
-    return (numbered if unique else expand_copies(numbered, name)).drop("_day")
+    if unique:   # a place holds at most one year's stamps: no need for days
+        return running_position(prepared, list(group), list(order), fine, name)
+    numbered = running_position(prepared, list(group), [*order, "_day"], fine, name, "_copies")
+    return expand_copies(numbered, name).drop("_day")
 
 
 def strided(axis: DataFrame, step: int, name: str = "pos") -> DataFrame:

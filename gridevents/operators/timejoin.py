@@ -113,24 +113,31 @@ def _scoped_axis(axis: DataFrame, axis_scope: str) -> DataFrame:
 
 
 def asof_nearest(events: DataFrame, axis: DataFrame, axis_scope: str = "year",
-                 tolerance: str | None = None) -> DataFrame:
-    """Each event with ``matched_time``, the axis stamp nearest to its ``time``."""
+                 tolerance: str | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """Each event with ``matched_time``, the axis stamp nearest to its ``time``.
+
+    ``asked`` may name a plainer frame with the same stamps (the events before
+    they were numbered), so that the costlier one is read once.
+    """
     scoped = _scope_of(events, axis_scope)
     stamps = _scope_of(axis.select("time").distinct(), axis_scope)
-    mapping = nearest_stamps(scoped, stamps, tolerance)
+    wanted = _scope_of((asked if asked is not None else events).select("time"), axis_scope)
+    mapping = nearest_stamps(wanted, stamps, tolerance)
     return salted_join(scoped, mapping, ["_scope", "time"], events.columns).drop("_scope")
 
 
 def asof_lagged(events: DataFrame, axis: DataFrame, lags: Sequence[int], axis_scope: str = "year",
-                lag_unit: str = "steps") -> DataFrame:
+                lag_unit: str = "steps", asked: DataFrame | None = None) -> DataFrame:
     """Each event once per lag, with ``lag`` and the earlier ``matched_time``.
 
     ``lag_unit='steps'`` counts axis positions from the left insertion point;
     ``'hours'`` takes the stamp nearest to the event time minus that many hours.
+    ``asked`` is as for :func:`asof_nearest`.
     """
     if lag_unit == "steps":
         scoped = _scope_of(events, axis_scope)
-        mapping = lagged_stamps(scoped, _scoped_axis(axis, axis_scope), lags)
+        wanted = _scope_of((asked if asked is not None else events).select("time"), axis_scope)
+        mapping = lagged_stamps(wanted, _scoped_axis(axis, axis_scope), lags)
         return salted_join(scoped, mapping, ["_scope", "time"], events.columns).drop("_scope")
     if lag_unit != "hours":
         raise ValueError("lag_unit must be 'steps' or 'hours'")

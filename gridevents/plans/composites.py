@@ -81,7 +81,7 @@ def composite_raw(field: DataFrame, events: DataFrame, locations: DataFrame, hal
     """Composite at the stamp nearest to each event (see ``event_ordinals`` for ``unique_events``)."""
     cube = prepare_field(field, variable, levels)
     stamps = axis if axis is not None else cube
-    matched = asof_nearest(numbered_events(events, unique_events), stamps, axis_scope, tolerance)
+    matched = asof_nearest(numbered_events(events, unique_events), stamps, axis_scope, tolerance, asked=events)
     return composite_windows(cube, with_centres(matched, locations), half_lat, half_lon, labels,
                              climatology=climatology, few=few_boxes(events))
 
@@ -107,7 +107,7 @@ def composite_lagged(field: DataFrame, events: DataFrame, locations: DataFrame,
     """Positional composites at several lags and for all algorithms, in one pass over the cube."""
     cube = prepare_field(field, variable, levels)
     stamps = axis if axis is not None else cube
-    matched = asof_lagged(numbered_events(events, unique_events), stamps, lags, axis_scope, lag_unit)
+    matched = asof_lagged(numbered_events(events, unique_events), stamps, lags, axis_scope, lag_unit, asked=events)
     return composite_windows(cube, with_centres(matched, locations), half_lat, half_lon, "positional",
                              few=few_boxes(events, len(lags)))
 
