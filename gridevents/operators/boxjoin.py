@@ -89,10 +89,13 @@ def join_event_boxes(field: DataFrame, events: DataFrame, half_lat: float, half_
       ask for is split: its boxes are dealt out to parts and its cells are
       repeated per part, so that no task serves a hot stamp alone.  All other
       pairs stay as they are.
+
+    Of a stored cube with ``year`` and ``month`` directories only those of events
+    are opened.
     """
     size = tile_size(half_lat, half_lon)
     key = ["_t", "_ti", "_tj"]
-    cells = cell_tiles(field, size).withColumnRenamed("time", "_t")
+    cells = cell_tiles(_months_in_use(field, events), size).withColumnRenamed("time", "_t")
     if few if few is not None else few_boxes(events, max_rows=max_rows):
         joined = equi_join(cells, _event_tiles(events, half_lat, half_lon, size), key, hint=True)
     else:
@@ -101,6 +104,19 @@ def join_event_boxes(field: DataFrame, events: DataFrame, half_lat: float, half_
     return joined.where(_inside()).withColumnRenamed("_t", "matched_time").drop(*_HELPERS)
 
 
+def _months_in_use(field: DataFrame, events: DataFrame) -> DataFrame:
+    """A stored cube cut to the directories of months that have events.
+
+    The list of months is one scalar subquery of at most twelve numbers a year,
+    evaluated before the scan, which then opens only those directories.
+    """
+    if not {"year", "month"} <= set(field.columns):
+        return field
+    asked = F.year("matched_time") * 100 + F.month("matched_time")
+    months = events.select(asked.alias("_m")).distinct().agg(F.collect_list("_m")).scalar()
+    return field.where(F.array_contains(months, F.col("year") * 100 + F.col("month"))).drop("year", "month")
+
+
 def _event_tiles(events: DataFrame, half_lat: float, half_lon: float, size: tuple[float, float]) -> DataFrame:
     return box_tiles(centred_boxes(events, half_lat, half_lon), size).withColumnRenamed("matched_time", "_t")
 

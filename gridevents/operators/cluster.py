@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import StandardScaler
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridevents.operators.axes import best_k
@@ -24,11 +27,9 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def centroids_of(df: DataFrame, cluster: str = "cluster", features: str = "features") -> DataFrame:
-    """Mean vector per cluster, as an array: one partial aggregate per (cluster, dimension)."""
-    flat = df.select(F.col(cluster).alias("cluster"), F.posexplode(features).alias("_i", "_x"))
-    means = flat.groupBy("cluster", "_i").agg(F.avg("_x").alias("_x"))
-    entries = F.array_sort(F.collect_list(F.struct("_i", "_x")))
-    return means.groupBy("cluster").agg(F.transform(entries, lambda e: e["_x"]).alias("centroid"))
+    """Mean vector per cluster, as an array: one partial aggregate of whole vectors."""
+    mean = Summarizer.mean(array_to_vector(F.col(features)))
+    return df.groupBy(F.col(cluster).alias("cluster")).agg(vector_to_array(mean).alias("centroid"))
 
 
 def assign_nearest(df: DataFrame, centroids: DataFrame, features: str = "features") -> DataFrame:
@@ -71,12 +72,9 @@ def squared_silhouette(df: DataFrame, cluster: str = "cluster", features: str =
     """
     points = df.select(F.col(cluster).alias("cluster"), F.col(features).alias("x"),
                        dot(F.col(features), F.col(features)).alias("norm"))
-    flat = points.select("cluster", F.posexplode("x").alias("i", "v"))
-    sums = flat.groupBy("cluster", "i").agg(F.sum("v").alias("v"))
-    sums = sums.groupBy("cluster").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("total"))
-    sizes = points.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("norm").alias("norms"))
-    table = (sizes.join(sums, "cluster")
+    total = vector_to_array(Summarizer.sum(array_to_vector(F.col("x"))))
+    table = (points.groupBy("cluster")
+             .agg(F.count(F.lit(1)).alias("n"), F.sum("norm").alias("norms"), total.alias("total"))
              .agg(F.collect_list(F.struct("cluster", "n", "norms", "total"))).scalar())
     x, norm, own = F.col("x"), F.col("norm"), F.col("cluster")
     scored = points.withColumn("_t", table)
@@ -107,7 +105,7 @@ def sweep(df: DataFrame, ks: Sequence[int] = tuple(K_RANGE), seed: int = 0,
     A k above the number of different vectors has no clustering and is left out.
     """
     table = df.select(features)
-    different = table.distinct().limit(max(ks)).count()
+    different = table.select(F.xxhash64(vector_to_array(features))).distinct().limit(max(ks)).count()
     scores = [(int(k), float(silhouette_score(fit_kmeans(table, k, seed, features).transform(table), features)))
               for k in ks if k <= different]
     return df.sparkSession.createDataFrame(scores, "k int, score double")
@@ -128,6 +126,5 @@ def fit_predict(df: DataFrame, k: int, seed: int = 0, features: str = "features"
 
 def standard_scaled(df: DataFrame, features: str = "features", name: str = "scaled") -> DataFrame:
     """Whole-table standardising of vectors (centred, unit variance), as an option."""
-    from pyspark.ml.feature import StandardScaler
     scaler = StandardScaler(inputCol=features, outputCol=name, withMean=True, withStd=True)
     return scaler.fit(df).transform(df)

@@ -16,6 +16,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gridevents.schema import NEVER_NULL
+
 #: Rows a broadcast side may have.  Rows here are about a dozen numbers wide, so
 #: this is some 150 MB at most, whatever the size of the other side.
 BROADCAST_ROWS = 1_000_000
@@ -30,16 +32,18 @@ def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
 
 
 def same(left: DataFrame, right: DataFrame, on: Sequence[str], prefix: str) -> Column:
-    """Null-safe equality over key columns; ``right`` carries the prefix."""
+    """Equality over key columns (null-safe where NULL may occur); ``right`` carries the prefix."""
     cond = F.lit(True)
     for name in on:
-        cond = cond & left[name].eqNullSafe(right[prefix + name])
+        a, b = left[name], right[prefix + name]
+        plain = name in NEVER_NULL or name.startswith("_")
+        cond = cond & ((a == b) if plain else a.eqNullSafe(b))
     return cond
 
 
 def equi_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner",
               hint: bool = False) -> DataFrame:
-    """Join on keys where NULL equals NULL; the keys appear once."""
+    """Join on keys (see ``NEVER_NULL`` for how NULL compares); the keys appear once."""
     prefix = "_r_"
     renamed = right.select([F.col(c).alias(prefix + c) if c in on else F.col(c) for c in right.columns])
     joined = left.join(F.broadcast(renamed) if hint else renamed, same(left, renamed, on, prefix), how)

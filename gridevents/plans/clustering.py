@@ -14,7 +14,7 @@ from gridevents.operators.ordering import event_ordinals
 from gridevents.operators.stats import batched_z_score, normalise
 from gridevents.session import written
 
-EVENT_KEY = ["algo", "loc_id", "event_time"]
+EVENT_KEY = ["algo", "loc_id", "event_time", "pos"]
 FEATURE = ["variable", "rel_lat", "rel_lon"]
 
 

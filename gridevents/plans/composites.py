@@ -16,7 +16,7 @@ from gridevents.operators.axes import canonical_longitude, relative_offsets, rel
 from gridevents.operators.boxjoin import few_boxes, join_event_boxes
 from gridevents.operators.climate import subtract_climatology
 from gridevents.operators.events import synthetic_stamp
-from gridevents.operators.filters import select_levels, select_region, select_variable
+from gridevents.operators.filters import keep_first, select_levels, select_region, select_variable
 from gridevents.operators.joins import lookup_join
 from gridevents.operators.ordering import event_ordinals
 from gridevents.operators.timejoin import asof_lagged, asof_nearest
@@ -26,9 +26,15 @@ QUARTER_DEGREE = 0.25
 
 def prepare_field(field: DataFrame, variable: str | None = None,
                   levels: Sequence[float] | None = None) -> DataFrame:
-    """One variable on some levels, longitudes in one frame."""
+    """One variable on some levels, longitudes in one frame.
+
+    A cube read with ``source_rank`` may hold a stamp in several files: the first
+    file's row is kept.
+    """
     out = select_variable(field, variable) if variable else field
     out = select_levels(out, levels) if levels else out
+    if "source_rank" in out.columns:
+        out = keep_first(out, ["variable", "time", "level", "lat", "lon"], "source_rank").drop("source_rank")
     return canonical_longitude(out)
 
 

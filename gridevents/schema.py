@@ -54,6 +54,11 @@ EVENT_POINT = T.StructType([
     T.StructField("lat", T.DoubleType(), False),
 ])
 
+#: Key columns that hold no NULL in any table.  Joins on these use plain
+#: equality, which keeps bucketing, partition pruning and runtime filters usable;
+#: every other key (a level, a cluster) is compared so that NULL meets NULL.
+NEVER_NULL = {"variable", "time", "lat", "lon", "algo", "loc_id", "matched_time", "event_time"}
+
 LABEL = T.StructType([
     T.StructField("event_id", T.LongType(), False),
     T.StructField("cluster", T.IntegerType(), False),

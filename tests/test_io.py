@@ -89,3 +89,26 @@ def test_fixed_tables():
 
 def test_scratch_folder_comes_from_the_session(spark):
     assert fresh_path(spark, "x").startswith(shared_dir(spark))
+
+
+def test_composite_of_a_stored_cube_prunes_directories(spark, rows):
+    from gridevents.plans.composites import composite_raw
+    df = rows("variable string, time timestamp_ntz, level double, lat double, lon double, value double", [
+        ("T", f"200{y}-0{m}-05", 500.0, 30.0, 240.0, float(y * 10 + m)) for y in range(4) for m in range(1, 7)])
+    path = fresh_path(spark, "t")
+    tables.write_cube(df, path)
+    cube = cubes.read_cube(spark, path)
+    place = rows("loc_id long, lat double, lon double", [(0, 30.0, 240.0)])
+    event = rows("algo string, loc_id long, time timestamp_ntz", [("a", 0, "2002-03-05")])
+    out = composite_raw(cube, event, place, 2, 2, axis=df)
+    assert [r["value"] for r in out.collect()] == [23.0]
+    scan = plan(out).split("PartitionFilters: [")[1].split("\n")[0]
+    assert "array_contains(Subquery" in scan.replace("ReusedSubquery ", "") or "ubquery" in scan
+    assert out.select("year").first()[0] == 2002     # the event's year, not a stored column
+
+
+def test_first_file_wins(spark, rows):
+    from gridevents.plans.composites import prepare_field
+    df = rows("variable string, time timestamp_ntz, level double, lat double, lon double, value double, source_rank string", [
+        ("T", "2000-01-05", None, 30.0, 240.0, 2.0, "b.nc"), ("T", "2000-01-05", None, 30.0, 240.0, 1.0, "a.nc")])
+    assert values(prepare_field(df, "T"), "value", "lon") == [(1.0, -120.0)]
