@@ -96,6 +96,11 @@ def lagged_region(v):
 
 
 def _native_windows(v):
+    """Positional windows of T and Q at 500 around the numbered daily events.
+
+    The sample cube is sparse (about one cell per window), so the clustering
+    queries scale in few blocks: small blocks would hold single values.
+    """
     events = clustering.positioned_events(v.event_daily, unique=True).withColumnRenamed("time", "event_time")
     field = composites.prepare_field(v.field.where(F.col("variable").isin("T", "Q")), levels=[500])
     matched = composites.with_centres(events, v.location).withColumn("time", F.col("event_time"))

@@ -8,10 +8,9 @@ from gridevents.catalog.registry import query, r6, s6
 from gridevents.operators import align, climate, consensus, events
 from gridevents.operators.axes import canonical_longitude
 from gridevents.operators.boxjoin import join_boxes, join_event_boxes
-from gridevents.operators.ordering import axis_positions, running_position
+from gridevents.operators.ordering import running_position
 from gridevents.operators.timejoin import asof_lagged, asof_nearest
 from gridevents.plans.comparison import with_titles
-from gridevents.plans.composites import with_centres
 from gridevents.plans.detection import landing_boxes
 
 TITLES = {"1-URGENT": "Urgent", "2-HIGH": "High", "3-MEDIUM": "Medium", "4-NOT SPECIFIED": "Unset"}

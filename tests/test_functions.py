@@ -4,7 +4,6 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from conftest import values
 from gridevents.functions import geo, physics, scaling, text, times
 
 
