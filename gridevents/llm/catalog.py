@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridevents.llm.neardup import near_duplicates
 from gridevents.llm.quality import quality
 
 QUERIES, ORACLES = {}, {}
@@ -22,6 +23,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op2_dartminhash")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))
+
+
 @query("op6_compression_bands")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return quality(table(spark, folder, "documents"))
