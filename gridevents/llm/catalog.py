@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gridevents.llm.neardup import near_duplicates
+from gridevents.llm.passages import passages
 from gridevents.llm.quality import quality
 
 QUERIES, ORACLES = {}, {}
@@ -33,6 +34,11 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return quality(table(spark, folder, "documents"))
 
 
+@query("op7_passages")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return passages(table(spark, folder, "documents"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
