@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridevents.llm.neardup import near_duplicates
+from gridevents.llm.packing import pack
 from gridevents.llm.passages import passages
 from gridevents.llm.quality import quality
+from gridevents.llm.secrets import joined, secrets
 
 QUERIES, ORACLES = {}, {}
 
@@ -39,6 +42,21 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return passages(table(spark, folder, "documents"))
 
 
+@query("op5_assignment_secrets")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets(table(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "literal")
+    counts = [F.size(F.filter(F.col("spans.kind"), F.lit(k).eqNullSafe)).cast("long").alias(f"n_{k}")
+              for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"),
+                        joined(F.col("spans")).alias("spans"))
+
+
+@query("op8_first_fit_decreasing")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
