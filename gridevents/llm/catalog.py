@@ -10,6 +10,7 @@ from gridevents.llm.packing import pack
 from gridevents.llm.passages import passages
 from gridevents.llm.quality import quality
 from gridevents.llm.secrets import joined, secrets
+from gridevents.llm.transducer import encode_decode
 
 QUERIES, ORACLES = {}, {}
 
@@ -57,6 +58,15 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
+@query("op10_bpe_transducer")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    coded = encode_decode(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+                          public_tokenizers.PATTERN)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
