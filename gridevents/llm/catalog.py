@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gridevents.llm.bloomlm import score
 from gridevents.llm.neardup import near_duplicates
 from gridevents.llm.packing import pack
 from gridevents.llm.passages import passages
@@ -67,6 +68,11 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op4_bloom_lm")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return score(table(spark, folder, "documents"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
