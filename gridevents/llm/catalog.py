@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridevents.llm.bloomlm import score
+from gridevents.llm.maxscore import top_k
 from gridevents.llm.neardup import near_duplicates
 from gridevents.llm.packing import pack
 from gridevents.llm.passages import passages
@@ -73,6 +74,25 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return score(table(spark, folder, "documents"))
 
 
+@query("op3_maxscore", """
+WITH whole AS (
+    SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS terms
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id,
+           CAST(list_sum(list_transform(list_zip(q.terms, c.terms, true), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM whole q JOIN whole c ON c.vec_id <> q.vec_id
+    WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 5
+""")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
