@@ -3,9 +3,10 @@
 1. One pass over the texts gives a key of the exact text and the hashes of the
    signature's bands.  Copies of a text are folded to the smallest doc_id first.
 2. Texts that share a band meet in a bucket.  A bucket of m texts is not expanded
-   into its pairs: its texts are compared with two pivots, links are merged into
-   components, and only texts of the bucket that are still in different components
-   are compared further, in rounds with more pivots, until none is left.
+   into its pairs: its texts are compared with two pivots, and links are merged into
+   components.  What is left are texts of a bucket in different components.  Small
+   buckets give these pairs; in large ones, texts outside the bucket's main component
+   meet all its texts in cells of bounded size, and a cell gives only a forest of links.
 3. A pair counts when its exact similarity, from both whole texts, reaches the threshold.
 """
 
@@ -21,14 +22,15 @@ from gridevents.llm.components import components
 from gridevents.llm.dartminhash import bands, signatures
 from gridevents.llm.frames import lists, map_slices, texts
 from gridevents.llm.words import mix, shingles, words
+from gridevents.operators.joins import fits
 from gridevents.session import written
 
 #: Words of a shingle, similarity of a link.
 SHINGLE, THRESHOLD = 5, 0.8
 #: Coordinates, and coordinates of a band: at similarity 0.8 one pair in 17,000 shares no band.
 COORDINATES, ROWS = 192, 6
-#: Buckets up to this many texts are compared in full in the second round.
-FULL = 24
+#: Buckets up to this many texts give pairs in the second round; others are cut into blocks.
+FULL, BLOCK = 24, 256
 #: Fixed values that give pivots of different buckets different places in the id order.
 _ORDERS = (0, 0x5555555555555555, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F)
 
@@ -87,10 +89,17 @@ def similarities(one: pa.Array, two: pa.Array, size: int = SHINGLE) -> np.ndarra
     return np.maximum(plain, weighted)
 
 
+def _named(base: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``base`` with one of the ids; only these texts are shuffled."""
+    ids = written(ids.distinct().withColumnRenamed(ids.columns[0], "doc_id"), "ids")
+    return base.join(F.broadcast(ids) if fits(ids) else ids, "doc_id", "left_semi")
+
+
 def verified(pairs: DataFrame, base: DataFrame, size: int, threshold: float) -> DataFrame:
     """The pairs (a, b) whose texts are similar enough."""
-    left = base.select(F.col("doc_id").alias("a"), F.col("text").alias("text"))
-    right = base.select(F.col("doc_id").alias("b"), F.col("text").alias("other"))
+    some = _named(base, pairs.select("a").unionAll(pairs.select("b")))
+    left = some.select(F.col("doc_id").alias("a"), F.col("text").alias("text"))
+    right = some.select(F.col("doc_id").alias("b"), F.col("text").alias("other"))
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         good = similarities(part["text"], part["other"], size) >= threshold
@@ -98,57 +107,115 @@ def verified(pairs: DataFrame, base: DataFrame, size: int, threshold: float) ->
     return map_slices(pairs.join(left, "a").join(right, "b"), run, "a long, b long").distinct()
 
 
-def _ordered(one, two):
-    return F.least(one, two).alias("a"), F.greatest(one, two).alias("b")
+def forest(column: pa.Array, left: np.ndarray, size: int, threshold: float) -> list[tuple[int, int]]:
+    """Links between texts and ``left`` ones of them, as few as join all that are linked.
+
+    A weight 1 + log2(c) is the sum over j = 1..c of the gains 1, log2(2/1), log2(3/2), ...,
+    so the weight that two texts share is an inner product over (shingle, j), as is the
+    number of shingles that they share.
+    """
+    found = words(column)
+    shingle, weight, bounds = weighted_shingles(found.hashes(), found.first, size)
+    owner = np.repeat(np.arange(len(column)), np.diff(bounds))
+    count = np.rint(2 ** (weight - 1)).astype(np.int64)
+    row = np.repeat(np.arange(len(count)), count)
+    j = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + 1
+    gain = np.where(j > 1, np.log2(j / np.maximum(j - 1, 1)), 1.0)
+    _, element = np.unique(mix(shingle[row] + j.astype(np.uint64)), return_inverse=True)
+    n = len(column)
+    plain, shared = np.zeros((len(left), n)), np.zeros((len(left), n))
+    number = np.bincount(owner[row[j == 1]], minlength=n)
+    total = np.bincount(owner[row], gain, n)
+    order = np.argsort(element, kind="stable")
+    element, who, gain, j = element[order], owner[row][order], gain[order], j[order]
+    width = 4096  # elements at a time
+    place = np.full(n, -1)
+    place[left] = np.arange(len(left))
+    for low in range(0, int(element.max(initial=-1)) + 1, width):
+        a, b = np.searchsorted(element, [low, low + width])
+        table = np.zeros((n, width), np.float64)
+        table[who[a:b], element[a:b] - low] = np.sqrt(gain[a:b])
+        shared += table[left] @ table.T
+        table[who[a:b], element[a:b] - low] = j[a:b] == 1
+        plain += table[left] @ table.T
+    close = ((plain >= threshold * (number[left][:, None] + number - plain) - 1e-9)
+             | (shared >= threshold * (total[left][:, None] + total - shared) - 1e-9)) & (plain > 0)
+    parent, links = list(range(n)), []
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for i, k in zip(*(x.tolist() for x in np.nonzero(close))):
+        one, two = root(int(left[i])), root(k)
+        if one != two:
+            parent[one] = two
+            links.append((int(left[i]), k))
+    return links
+
+
+def compared(members: DataFrame, base: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Links (a, b) between different components of large buckets (bucket, id, component, weight).
+
+    ``weight`` is the size of the component anywhere.  Texts outside the bucket's largest
+    component, in blocks, meet all its texts, in blocks; a cell of two blocks is one group.
+    """
+    main = members.groupBy("bucket").agg(F.max_by("component", F.struct("weight", "component")).alias("main"),
+                                         F.count(F.lit(1)).alias("n"))
+    sided = members.join(main, "bucket").withColumn("outside", F.col("component") != F.col("main"))
+    number = sided.where("outside").groupBy("bucket").agg(F.count(F.lit(1)).alias("k"))
+    sided = sided.join(number, "bucket")
+    blocks, left_blocks = F.ceil(F.col("n") / BLOCK), F.ceil(F.col("k") / BLOCK)
+    steps = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    place = F.xxhash64("id")
+    left = sided.where("outside").select("bucket", "id", F.lit(True).alias("left"), F.pmod(place, left_blocks).alias("l"),
+                                         F.explode(steps(blocks)).alias("r"))
+    right = sided.select("bucket", "id", F.lit(False).alias("left"), F.explode(steps(left_blocks)).alias("l"),
+                         F.pmod(place, blocks).alias("r"))
+    cells = written(left.unionByName(right).groupBy("bucket", "l", "r", "id").agg(F.max("left").alias("left")), "cells")
+    full = cells.join(_named(base, cells.select("id")), cells["id"] == F.col("doc_id")).drop("doc_id")
+
+    def run(table):
+        table = table.combine_chunks()
+        ids = table["id"].to_pylist()
+        found = forest(table["text"].chunk(0), np.flatnonzero(table["left"].to_numpy()), size, threshold)
+        return pa.table([pa.array([min(ids[i], ids[k]) for i, k in found], pa.int64()),
+                         pa.array([max(ids[i], ids[k]) for i, k in found], pa.int64())], ["a", "b"])
+    return full.groupBy("bucket", "l", "r").applyInArrow(run, "a long, b long").distinct()
 
 
-def _pivots(members: DataFrame, pivots: int) -> DataFrame:
-    """(bucket, size, low, high, pivot): up to ``2 * pivots`` pivots of every bucket in more than one component."""
-    order = F.array(*[F.lit(v) for v in _ORDERS])
-    seen = [F.col("id").bitwiseXOR(F.get(order, F.pmod(F.xxhash64("bucket", F.lit(j)), F.lit(len(_ORDERS)))))
-             .bitwiseXOR(F.lit(0 if j == 0 else (j * 0x9E3779B97F4A7) & 0x7FFFFFFFFFFF)) for j in range(pivots)]
-    mixed = members.select("*", *[c.alias(f"_{j}") for j, c in enumerate(seen)])
-    ends = [f(f"_{j}").alias(f"_{n}{j}") for j in range(pivots) for n, f in (("l", F.min), ("h", F.max))]
-    grouped = (mixed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"),
-                                           F.max("component").alias("high"), *ends).where("low < high"))
-    back = [F.col(f"_{n}{j}").bitwiseXOR(F.get(order, F.pmod(F.xxhash64("bucket", F.lit(j)), F.lit(len(_ORDERS)))))
-             .bitwiseXOR(F.lit(0 if j == 0 else (j * 0x9E3779B97F4A7) & 0x7FFFFFFFFFFF))
-            for j in range(pivots) for n in "lh"]
-    return grouped.select("bucket", "size", F.array_distinct(F.array(*back)).alias("pivot"))
+def _ordered(one, two):
+    return F.least(one, two).alias("a"), F.greatest(one, two).alias("b")
 
 
-def links(heads: DataFrame, base: DataFrame, size: int, threshold: float) -> DataFrame | None:
+def links(heads: DataFrame, base: DataFrame, size: int, threshold: float) -> DataFrame:
     """(id, component) of the texts that have a link; ``heads`` has (id, bands)."""
     rows = heads.select("id", F.explode("bands").alias("bucket"))
-    members = rows.withColumn("component", F.col("id"))
-    tops = _pivots(members, 1)
-    met = written(members.join(tops, "bucket").select("bucket", "id", "size", "pivot"), "buckets")
-    pairs = written(met.select("id", F.explode("pivot").alias("p")).where("id <> p")
+    order = F.get(F.array(*[F.lit(v) for v in _ORDERS]), F.pmod("bucket", F.lit(len(_ORDERS))).cast("int"))
+    place = F.col("id").bitwiseXOR(order)
+    tops = (rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("low"), F.max(place).alias("high"))
+                .where("low < high"))
+    met = written(rows.join(tops, "bucket").select("bucket", "id", "n", F.col("low").bitwiseXOR(order).alias("low"),
+                                                   F.col("high").bitwiseXOR(order).alias("high")), "buckets")
+    pairs = written(met.select("id", F.explode(F.array("low", "high")).alias("p")).where("id <> p")
                        .select(*_ordered(F.col("id"), F.col("p"))).distinct(), "pairs")
-    found = written(verified(pairs, base, size, threshold), "links")
-    labels = components(found)
-    open_rows, done, pivots = met.where("size > 2").select("bucket", "id"), pairs, 4
-    while True:
-        members = (open_rows.join(labels, "id", "left")
-                            .select("bucket", "id", F.coalesce("component", "id").alias("component")))
-        met = written(members.join(_pivots(members, pivots), "bucket"), "buckets")
-        if met.isEmpty():
-            return labels
-        small = met.where(F.col("size") <= FULL).select("bucket", "id", "component")
-        other = small.select("bucket", F.col("id").alias("p"), F.col("component").alias("c"))
-        large = met.where(F.col("size") > FULL)
-        # a pivot that its whole bucket was compared with is not needed there again
-        open_rows = written(large.where(~F.array_contains("pivot", F.col("id"))).select("bucket", "id"), "open")
-        chosen = large.where(F.array_contains("pivot", F.col("id"))).select(
-            "bucket", F.col("id").alias("p"), F.col("component").alias("c"))
-        fresh = (small.join(other, "bucket").where("id < p and component <> c").select(*_ordered(F.col("id"), F.col("p")))
-                      .unionByName(large.select("bucket", "id", "component").join(chosen, "bucket")
-                                        .where("id <> p and component <> c").select(*_ordered(F.col("id"), F.col("p"))))
-                      .distinct().join(done, ["a", "b"], "left_anti"))
-        pairs = written(fresh, "pairs")
-        more = written(verified(pairs, base, size, threshold), "links")
-        labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
-        done, pivots = done.unionByName(pairs), min(4 * pivots, 64)
+    labels = components(written(verified(pairs, base, size, threshold), "links"))
+    # a bucket of two is done; in others, texts of different components are still to compare
+    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("weight"))
+    members = (met.where("n > 2").select("bucket", "id", "n").join(labels.join(sizes, "component"), "id", "left")
+                  .select("bucket", "id", "n", F.coalesce("component", "id").alias("component"),
+                          F.coalesce("weight", F.lit(1)).alias("weight")))
+    split = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    still = written(members.join(split.select("bucket"), "bucket"), "open")
+    small = still.where(F.col("n") <= FULL).select("bucket", "id", "component")
+    other = small.select("bucket", F.col("id").alias("p"), F.col("component").alias("c"))
+    fresh = written(small.join(other, "bucket").where("id < p and component <> c").select(F.col("id").alias("a"), F.col("p").alias("b"))
+                         .distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = verified(fresh, base, size, threshold).unionByName(
+        compared(still.where(F.col("n") > FULL).drop("n"), base, size, threshold))
+    known = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    return components(known.unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD,
