@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridevents.llm.bloomlm import score
+from gridevents.llm.chat import chat
 from gridevents.llm.maxscore import top_k
 from gridevents.llm.neardup import near_duplicates
 from gridevents.llm.packing import pack
@@ -93,6 +94,11 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+@query("op1_role_repair")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return chat(table(spark, folder, "conversations"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
