@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridevents.llm.bloomlm import score
 from gridevents.llm.chat import chat
+from gridevents.llm.htmltext import extract
 from gridevents.llm.maxscore import top_k
 from gridevents.llm.neardup import near_duplicates
 from gridevents.llm.packing import pack
@@ -99,6 +100,11 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return chat(table(spark, folder, "conversations"))
 
 
+@query("op9_boosted_dom")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return extract(table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -17,7 +17,7 @@ def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                      F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
-def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str,
+def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema,
                column: str = "text") -> DataFrame:
     """``fn`` over small slices of each Arrow batch, so temporaries follow the slice, not the batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
