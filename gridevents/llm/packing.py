@@ -42,40 +42,71 @@ class WordIds:
         self.limit = limit
         self.clear()
 
+        # in this vocabulary the last token of every run of letters says so
+        ends = [i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]
+        self.word_end = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.word_end[ends] = True
+
     def clear(self) -> None:
         self.codes: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
-        self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-
-    def _store(self, code: int, ids) -> None:
-        if code >= len(self.start):
-            self.start, self.length = (np.concatenate([x, np.zeros(len(x), x.dtype)]) for x in (self.start, self.length))
-        while self.used + len(ids) > len(self.flat):
+        self.flat, self.used = np.zeros(1 << 20, np.int32), 0
+        self.start, self.length, self.uses = (np.zeros(1 << 18, np.int64) for _ in range(3))
+
+    def _add(self, words: list[str], flat: np.ndarray, length: np.ndarray) -> None:
+        low, high = len(self.codes), len(self.codes) + len(words)
+        while high > len(self.start):
+            self.start, self.length, self.uses = (np.concatenate([x, np.zeros(len(x), x.dtype)])
+                                                  for x in (self.start, self.length, self.uses))
+        while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.int32)])
-        self.flat[self.used:self.used + len(ids)] = ids
-        self.start[code], self.length[code] = self.used, len(ids)
-        self.used += len(ids)
+        self.flat[self.used:self.used + len(flat)] = flat
+        self.start[low:high], self.length[low:high] = self.used + np.cumsum(length) - length, length
+        self.used += len(flat)
+        self.codes.update(zip(words, range(low, high)))
+
+    def _gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words one after another, and how many each has."""
+        length = self.length[codes]
+        before = np.cumsum(length) - length
+        return self.flat[np.repeat(self.start[codes] - before, length) + np.arange(length.sum())], length
+
+    def _forget(self) -> None:
+        """Words that came once only make room for others."""
+        again = [(word, code) for word, code in self.codes.items() if self.uses[code] > 1]
+        codes = np.array([code for _, code in again], np.int64)
+        flat, length = self._gather(codes)
+        self.clear()
+        if len(again) < self.limit // 2:
+            self._add([word for word, _ in again], flat, length)
+
+    def _learn_alone(self, words: list[str]) -> None:
+        for at in range(0, len(words), 4096):
+            part = words[at:at + 4096]
+            ids = [found.ids for found in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            self._add(part, np.concatenate([np.array(x, np.int32) for x in ids]), np.array([len(x) for x in ids], np.int64))
 
     def _learn(self, words: set[str]) -> None:
-        tails = {w: w[:-1] for w in words if len(w) > 1 and w[-1] in ".," and w[-2].isascii() and w[-2].isalpha()}
-        plain = sorted({tails.get(w, w) for w in words} - self.codes.keys() | ({".", ","} - self.codes.keys()))
-        for at in range(0, len(plain), 4096):
-            part = plain[at:at + 4096]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.codes[word] = code = len(self.codes)
-                self._store(code, found.ids)
-        for word, stem in tails.items():
-            self.codes[word] = code = len(self.codes)
-            both = [self.ids(self.codes[stem]), self.ids(self.codes[word[-1]])]
-            self._store(code, np.concatenate(both))
-
-    def ids(self, code: int) -> np.ndarray:
-        return self.flat[self.start[code]:self.start[code] + self.length[code]]
+        tails = [w for w in words if len(w) > 1 and w[-1] in ".," and w[-2].isascii() and w[-2].isalpha()]
+        plain = words.difference(tails).union((w[:-1] for w in tails), ".,") - self.codes.keys()
+        letters = sorted(w for w in plain if w.isalpha())  # a run of letters is one unit: many at once, told apart by their ends
+        for at in range(0, len(letters), 4096):
+            part = letters[at:at + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int32)
+            length = np.diff(np.flatnonzero(self.word_end[ids]), prepend=-1)
+            if len(length) == len(part) and length.sum() == len(ids):
+                self._add(part, ids, length)
+            else:
+                self._learn_alone(part)
+        self._learn_alone(sorted(plain - self.codes.keys()))
+        if tails:
+            both = np.array([(self.codes[w[:-1]], self.codes[w[-1]]) for w in tails], np.int64)
+            flat, length = self._gather(both.reshape(-1))
+            self._add(tails, flat, length.reshape(-1, 2).sum(axis=1))
 
     def encode(self, column: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by ``END``; bounds of the texts)."""
         if len(self.codes) > self.limit:
-            self.clear()
+            self._forget()
         split = [t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
                   .replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" ") for t in column]
         fresh = set().union(*split) - self.codes.keys()
@@ -83,16 +114,15 @@ class WordIds:
             self._learn(fresh)
         get = self.codes.__getitem__
         codes = np.fromiter((c for words in split for c in map(get, words)), np.int64, sum(map(len, split)))
-        length = self.length[codes]
+        self.uses += np.bincount(codes, minlength=len(self.uses))
+        flat, length = self._gather(codes)
         # each text's ids, then the end id
-        size = np.array([len(words) for words in split], np.int64)
-        bounds = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(size)])]
-        source = np.repeat(self.start[codes] - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(bounds[-1])
-        first = bounds + np.arange(len(column) + 1)
+        words = np.cumsum([0, *map(len, split)])
+        first = np.concatenate([[0], np.cumsum(length)])[words] + np.arange(len(column) + 1)
         out = np.full(first[-1], END, np.int32)
         keep = np.ones(first[-1], bool)
         keep[first[1:] - 1] = False
-        out[keep] = self.flat[source]
+        out[keep] = flat
         return out, first
 
 
