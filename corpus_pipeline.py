@@ -10,6 +10,10 @@ from gridevents.session import written
 #: Every function takes (spark, docs, sf_dir); all but the last return the columns of documents.
 STAGES = [
     ("quality rules", stages.quality_rules),
+    ("near dedup", stages.near_dedup),
+    ("substring dedup", stages.substring_dedup),
+    ("secret scan", stages.secret_scan),
+    ("packing", stages.packing),
 ]
 
 #: zstandard ratios and signatures have no SQL.

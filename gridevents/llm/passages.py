@@ -310,9 +310,15 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def without_passages(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` with the spans of ``passages`` cut from ``text``; other columns stay."""
+    """``docs`` with the spans of ``passages`` cut from ``text``; ``n_chars`` follows, other columns stay.
+
+    A document that loses text and has no word left goes.
+    """
     spans = found.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    cutting = F.udf(lambda t, s: cut(t or "", [(x["start"], x["end"]) for x in s]) if s else t, "string")
+    cutting = F.udf(lambda text, spans: cut(text or "", [(s["start"], s["end"]) for s in spans]), "string")
     joined = docs.join(spans, docs["doc_id"] == spans["_doc"], "left")
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text"))
-                                      .otherwise(cutting("text", "_spans"))).select(*docs.columns)
+    changed = (joined.where("_doc IS NOT NULL").withColumn("text", cutting("text", "_spans"))
+                     .where(F.col("text").rlike(r"[^\x20\x09-\x0D]")))
+    if "n_chars" in docs.columns:
+        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return joined.where("_doc IS NULL").select(*docs.columns).unionByName(changed.select(*docs.columns))

@@ -93,25 +93,35 @@ def quality(docs: DataFrame, bands: Sequence[tuple[int, float, float]] = BANDS)
     doc_id stays null; repeated rows give repeated rows; an empty table an empty one.
     Any text length is read whole: memory follows the longest single text.
     """
+    return map_slices(texts(docs), lambda part: measured(part["doc_id"], part["text"], bands), SCHEMA)
+
+
+def measured(ids: pa.Array, column: pa.Array, bands: Sequence[tuple[int, float, float]] = BANDS) -> pa.RecordBatch:
+    """Counts and verdicts of a slice of texts."""
+    found = words(column)
+    compressor = zstandard.ZstdCompressor(level=LEVEL)
+    hashes = found.hashes()
+    points, marks = code_points(found.data), np.zeros(len(found.data) + 1, np.int64)
+    np.cumsum(_SYMBOL[found.data], out=marks[1:])
+    chars = np.zeros(len(found.start) + 1, np.int64)
+    np.cumsum(points[found.end] - points[found.start], out=chars[1:])
+    data, bounds = found.data.tobytes(), found.text.tolist()
+    ratios = [compression(data[a:b], compressor, bands) for a, b in zip(bounds, bounds[1:])]
+    repeats = repeated_words(hashes, found.first)
+    failed = (found.counts < 20) | (100 * repeats > 30 * found.counts)
+    columns = [ids, found.counts, np.diff(chars[found.first]), np.diff(marks[found.text]),
+               [duplicate_lines(t) for t in column.to_pylist()], repeats,
+               [r[0] for r in ratios], [r[1] for r in ratios], [r[2] for r in ratios],
+               failed, ~failed & np.array([r[3] for r in ratios], bool)]
+    kinds = [pa.int64()] * 6 + [pa.float64()] + [pa.int64()] * 2 + [pa.bool_()] * 2
+    names = [x.split(" ")[0] for x in SCHEMA.split(", ")]
+    return pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c, k)
+                            for c, k in zip(columns, kinds)], names)
+
+
+def passing(docs: DataFrame, bands: Sequence[tuple[int, float, float]] = BANDS) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns; no row is shuffled."""
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        found = words(part["text"])
-        compressor = zstandard.ZstdCompressor(level=LEVEL)
-        hashes = found.hashes()
-        points, marks = code_points(found.data), np.zeros(len(found.data) + 1, np.int64)
-        np.cumsum(_SYMBOL[found.data], out=marks[1:])
-        chars = np.zeros(len(found.start) + 1, np.int64)
-        np.cumsum(points[found.end] - points[found.start], out=chars[1:])
-        data, bounds = found.data.tobytes(), found.text.tolist()
-        ratios = [compression(data[a:b], compressor, bands) for a, b in zip(bounds, bounds[1:])]
-        repeats = repeated_words(hashes, found.first)
-        failed = (found.counts < 20) | (100 * repeats > 30 * found.counts)
-        columns = [part["doc_id"], found.counts, np.diff(chars[found.first]), np.diff(marks[found.text]),
-                   [duplicate_lines(t) for t in part["text"].to_pylist()], repeats,
-                   [r[0] for r in ratios], [r[1] for r in ratios], [r[2] for r in ratios],
-                   failed, ~failed & np.array([r[3] for r in ratios], bool)]
-        kinds = [pa.int64()] * 6 + [pa.float64()] + [pa.int64()] * 2 + [pa.bool_()] * 2
-        names = [x.split(" ")[0] for x in SCHEMA.split(", ")]
-        return pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c, k)
-                                for c, k in zip(columns, kinds)], names)
-
-    return map_slices(texts(docs), run, SCHEMA)
+        column = part["text"].fill_null("")
+        return part.filter(measured(pa.nulls(len(column), pa.int64()), column, bands)["kept"])
+    return map_slices(docs, run, docs.schema)

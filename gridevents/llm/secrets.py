@@ -176,3 +176,21 @@ def redact(text: str, spans: list[tuple[int, int]], mark: str = "[secret]") -> s
             out += [text[at:start], mark]
         at = end
     return "".join([*out, text[at:]])
+
+
+def redacted(docs: DataFrame) -> DataFrame:
+    """``docs`` with the value of every secret in ``text`` replaced; ``n_chars`` follows, other columns stay.
+
+    A null text stays null.
+    """
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        new = []
+        for text in part["text"].to_pylist():
+            spans = scan(text) if text else []
+            new.append(redact(text, [(value, end) for _, _, end, value in spans]) if spans else text)
+        for name, column in (("text", pa.array(new, pa.string())),
+                             ("n_chars", pa.array([None if t is None else len(t) for t in new], pa.int64()))):
+            if name in part.schema.names:
+                part = part.set_column(part.schema.names.index(name), name, column.cast(part.schema.field(name).type))
+        return part
+    return map_slices(docs, run, docs.schema)
