@@ -188,8 +188,10 @@ def score(docs: DataFrame, head: int = HEAD, segment_bits: int = SEGMENT_BITS, b
     shards = max(1, -(-size // SHARD_BYTES))
     bits = max(1 << 12, int(size * bits_per_byte / shards) // 64 * 64)
     model = written(_merged(_counted(training, shards), shards, bits), "ngrams")
-    total, distinct = (int(x or 0) for x in model.agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)),
-                                                      F.sum(F.size("words"))).first())
+    end_place = (F.array_position("words", F.lit(int(END.view(np.int64)))) - 1).cast("int")
+    total, distinct, ends = (int(x or 0) for x in model.agg(
+        F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)), F.sum(F.size("words")),
+        F.sum(F.get("counts", end_place))).first())  # as many texts began as ended
     log_whole = np.log10(total + 0.1 * (distinct + 1))
     known, counts = _head(model, distinct, head)
     tail = len(known) < distinct
@@ -225,7 +227,6 @@ def score(docs: DataFrame, head: int = HEAD, segment_bits: int = SEGMENT_BITS, b
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"] + ["rest"] * tail
     schema = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
               + ", rest array<long>" * tail)
-    ends = float(counts[known == END].sum())  # as many texts began as ended
 
     def run(number: int, low: int, high: int, bitmap, last: bool):
         def found(grams):

@@ -6,9 +6,10 @@ tags in its subtree.  Gradient-boosted trees, trained here, give each block a sc
 
 The labels come from pages that name their parts: a block inside ``article`` or ``main``
 and outside parts named as furniture is content, a block inside such a part is not.
-Every row is also shown with all names blanked, so that the trees learn what text looks
-like where nothing is named, and every content row as if furniture held it, so that
-they learn that furniture may hold prose (reader comments, notices).
+Rows are also shown with all names blanked, so that the trees learn what text looks like
+where nothing is named (furniture made of prose is left out there: without a name it
+cannot be told from text), and content rows as if furniture held them, so that they
+learn that named furniture may hold prose (reader comments, notices).
 
 A page is decoded as a whole: a set of open nodes is sought in which every open node has
 an open parent, with the largest sum of scores weighted by text.  Bottom up, a subtree
@@ -220,12 +221,13 @@ def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, trees: int = TREES
                 label = labels(rows)
                 known = label >= 0
                 rows, label = rows[known], label[known]
-                blank = rows.copy()
+                plain = (label == 1) | (rows[:, FEATURES.index("prose_share")] < 0.5)
+                blank = rows[plain].copy()
                 blank[:, :NAMES] = 0
                 moved = rows[label == 1].copy()
                 moved[:, FEATURES.index("furniture_above")] = 1
                 both = np.concatenate([rows, blank, moved])
-                label = np.concatenate([label, label, np.zeros(len(moved))])
+                label = np.concatenate([label, label[plain], np.zeros(len(moved))])
                 yield pa.record_batch([pa.array(np.full(len(both), page, np.int64)), pa.array(np.arange(len(both))),
                                        pa.array(label.astype(np.float64)),
                                        pa.array(list(both), pa.list_(pa.float64()))], ["page", "row", "label", "features"])

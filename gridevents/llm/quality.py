@@ -20,7 +20,7 @@ from gridevents.llm.frames import map_slices, texts
 from gridevents.llm.words import code_points, shingles, words
 
 #: (bytes up to and including, lowest ratio, highest ratio): shorter texts have no band.
-BANDS = ((63, 0.0, 9.9), (255, 0.25, 1.20), (1023, 0.22, 0.95), (4095, 0.18, 0.85), (1 << 62, 0.12, 0.78))
+BANDS = ((63, 0.0, 9.9), (255, 0.25, 1.10), (1023, 0.22, 0.86), (4095, 0.18, 0.76), (1 << 62, 0.12, 0.70))
 
 #: Chunks have the band of their own length; a text goes if more than this share of its chunks is outside.
 CHUNK_BYTES, CHUNK_SHARE = 2048, 0.5
