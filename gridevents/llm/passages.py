@@ -9,6 +9,8 @@
 3. Matches of a document with one anchor are chained: the best chain of increasing
    places on both sides, where the distance between neighbours costs.  A Fenwick
    tree of prefix maxima over the anchor's places finds each best predecessor.
+   A chain whose surroundings hold fewer than ``MIN_SEEDS`` matches cannot lie in a
+   passage, as ten seeds in a row never lack a minimizer, and is left.
 4. The regions of a chain are extended and aligned word by word; aligned regions that
    touch are joined, and a passage must have ``min_words`` words.
 """
@@ -31,6 +33,8 @@ SEED, WINDOW = 5, 10
 MIN_WORDS, THRESHOLD = 50, 0.8
 #: A chain's part must have so many words before touching parts are joined.
 PART_WORDS = 14
+#: Matches, with no gap over ``GAP_CUT``, that a passage of 50 words has at least, two edits included.
+MIN_SEEDS = 3
 #: Characters of distance (both sides together) that cost as much as one seed is worth,
 #: and characters without a seed at which a chain is cut.
 GAP_COST, GAP_CUT = 400, 400
@@ -84,6 +88,16 @@ def seeds(df: DataFrame, k: int = SEED, window: int = WINDOW) -> DataFrame:
     return map_slices(df, run, "seed long, doc_id long, place int, first int")
 
 
+def dense(anchor: np.ndarray, place: np.ndarray, there: np.ndarray) -> zip:
+    """The matches of a document that lie among ``MIN_SEEDS`` places or more without a wide gap."""
+    order = np.argsort(place, kind="stable")
+    anchor, place, there = anchor[order], place[order], there[order]
+    group = np.cumsum(np.diff(place, prepend=place[:1]) > GAP_CUT)
+    new = np.diff(place, prepend=-1) > 0
+    keep = np.bincount(group, new)[group] >= MIN_SEEDS
+    return zip(anchor[keep].tolist(), place[keep].tolist(), there[keep].tolist())
+
+
 class PrefixMax:
     """Fenwick tree: largest (score, index) stored at positions up to a given one."""
 
@@ -226,21 +240,25 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THR
                     .where("anchor < last").drop("last"))
     matches = found.join(anchors, "seed").where("doc_id > anchor").select("doc_id", "anchor", "place", "there")
     # bounded by the seeds of one document
-    grouped = matches.groupBy("doc_id", "anchor").agg(F.collect_list(F.struct("place", "there")).alias("places"))
+    grouped = matches.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place", "there")).alias("matches"))
 
     def chain(part: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for doc, anchor, places in zip(*(part[c].to_pylist() for c in ("doc_id", "anchor", "places"))):
-            for found in chains([(p["place"], p["there"]) for p in places]):
-                rows.append((doc, anchor, found[0][0], found[-1][0], found[0][1], found[-1][1]))
+        for doc, found in zip(part["doc_id"].to_pylist(), part["matches"]):
+            by_anchor: dict[int, list[tuple[int, int]]] = {}
+            for anchor, place, there in dense(*(found.values.field(c).to_numpy() for c in ("anchor", "place", "there"))):
+                by_anchor.setdefault(anchor, []).append((place, there))
+            for anchor, places in by_anchor.items():
+                for one in chains(places):
+                    rows.append((doc, anchor, one[0][0], one[-1][0], one[0][1], one[-1][1]))
         return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in
                                 enumerate([pa.int64()] * 2 + [pa.int32()] * 4)],
                                ["doc_id", "anchor", "x0", "x1", "y0", "y1"])
 
     def chain_batches(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                yield chain(batch.slice(at, 512))
+            for at in range(0, batch.num_rows, 256):
+                yield chain(batch.slice(at, 256))
 
     regions = written(grouped.mapInArrow(chain_batches, "doc_id long, anchor long, x0 int, x1 int, y0 int, y1 int"),
                       "chains")
