@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -23,7 +24,7 @@ HEADLINE = [
     "x16_consensus_filter", "x17_monthly_anomaly", "x18_mask_frequency",
     "j01_asof_nearest", "j02_asof_lagged", "j03_box_join", "j05_climatology_anomaly", "j07_three_way",
     "w03_event_ordinals", "w06_batched_zscore", "w08_gradient_lat", "r01_feature_vectors", "r04_timeline",
-    "m03_squared_silhouette",
+    "m03_squared_silhouette", "m04_k_sweep", "x09_cluster_events", "x10_cluster_pooled",
 ]
 
 
@@ -32,6 +33,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     builder = (SparkSession.builder.master(f"local[{cpus}]").appName("bench")
                .config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false")
+             .config("spark.checkpoint.dir", os.environ.get("SHARED_DIR") or tempfile.mkdtemp(prefix="shared-"))
                .config("spark.driver.memory", "16g").config("spark.sql.session.timeZone", "UTC"))
     for key, value in RECOMMENDED.items():
         builder = builder.config(key, value)

@@ -110,25 +110,38 @@ def _native_windows(v):
     return composites.relative_positions(boxes, field.select("lat", "lon"), WINDOW.half_lat, WINDOW.half_lon)
 
 
+def _labelled_events(v, algorithm, splits):
+    events = clustering.positioned_events(v.event_daily, unique=True).withColumnRenamed("time", "event_time")
+    return clustering.cluster_events(_native_windows(v), algorithm, WINDOW, splits, "T", 500, "Q", 500, events=events)
+
+
 @query("x09_cluster_events")
 def cluster_events(v):
-    return clustering.cluster_events(_native_windows(v), "1-URGENT", WINDOW, 2, "T", 500, "Q", 500)
+    return _labelled_events(v, "1-URGENT", 2)
+
+
+@query("x09_one_label_per_event", """
+SELECT CAST(count(*) AS BIGINT) AS n_events, CAST(count(*) AS BIGINT) AS n_rows, true AS k_in_range FROM event_daily WHERE algo='1-URGENT'""")
+def one_label_per_event(v):
+    labels = _labelled_events(v, "1-URGENT", 2)
+    inside = F.col("k").between(2, 9) & F.col("cluster").between(0, F.col("k") - 1)
+    return labels.agg(F.count_distinct("loc_id", "event_time").alias("n_events"), F.count(F.lit(1)).alias("n_rows"),
+                      F.bool_and(inside).alias("k_in_range"))
 
 
 @query("x10_cluster_pooled")
 def cluster_pooled(v):
-    return clustering.cluster_events(_native_windows(v), None, WINDOW, 5, "T", 500, "Q", 500)
+    return _labelled_events(v, None, 5)
 
 
 @query("x11_cluster_averages", f"""
 SELECT algo, cluster, variable, level, rel_lat, rel_lon, {s6('mv')} AS mean_value,
   {s6('2*(mv-min(mv) OVER w)/nullif(max(mv) OVER w-min(mv) OVER w,0)-1')} AS norm_value FROM (
  SELECT e.algo, e.cluster, f.variable, f.level, f.lat-c.centre_lat AS rel_lat, f.lon-c.centre_lon AS rel_lon, avg(f.value) AS mv
- FROM {_COMP} AND f.level IN (925,850,700,500,300,250) AND f.variable IN ('T','Q') GROUP BY 1,2,3,4,5,6) q
+ FROM {_COMP} AND f.level IN (925,850,700,500,300,250) GROUP BY 1,2,3,4,5,6) q
 WINDOW w AS (PARTITION BY algo, cluster, variable, level)""")
 def cluster_averages(v):
-    two = v.field.where(F.col("variable").isin("T", "Q"))
-    comp = composites.composite_raw(two, v.event_daily, v.location, 2, 4, axis=v.axis, unique_events=True)
+    comp = composites.composite_raw(v.field, v.event_daily, v.location, 2, 4, axis=v.axis, unique_events=True)
     out = clustering.cluster_averages(comp, [925, 850, 700, 500, 300, 250])
     return out.select("algo", "cluster", "variable", "level", "rel_lat", "rel_lon", r6("mean_value"), r6("norm_value"))
 

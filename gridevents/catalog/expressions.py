@@ -229,7 +229,7 @@ def comma_list(v):
 @query("f26_plot_codes", """
 SELECT e.algo, CAST(t.ordinal AS INTEGER) AS ordinal, CAST((e.cluster+1)*15 AS INTEGER) AS size_code, CAST(count(*) AS BIGINT) AS n FROM event_daily e
 JOIN (SELECT '1-URGENT' AS algo, 1 AS ordinal UNION ALL SELECT '2-HIGH', 2 UNION ALL SELECT '3-MEDIUM', 3
- UNION ALL SELECT '4-NOT SPECIFIED', 4) t ON t.algo=e.algo GROUP BY 1, 2, 3""")
+ UNION ALL SELECT '4-NOT SPECIFIED', 4 UNION ALL SELECT '5-LOW', 5) t ON t.algo=e.algo GROUP BY 1, 2, 3""")
 def plot_codes(v):
     coded = with_titles(v.event_daily, TITLES).withColumn("size_code", (F.col("cluster") + 1) * 15)
     return coded.groupBy("algo", "ordinal", "size_code").agg(F.count(F.lit(1)).alias("n"))

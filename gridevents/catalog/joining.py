@@ -13,7 +13,7 @@ from gridevents.operators.timejoin import asof_lagged, asof_nearest
 from gridevents.plans.comparison import with_titles
 from gridevents.plans.detection import landing_boxes
 
-TITLES = {"1-URGENT": "Urgent", "2-HIGH": "High", "3-MEDIUM": "Medium", "4-NOT SPECIFIED": "Unset"}
+TITLES = {"1-URGENT": "Urgent", "2-HIGH": "High", "3-MEDIUM": "Medium", "4-NOT SPECIFIED": "Unset", "5-LOW": "Low"}
 
 
 @query("j01_asof_nearest", """
@@ -37,6 +37,29 @@ def nearest_within(v):
     return asof_nearest(v.event_daily, v.axis4, tolerance="1 day").select("algo", "loc_id", "time", "matched_time")
 
 
+_GAP = """(SELECT time FROM axis WHERE year(time) <> 1995)"""
+
+
+@query("j01_year_gap", f"""
+SELECT e.algo, e.loc_id, e.time, CASE WHEN p IS NULL THEN n WHEN n IS NULL THEN p WHEN n-e.time <= e.time-p THEN n ELSE p END AS matched_time
+FROM event_daily e JOIN (SELECT e.time, max(CASE WHEN a.time<=e.time THEN a.time END) AS p, min(CASE WHEN a.time>=e.time THEN a.time END) AS n
+  FROM (SELECT DISTINCT time FROM event_daily) e JOIN {_GAP} a ON year(a.time)=year(e.time) GROUP BY e.time) m ON m.time=e.time""")
+def asof_year_gap(v):
+    axis = v.axis.where(F.year("time") != 1995)
+    return asof_nearest(v.event_daily, axis).select("algo", "loc_id", "time", "matched_time")
+
+
+@query("j02_hours_in_year", """
+SELECT e.algo, e.loc_id, e.time, CAST(36 AS INTEGER) AS lag,
+  CASE WHEN p IS NULL THEN n WHEN n IS NULL THEN p WHEN n-(e.time-INTERVAL 36 HOUR) <= (e.time-INTERVAL 36 HOUR)-p THEN n ELSE p END AS matched_time
+FROM event_daily e JOIN (SELECT e.time, max(CASE WHEN a.time<=e.time-INTERVAL 36 HOUR THEN a.time END) AS p,
+    min(CASE WHEN a.time>=e.time-INTERVAL 36 HOUR THEN a.time END) AS n
+  FROM (SELECT DISTINCT time FROM event_daily) e JOIN axis a ON year(a.time)=year(e.time) GROUP BY e.time) m ON m.time=e.time""")
+def lagged_hours_in_year(v):
+    out = asof_lagged(v.event_daily, v.axis, [36], axis_scope="year", lag_unit="hours")
+    return out.select("algo", "loc_id", "time", "lag", "matched_time")
+
+
 @query("j02_asof_lagged", """
 SELECT e.algo, e.loc_id, e.time, CAST(m.lag AS INTEGER) AS lag, m.matched_time FROM event_daily e JOIN lagmap m ON m.time=e.time""")
 def lagged(v):
@@ -188,7 +211,7 @@ def replicates(v):
 @query("j14_titles", """
 SELECT e.algo, t.title, CAST(t.ordinal AS INTEGER) AS ordinal, CAST(count(*) AS BIGINT) AS n_events FROM event_daily e
 JOIN (SELECT '1-URGENT' AS algo, 'Urgent' AS title, 1 AS ordinal UNION ALL SELECT '2-HIGH', 'High', 2
- UNION ALL SELECT '3-MEDIUM', 'Medium', 3 UNION ALL SELECT '4-NOT SPECIFIED', 'Unset', 4) t ON t.algo=e.algo
+ UNION ALL SELECT '3-MEDIUM', 'Medium', 3 UNION ALL SELECT '4-NOT SPECIFIED', 'Unset', 4 UNION ALL SELECT '5-LOW', 'Low', 5) t ON t.algo=e.algo
 GROUP BY 1, 2, 3""")
 def titles(v):
     return with_titles(v.event_daily, TITLES).groupBy("algo", "title", "ordinal").agg(

@@ -48,6 +48,36 @@ def sweep(v):
     return cluster.sweep(written(_vectors(v), "vectors"))
 
 
+def _separated(v, groups):
+    """Vectors moved far apart by group: any sound clustering finds exactly these groups."""
+    group = F.col("label") % groups
+    return v.vectors.select("vec_id", group.alias("planted"), F.transform("features", lambda x, i: F.when(
+        i == group, x + 100).otherwise(x)).alias("features"))
+
+
+@query("m01_points_sum_to_table", """
+SELECT CAST(count(*) AS BIGINT) AS n_points, CAST(4 AS BIGINT) AS n_clusters FROM embeddings""")
+def sweep_fit_total(v):
+    return sweep_fit(v).agg(F.sum("n_points").alias("n_points"), F.count(F.lit(1)).alias("n_clusters"))
+
+
+@query("m02_planted_labels", """
+SELECT CAST(label % 5 AS INTEGER) AS planted, CAST(count(*) AS BIGINT) AS n_points, CAST(1 AS BIGINT) AS n_clusters
+FROM embeddings GROUP BY label % 5""")
+def planted_labels(v):
+    table = written(as_vectors(_separated(v, 5)), "vectors")
+    return cluster.fit_predict(table, 5).groupBy("planted").agg(
+        F.count(F.lit(1)).alias("n_points"), F.count_distinct("cluster").alias("n_clusters"))
+
+
+@query("m04_planted_k", "SELECT CAST(4 AS INTEGER) AS k, CAST(4 AS BIGINT) AS n_scores, CAST(count(*) AS BIGINT) AS n_points FROM embeddings")
+def planted_k(v):
+    table = written(as_vectors(_separated(v, 4)), "vectors")
+    scores = cluster.sweep(table, (2, 3, 4, 5))
+    return axes.best_k(scores).select("k", F.lit(scores.count()).cast("long").alias("n_scores"),
+                                      F.lit(table.count()).cast("long").alias("n_points"))
+
+
 @query("m05_best_k", f"""
 SELECT CAST(label AS INTEGER) AS k, {s6('avg(CAST(embedding[1] AS DOUBLE))')} AS score FROM embeddings GROUP BY label
 ORDER BY avg(CAST(embedding[1] AS DOUBLE)) DESC, label LIMIT 1""")

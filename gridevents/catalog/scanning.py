@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from gridevents.catalog.registry import query, r6, s6
 from gridevents.functions.times import stamp_text
 from gridevents.operators.filters import select_levels
+from gridevents.plans.composites import prepare_field
+from gridevents.session import fresh_path
 from gridevents.sinks.listings import place_lines, yearly_list_lines
+from gridevents.sinks.tables import write_cube, write_partitioned
 from gridevents.sources import cubes, listings
 from gridevents.sources.selftest import planted_frames
 
@@ -16,7 +19,12 @@ from gridevents.sources.selftest import planted_frames
 SELECT variable, level, CAST(count(*) AS BIGINT) AS n_rows, {s6('avg(value)')} AS mean_value, min(time) AS first_time
 FROM field WHERE variable IN ('T','Q') GROUP BY variable, level""")
 def grid_scan(v):
-    cube = cubes.scan_cube(v.field, variables=["T", "Q"])
+    # two copies of every stamp in other files: the first file's row counts
+    late = v.field.withColumn("value", F.col("value") + 1)
+    paths = [v.stored, fresh_path(v.spark, "late")]
+    write_cube(late, paths[1])
+    ranked = [cubes.read_cube(v.spark, p, variables=["T", "Q"]).withColumn("source_rank", F.lit(i)) for i, p in enumerate(paths)]
+    cube = prepare_field(ranked[0].unionByName(ranked[1]))
     return cube.groupBy("variable", "level").agg(
         F.count(F.lit(1)).alias("n_rows"), r6(F.avg("value"), "mean_value"), F.min("time").alias("first_time"))
 
@@ -28,16 +36,17 @@ FROM field f JOIN (SELECT variable, month(time) AS mon, level, lat, lon, avg(val
 ON f.variable=m.variable AND month(f.time)=m.mon AND f.level=m.level AND f.lat=m.lat AND f.lon=m.lon
 WHERE f.level IN (850, 500) AND f.variable IN ('T','Q')""")
 def single_scan(v):
-    cube = cubes.scan_cube(v.field, variables=["T", "Q"], levels=[850, 500])
-    out = cubes.monthly_anomaly(cube, v.field)
+    out = cubes.read_single(v.spark, v.stored, levels=[850, 500], base=v.field).where(F.col("variable").isin("T", "Q"))
     return out.select("variable", "time", "level", "lat", "lon", r6("anomaly"))
 
 
 @query("s03_region_scan", """
 SELECT algo, time, lat, lon, tag FROM mask WHERE algo='loose' AND lon < 235""")
 def region_scan(v):
-    stored = v.mask.withColumn("region", F.when(F.col("lon") < 235, "west").otherwise("east"))
-    return cubes.scan_cube(stored, algorithms=["/loose/"], region="west").select("algo", "time", "lat", "lon", "tag")
+    parted = v.mask.withColumn("region", F.when(F.col("lon") < 235, "west").otherwise("east"))
+    path = fresh_path(v.spark, "mask")
+    write_partitioned(parted, path, ["region", "algo"])
+    return cubes.read_cube(v.spark, path, algorithms=["/loose/"], region="west").select("algo", "time", "lat", "lon", "tag")
 
 
 @query("s04_collection_router", """
@@ -60,7 +69,8 @@ def collection_router(v):
 SELECT CAST(year(time) AS INTEGER) AS yr, variable, CAST(count(*) AS BIGINT) AS n_rows, {s6('max(value)')} AS hi
 FROM field WHERE year(time) IN (1996, 1998) GROUP BY 1, 2""")
 def year_scan(v):
-    cube = cubes.scan_cube(v.field, years=[1996, 1998])
+    cube = cubes.in_file_order(cubes.read_cube(v.spark, v.stored, years=[1996, 1998]))
+    cube = prepare_field(cube)
     return cube.groupBy(F.year("time").alias("yr"), "variable").agg(
         F.count(F.lit(1)).alias("n_rows"), r6(F.max("value"), "hi"))
 
@@ -115,7 +125,9 @@ def label_lines(v):
 SELECT variable, CAST(mon AS INTEGER) AS mon, level, CAST(count(*) AS BIGINT) AS n_rows, {s6('avg(value)')} AS mean_value
 FROM climatology WHERE variable='T' GROUP BY variable, mon, level""")
 def climatology_scan(v):
-    clim = cubes.scan_cube(v.climatology, variables=["T"])
+    path = fresh_path(v.spark, "climatology")
+    write_partitioned(v.climatology, path, ["variable"])
+    clim = cubes.read_climatology(v.spark, path, ["T"])
     return clim.groupBy("variable", "mon", "level").agg(
         F.count(F.lit(1)).alias("n_rows"), r6(F.avg("value"), "mean_value"))
 
@@ -139,7 +151,7 @@ def selftest_frames(v):
     frames = select_levels(v.field.where("variable = 'T'"), [500])
     # positions are those of the whole time axis, so that every 12th stamp counts
     full = v.field.where("variable = 'T'")
-    planted = planted_frames(full, limit=None).where("level = 500")
+    planted = planted_frames(full).where("level = 500")
     clean = frames.select("variable", "time", "level", "lat", "lon", F.col("value").alias("before"))
     noisy = planted.join(clean, ["variable", "time", "level", "lat", "lon"])
     noise = F.col("value") - F.col("before")

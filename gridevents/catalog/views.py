@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gridevents.functions.times import hour_key
 from gridevents.operators.filters import keep_first
 from gridevents.operators.ordering import axis_positions, strided
+from gridevents.session import fresh_path
+from gridevents.sinks.tables import write_cube
 
 
 class Views:
@@ -52,6 +54,13 @@ class Views:
         return self.cell.select("time", "level", "lat", "lon", F.inline(entries)).select(
             "variable", "time", "level", "lat", "lon", "value")
 
+    @cached_property
+    def stored(self) -> str:
+        """The cube as stored files, by variable, year and month."""
+        path = fresh_path(self.spark, "cube")
+        write_cube(self.field, path)
+        return path
+
     @cached_property
     def mask(self) -> DataFrame:
         def tag(*flags):
@@ -193,7 +202,7 @@ def _needed_before(name: str) -> set[str]:
 def with_views(body: str) -> str:
     """``body`` preceded by the views it names."""
     text = body.strip()
-    views = ", ".join(f"{n} AS ({SQL[n]})" for n in _ORDER if n in _needed(text))
+    views = ", ".join(f"{n} AS MATERIALIZED ({SQL[n]})" for n in _ORDER if n in _needed(text))
     if not views:
         return text
     return f"WITH {views}, {text[5:]}" if text.upper().startswith("WITH ") else f"WITH {views} {text}"

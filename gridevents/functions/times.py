@@ -6,7 +6,6 @@ and days are rebuilt from their parts.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -49,8 +48,3 @@ def month_number_of(name: Column) -> Column:
     """Column form of :func:`month_number`; unknown names give NULL."""
     pairs = [F.lit(x) for i, m in enumerate(MONTHS, start=1) for x in (m, i)]
     return F.try_element_at(F.create_map(*pairs), name)
-
-
-def in_season(time: Column, season: Sequence[str]) -> Column:
-    """True where the month of ``time`` is one of the abbreviations."""
-    return F.month(time).isin([month_number(m) for m in season])

@@ -25,11 +25,11 @@ def stacked_variables(field: DataFrame, level_variable: str, level: float, surfa
                       surface_level: float | None = None) -> DataFrame:
     """Two variables under each other, one cut to a level (an outer alignment in long form).
 
-    One pass over the cube with a condition per variable.
+    One pass over the cube with a condition per variable.  Without ``surface_level``
+    the surface variable is the one stored without level.
     """
     name = F.col("variable")
     upper = (name == level_variable) & (F.col("level") == float(level))
-    lower = name == surface_variable
-    if surface_level is not None:
-        lower = lower & (F.col("level") == float(surface_level))
+    on_surface = F.col("level").isNull() if surface_level is None else F.col("level") == float(surface_level)
+    lower = (name == surface_variable) & on_surface
     return field.where(upper | lower).withColumn("variable", F.upper("variable"))

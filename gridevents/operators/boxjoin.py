@@ -95,7 +95,7 @@ def join_event_boxes(field: DataFrame, events: DataFrame, half_lat: float, half_
     """
     size = tile_size(half_lat, half_lon)
     key = ["_t", "_ti", "_tj"]
-    cells = cell_tiles(_months_in_use(field, events), size).withColumnRenamed("time", "_t")
+    cells = cell_tiles(months_in_use(field, events), size).withColumnRenamed("time", "_t")
     if few if few is not None else few_boxes(events, max_rows=max_rows):
         joined = equi_join(cells, _event_tiles(events, half_lat, half_lon, size), key, hint=True)
     else:
@@ -104,7 +104,7 @@ def join_event_boxes(field: DataFrame, events: DataFrame, half_lat: float, half_
     return joined.where(_inside()).withColumnRenamed("_t", "matched_time").drop(*_HELPERS)
 
 
-def _months_in_use(field: DataFrame, events: DataFrame) -> DataFrame:
+def months_in_use(field: DataFrame, events: DataFrame) -> DataFrame:
     """A stored cube cut to the directories of months that have events.
 
     The list of months is one scalar subquery of at most twelve numbers a year,

@@ -11,6 +11,8 @@ from gridevents.operators.filters import select_region, select_season
 from gridevents.operators.joins import equi_join
 
 CELL = ["variable", "level", "lat", "lon"]
+#: Parts of a degree to which coordinates of two cubes are compared: computed ones may differ in the last bits.
+GRID_PARTS = 10_000
 CLIMATOLOGY_DIMS = ["variable", "mon", "level", "lat", "lon", "bnds"]
 
 
@@ -37,10 +39,18 @@ def subtract_climatology(field: DataFrame, clim: DataFrame, name: str = "anomaly
     The climatology is as large as the grid, so it is shuffled, not broadcast.
     It has one row per cell, and a cell has one row per stamp: the merge streams.
     """
-    joined = equi_join(field, clim.select(*CELL, "clim_value"), CELL)
+    joined = _cell_join(field, clim.select(*CELL, "clim_value"), [])
     return joined.withColumn(name, F.col("value") - F.col("clim_value")).drop("clim_value")
 
 
+def _cell_join(field: DataFrame, means: DataFrame, more: Sequence[str]) -> DataFrame:
+    """Rows with the value of their cell (and ``more`` keys); cells meet by integer grid numbers."""
+    def numbers(df: DataFrame) -> DataFrame:
+        return df.withColumns({f"_{c}": F.round(F.col(c) * GRID_PARTS).cast("long") for c in ("lat", "lon")})
+    keys = [*more, "variable", "level", "_lat", "_lon"]
+    return equi_join(numbers(field), numbers(means).drop("lat", "lon"), keys).drop("_lat", "_lon")
+
+
 def base_period(base: DataFrame, season: Sequence[str] = ("Jan", "Feb", "Dec"),
                 lat: tuple[float, float] = (10, 60), lon: tuple[float, float] = (-170, -30)) -> DataFrame:
     """The season and region a monthly anomaly is measured against."""
@@ -55,10 +65,10 @@ def monthly_anomaly(field: DataFrame, base: DataFrame, mode: str = "match") -> D
     """
     means = monthly_mean(base).withColumnRenamed("mean_value", "clim_value")
     if mode == "match":
-        joined = equi_join(field.withColumn("mon", F.month("time")), means, ["mon", *CELL])
+        joined = _cell_join(field.withColumn("mon", F.month("time")), means, ["mon"])
         out = joined.drop("mon")
     elif mode == "cross":
-        out = equi_join(field, means.withColumnRenamed("mon", "clim_month"), CELL)
+        out = _cell_join(field, means.withColumnRenamed("mon", "clim_month"), [])
     else:
         raise ValueError("mode must be 'match' or 'cross'")
     return out.withColumn("anomaly", F.col("value") - F.col("clim_value")).drop("clim_value")

@@ -102,17 +102,18 @@ def sweep(df: DataFrame, ks: Sequence[int] = tuple(K_RANGE), seed: int = 0,
 
     The loop is over the few k only; every fit and score is a distributed job.
     Give a stored table (see ``written``), so that each job reads the same rows.
-    A k above the number of different vectors has no clustering and is left out.
+    One row per asked k: a k above the number of different vectors has no
+    clustering, and its score is NULL.
     """
     table = df.select(features)
-    different = table.select(F.xxhash64(vector_to_array(features))).distinct().limit(max(ks)).count()
-    scores = [(int(k), float(silhouette_score(fit_kmeans(table, k, seed, features).transform(table), features)))
-              for k in ks if k <= different]
+    different = table.select(F.xxhash64(vector_to_array(features))).distinct().count()
+    scores = [(int(k), float(silhouette_score(fit_kmeans(table, k, seed, features).transform(table), features))
+               if k <= different else None) for k in ks]
     return df.sparkSession.createDataFrame(scores, "k int, score double")
 
 
 def choose_k(scores: DataFrame) -> int:
-    best = best_k(scores).first()
+    best = best_k(scores.where("score IS NOT NULL")).first()
     if best is None:
         raise ValueError("the vectors are all alike: nothing to cluster")
     return best["k"]

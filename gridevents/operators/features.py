@@ -59,11 +59,18 @@ def feature_arrays(df: DataFrame, event: Sequence[str], window: Window, variable
                    z: str = "z") -> DataFrame:
     """One row per event with ``features``, an array of every cell and variable.
 
-    An event's group is its window: ``window.size`` entries, whatever the data.
+    An event's group is its window: ``window.size`` entries, whatever the data.  A cell
+    outside the window, an unknown variable, and two values for one place are errors.
     """
-    indexed = df.select(*event, feature_index(window, variables).alias("i"), F.col(z).alias("z"))
+    place = feature_index(window, variables)
+    inside = F.coalesce(place.between(0, window.size(len(variables)) - 1) & F.col("variable").isin(list(variables)), F.lit(False))
+    checked = F.when(inside, place).otherwise(F.raise_error(F.lit("a cell lies outside the window")).cast("int"))
+    indexed = df.select(*event, checked.alias("i"), F.col(z).alias("z"))
     entries = F.array_sort(F.collect_list(F.struct("i", "z")))
     packed = indexed.groupBy(*event).agg(entries.alias("_entries"))
+    once = F.size(F.array_distinct(F.col("_entries.i"))) == F.size("_entries")
+    packed = packed.withColumn("_entries", F.when(once, F.col("_entries")).otherwise(
+        F.raise_error(F.lit("two values for one place of a vector")).cast(packed.schema["_entries"].dataType)))
     return packed.select(*event, padded(F.col("_entries"), window.size(len(variables))).alias("features"))
 
 

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gridevents.functions.geo import wrap_longitude
 from gridevents.functions.times import month_number, parse_stamp
-from gridevents.functions.text import bare_name
 
 
 def select_variable(field: DataFrame, name: str, upper: bool = True) -> DataFrame:
@@ -52,17 +51,28 @@ def select_years(df: DataFrame, first: int, last: int | None = None) -> DataFram
 def select_region(df: DataFrame, lat: tuple[float, float], lon: tuple[float, float], wrap: bool = True) -> DataFrame:
     """Rows in a fixed box, edges included; the bounds may come in any order.
 
-    With ``wrap`` longitudes are compared (and returned) in the -180..180 frame.
+    With ``wrap`` longitudes are compared (and returned) in the -180..180 frame.  The
+    stored longitude is one of the two frames, so the box is also stated as a range in
+    each of them; these ranges are plain predicates and reach the scan.
     """
-    out = df.withColumn("lon", wrap_longitude(F.col("lon"))) if wrap else df
-    return out.where(F.col("lat").between(min(lat), max(lat)) & F.col("lon").between(min(lon), max(lon)))
+    inside = F.col("lat").between(min(lat), max(lat))
+    low, high = min(lon), max(lon)
+    if not wrap:
+        return df.where(inside & F.col("lon").between(low, high))
+    edge = 1e-6  # wrapping may move the last bits; the exact test follows
+    stored = F.col("lon").between(low - edge, high + edge)
+    for turn in (-360.0, 360.0):
+        stored = stored | F.col("lon").between(low + turn - edge, high + turn + edge)
+    return (df.where(inside & stored).withColumn("lon", wrap_longitude(F.col("lon")))
+              .where(F.col("lon").between(low, high)))
 
 
 def select_algorithms(df: DataFrame, names: str | Sequence[str]) -> DataFrame:
     """Rows of the named algorithms, given as a list or as comma text; path-style names are accepted."""
     listed = names.split(",") if isinstance(names, str) else list(names)
     plain = [n.strip().strip("/") for n in listed]
-    return df.where(bare_name(F.col("algo")).isin(plain))
+    stored = [form.format(n) for n in plain for form in ("{}", "/{}", "{}/", "/{}/")]
+    return df.where(F.col("algo").isin(stored))
 
 
 def well_formed_stamps(df: DataFrame, column: str = "stamp") -> DataFrame:

@@ -17,13 +17,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridevents.schema import NEVER_NULL
+from gridevents.session import written
 
 #: Rows a broadcast side may have.  Rows here are about a dozen numbers wide, so
 #: this is some 150 MB at most, whatever the size of the other side.
 BROADCAST_ROWS = 1_000_000
 
-#: Parts a hot key is split into.
-SALTS = 16
+#: Parts a hot key is split into, at least, and rows of a group that one part may have.
+SALTS, ROWS_PER_SALT = 16, 1_000_000
 
 
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
@@ -86,12 +87,21 @@ def with_group_stats(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Colu
     A window would sort and hold each group in one task; here groups are
     pre-aggregated and joined back, row by row against one statistics row.
 
-    Few large groups (an algorithm, a level) need ``spread``, which salts the
-    join.  Groups that contain the grid cell hold one row per stamp at most; they
-    are joined as they are, and adaptive execution still splits an uneven part.
+    Few large groups (an algorithm, a level) are named by ``spread``: their
+    statistics are written once and counted, and broadcast when they fit, so the
+    rows themselves are not shuffled.  More groups than that are joined with as
+    many salts as the largest of them needs.  Groups that contain the grid cell
+    hold one row per stamp at most; they are joined as they are, and adaptive
+    execution still splits an uneven part.
     """
-    stats = group_stats(df, keys, aggs)
-    return salted_join(df, stats, keys, spread) if spread else equi_join(df, stats, keys)
+    if not spread:
+        return equi_join(df, group_stats(df, keys, aggs), keys)
+    sized = written(group_stats(df, keys, {**aggs, "_rows": F.count(F.lit(1))}), "stats")
+    stats = sized.drop("_rows")
+    if fits(stats):
+        return equi_join(df, stats, keys, hint=True)
+    most = sized.agg(F.max("_rows")).first()[0]
+    return salted_join(df, stats, keys, spread, salts=max(SALTS, -(-most // ROWS_PER_SALT)))
 
 
 def with_total_stats(df: DataFrame, aggs: Mapping[str, Column]) -> DataFrame:

@@ -19,6 +19,8 @@ def eof_standardise(field: DataFrame, levels: Sequence[float] | None = None, wei
                     by: Sequence[str] = ()) -> DataFrame:
     """Global z-score, optionally divided by the number of levels, gaps filled with its mean.
 
+    The mean of a z-score is 0, so gaps become 0 without another pass; where there is
+    no deviation there is no score, and gaps stay NULL.
     With ``by`` each group (e.g. each algorithm's cube) is standardised alone.
     """
     weight = float(len(levels)) if weighted and levels else 1.0
@@ -26,10 +28,9 @@ def eof_standardise(field: DataFrame, levels: Sequence[float] | None = None, wei
     aggs = {"_mean": F.avg("value"), "_std": F.stddev_pop("value")}
     spread = ["time", "lat", "lon"]
     stats = with_group_stats(source, by, aggs, spread) if by else with_total_stats(source, aggs)
-    scaled = stats.withColumn("z", z_score(F.col("value"), F.col("_mean"), F.col("_std"), weight)).drop("_mean", "_std")
-    fill = {"_fill": F.avg("z")}
-    filled = with_group_stats(scaled, by, fill, spread) if by else with_total_stats(scaled, fill)
-    return filled.withColumn("z", F.coalesce("z", "_fill")).drop("_fill")
+    score = z_score(F.col("value"), F.col("_mean"), F.col("_std"), weight)
+    gap = F.when(F.col("value").isNull() & (F.col("_std") > 0), 0.0)
+    return stats.withColumn("z", F.coalesce(score, gap)).drop("_mean", "_std")
 
 
 def with_extremes(df: DataFrame, keys: Sequence[str], value: str, spread: Sequence[str]) -> DataFrame:

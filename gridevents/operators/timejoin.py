@@ -14,14 +14,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from gridevents.functions.geo import clamp
-from gridevents.operators.joins import equi_join, salted_join
+from gridevents.operators.joins import equi_join, lookup_join, salted_join
 from gridevents.operators.ordering import axis_positions
+from gridevents.session import written
 
 
-def _scope_of(df: DataFrame, axis_scope: str) -> DataFrame:
-    """The axis an event belongs to: its calendar year, or the one global axis."""
+def _scope_of(df: DataFrame, axis_scope: str, by: str = "time") -> DataFrame:
+    """The axis an event belongs to: the calendar year of ``by``, or the one global axis."""
     if axis_scope == "year":
-        return df.withColumn("_scope", F.year("time"))
+        return df.withColumn("_scope", F.year(by))
     if axis_scope == "global":
         return df.withColumn("_scope", F.lit(0))
     raise ValueError("axis_scope must be 'year' or 'global'")
@@ -68,13 +69,14 @@ def nearest_stamps(stamps: DataFrame, axis: DataFrame, tolerance: str | None = N
 
     Half-way stamps take the later one.  Without a ``tolerance`` (an interval
     text such as ``'6 hours'``) any distance matches; beyond it there is none.
+    A stamp whose scope has no axis at all has no match and no row.
     """
     near = neighbours(stamps, axis)
     behind = F.col("time") - F.col("_prev.time")
     ahead = F.col("_next.time") - F.col("time")
     take_next = F.col("_prev").isNull() | (ahead <= behind)
     best = F.when(take_next & F.col("_next").isNotNull(), F.col("_next.time")).otherwise(F.col("_prev.time"))
-    out = near.select("_scope", "time", best.alias("matched_time"))
+    out = near.select("_scope", "time", best.alias("matched_time")).where("matched_time IS NOT NULL")
     if tolerance:
         limit = F.expr(f"INTERVAL '{tolerance}'") if not tolerance[0].isdigit() else F.expr(f"INTERVAL {tolerance}")
         gap = F.greatest(F.col("matched_time") - F.col("time"), F.col("time") - F.col("matched_time"))
@@ -108,6 +110,21 @@ def lagged_stamps(stamps: DataFrame, axis: DataFrame, lags: Sequence[int]) -> Da
     return salted_join(points, at, ["_scope", "pos"], ["time"]).drop("pos")
 
 
+def _stamps(axis: DataFrame, axis_scope: str) -> DataFrame:
+    return _scope_of(axis.select("time").distinct(), axis_scope)
+
+
+def _mapped(events: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Events with what the mapping says of their (scope, stamp).
+
+    The mapping has a row per stamp (and lag).  It is written once, as it is counted and
+    joined: few stamps are broadcast, many are joined with salts.
+    """
+    mapping = written(mapping, "stamps")
+    spread = [c for c in events.columns if c != "_scope"]
+    return lookup_join(events, mapping, ["_scope", "time"], spread).drop("_scope")
+
+
 def _scoped_axis(axis: DataFrame, axis_scope: str) -> DataFrame:
     return axis_positions(_scope_of(axis.select("time"), axis_scope), ["_scope"])
 
@@ -116,14 +133,12 @@ def asof_nearest(events: DataFrame, axis: DataFrame, axis_scope: str = "year",
                  tolerance: str | None = None, asked: DataFrame | None = None) -> DataFrame:
     """Each event with ``matched_time``, the axis stamp nearest to its ``time``.
 
+    Events of a year without axis drop out, here as in :func:`asof_lagged`.
     ``asked`` may name a plainer frame with the same stamps (the events before
     they were numbered), so that the costlier one is read once.
     """
-    scoped = _scope_of(events, axis_scope)
-    stamps = _scope_of(axis.select("time").distinct(), axis_scope)
     wanted = _scope_of((asked if asked is not None else events).select("time"), axis_scope)
-    mapping = nearest_stamps(wanted, stamps, tolerance)
-    return salted_join(scoped, mapping, ["_scope", "time"], events.columns).drop("_scope")
+    return _mapped(_scope_of(events, axis_scope), nearest_stamps(wanted, _stamps(axis, axis_scope), tolerance))
 
 
 def asof_lagged(events: DataFrame, axis: DataFrame, lags: Sequence[int], axis_scope: str = "year",
@@ -137,13 +152,16 @@ def asof_lagged(events: DataFrame, axis: DataFrame, lags: Sequence[int], axis_sc
     if lag_unit == "steps":
         scoped = _scope_of(events, axis_scope)
         wanted = _scope_of((asked if asked is not None else events).select("time"), axis_scope)
-        mapping = lagged_stamps(wanted, _scoped_axis(axis, axis_scope), lags)
-        return salted_join(scoped, mapping, ["_scope", "time"], events.columns).drop("_scope")
+        return _mapped(scoped, lagged_stamps(wanted, _scoped_axis(axis, axis_scope), lags))
     if lag_unit != "hours":
         raise ValueError("lag_unit must be 'steps' or 'hours'")
-    asked = F.explode(F.array(*[F.lit(int(lag)) for lag in lags]))
-    shifted = (events.withColumn("lag", asked)
-               .withColumnRenamed("time", "_event_time")
-               .withColumn("time", F.timestamp_add("HOUR", -F.col("lag"), F.col("_event_time"))))
-    return (asof_nearest(shifted, axis, axis_scope).drop("time")
-            .withColumnRenamed("_event_time", "time"))
+    each = F.explode(F.array(*[F.lit(int(lag)) for lag in lags]))
+
+    def shifted(df: DataFrame) -> DataFrame:
+        """The axis is that of the event, also where the earlier stamp lies in another year."""
+        return (_scope_of(df, axis_scope).withColumn("lag", each).withColumnRenamed("time", "_event_time")
+                .withColumn("time", F.timestamp_add("HOUR", -F.col("lag"), F.col("_event_time"))))
+
+    wanted = shifted((asked if asked is not None else events).select("time")).select("_scope", "time")
+    mapping = nearest_stamps(wanted, _stamps(axis, axis_scope))
+    return _mapped(shifted(events), mapping).drop("time").withColumnRenamed("_event_time", "time")

@@ -35,8 +35,14 @@ def scaled_composite(composite: DataFrame, splits: int, level_variable: str, lev
     return batched_z_score(written(stacked, "stacked"), FEATURE, splits, ["algo"])
 
 
-def event_vectors(scaled: DataFrame, window: Window, variables: Sequence[str]) -> DataFrame:
-    return as_vectors(feature_arrays(scaled, EVENT_KEY, window, variables))
+def event_vectors(scaled: DataFrame, window: Window, variables: Sequence[str],
+                  events: DataFrame | None = None) -> DataFrame:
+    """A vector per event; with ``events`` (``EVENT_KEY``) also for those without a cell, all zeros."""
+    arrays = feature_arrays(scaled, EVENT_KEY, window, variables)
+    if events is not None:
+        zeros = F.array_repeat(F.lit(0.0), window.size(len(variables)))
+        arrays = events.select(*EVENT_KEY).join(arrays, EVENT_KEY, "left").withColumn("features", F.coalesce("features", zeros))
+    return as_vectors(arrays)
 
 
 def cluster_vectors(vectors: DataFrame, ks: Sequence[int] = tuple(K_RANGE), seed: int = 0) -> DataFrame:
@@ -48,15 +54,20 @@ def cluster_vectors(vectors: DataFrame, ks: Sequence[int] = tuple(K_RANGE), seed
 
 def cluster_events(composite: DataFrame, algorithm: str | None, window: Window, splits: int,
                    level_variable: str, level: float, surface_variable: str,
-                   surface_level: float | None = None, ks: Sequence[int] = tuple(K_RANGE)) -> DataFrame:
+                   surface_level: float | None = None, ks: Sequence[int] = tuple(K_RANGE),
+                   events: DataFrame | None = None) -> DataFrame:
     """Cluster label per event, of one algorithm, or pooled over all with ``algorithm=None``.
 
-    Scaling is done per algorithm in both cases.
+    Scaling is done per algorithm in both cases.  ``events`` are all events that a label
+    is wanted for (see :func:`positioned_events`); those without any cell have a zero vector.
     """
-    chosen = composite if algorithm is None else composite.where(F.col("algo") == algorithm)
+    def of(df: DataFrame) -> DataFrame:
+        return df if algorithm is None else df.where(F.col("algo") == algorithm)
+
+    chosen = of(composite)
     scaled = scaled_composite(chosen, splits, level_variable, level, surface_variable, surface_level)
     variables = [level_variable.upper(), surface_variable.upper()]
-    return cluster_vectors(event_vectors(scaled, window, variables), ks).drop("features")
+    return cluster_vectors(event_vectors(scaled, window, variables, None if events is None else of(events)), ks).drop("features")
 
 
 def cluster_averages(composite: DataFrame, levels: Sequence[float] | None = None) -> DataFrame:

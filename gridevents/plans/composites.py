@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from gridevents.functions.geo import wrap_longitude
 from gridevents.operators.axes import canonical_longitude, relative_offsets, relative_positions
-from gridevents.operators.boxjoin import few_boxes, join_event_boxes
+from gridevents.operators.boxjoin import few_boxes, join_event_boxes, months_in_use
 from gridevents.operators.climate import subtract_climatology
 from gridevents.operators.events import synthetic_stamp
 from gridevents.operators.filters import keep_first, select_levels, select_region, select_variable
 from gridevents.operators.joins import lookup_join
 from gridevents.operators.ordering import event_ordinals
 from gridevents.operators.timejoin import asof_lagged, asof_nearest
+from gridevents.session import written
 
 QUARTER_DEGREE = 0.25
 
@@ -34,7 +35,9 @@ def prepare_field(field: DataFrame, variable: str | None = None,
     out = select_variable(field, variable) if variable else field
     out = select_levels(out, levels) if levels else out
     if "source_rank" in out.columns:
-        out = keep_first(out, ["variable", "time", "level", "lat", "lon"], "source_rank").drop("source_rank")
+        # the calendar columns are keys too, so that a cut to months goes below the aggregate, to the directories
+        calendar = [c for c in ("year", "month") if c in out.columns]
+        out = keep_first(out, ["variable", "time", "level", "lat", "lon", *calendar], "source_rank").drop("source_rank")
     return canonical_longitude(out)
 
 
@@ -141,6 +144,6 @@ def lagged_region_extract(field: DataFrame, events: DataFrame, lags: Sequence[in
                           axis_scope: str = "year") -> DataFrame:
     """A fixed region of the cube at each event's lagged stamp, once per event and lag."""
     stamps = axis if axis is not None else field
-    matched = asof_lagged(events, stamps, lags, axis_scope).withColumnRenamed("time", "event_time")
-    region = select_region(field, lat, lon).withColumnRenamed("time", "matched_time")
+    matched = written(asof_lagged(events, stamps, lags, axis_scope).withColumnRenamed("time", "event_time"), "matched")
+    region = months_in_use(select_region(field, lat, lon), matched).withColumnRenamed("time", "matched_time")
     return lookup_join(region, matched, ["matched_time"], ["lat", "lon"])

@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from gridevents.functions.scaling import cell_normal, missing_to_null
-from gridevents.functions.text import bare_name
 from gridevents.operators.climate import monthly_anomaly
 from gridevents.operators.filters import select_algorithms, select_levels
-from gridevents.schema import CLIMATOLOGY, COLLECTIONS, FIELD, MONTHS
+from gridevents.schema import CLIMATOLOGY, COLLECTIONS, FIELD
 
 # Coordinate names met in collections, and the one used here.
 COORDINATE_NAMES = {"latitude": "lat", "longitude": "lon", "lev": "level"}
@@ -68,8 +67,11 @@ def read_climatology(spark: SparkSession, path: str, variables: Sequence[str] |
 
 
 def in_file_order(df: DataFrame) -> DataFrame:
-    """Add ``source_rank``, the file a row came from: duplicates keep the first file's row."""
-    return df.withColumn("source_rank", F.input_file_name())
+    """Add ``source_rank``, the file a row came from: duplicates keep the first file's row.
+
+    The path is a column of the scan, so later filters still reach it.
+    """
+    return df.withColumn("source_rank", F.col("_metadata.file_path"))
 
 
 def collections(spark: SparkSession) -> DataFrame:
@@ -116,11 +118,3 @@ def synthetic_cube(axis: DataFrame, n_lat: int = 73, n_lon: int = 144, scale: fl
         (cell_normal(seed, F.col("time"), F.col("i"), F.col("j")) * scale).alias("value"))
 
 
-def month_table(spark: SparkSession) -> DataFrame:
-    """Month abbreviations with their numbers."""
-    return spark.createDataFrame(list(enumerate(MONTHS, start=1)), "mon int, abbreviation string")
-
-
-def plain_algorithms(df: DataFrame) -> DataFrame:
-    """Algorithm names without path slashes."""
-    return df.withColumn("algo", bare_name(F.col("algo")))

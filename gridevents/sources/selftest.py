@@ -11,16 +11,13 @@ from gridevents.operators.ordering import axis_positions
 
 
 def planted_frames(frames: DataFrame, step: int = 12, copies: int = 20, scale: float = 1.0,
-                   limit: int | None = 58, seed: int = 0) -> DataFrame:
+                   seed: int = 0) -> DataFrame:
     """Every ``step``-th frame of a cube, repeated, with one noise field added to every copy.
 
-    ``limit`` is the number of leading frames considered (NULL for all).  Copy
-    and frame give the new ordinal axis ``pos``; the frame is its planted group.
+    Copy and frame give the new ordinal axis ``pos``; the frame is its planted group.
     """
     axis = axis_positions(frames)
     chosen = axis.where(F.col("pos") % step == 0)
-    if limit is not None:
-        chosen = chosen.where(F.col("pos") < limit)
     chosen = chosen.select("time", F.floor(F.col("pos") / step).cast("long").alias("frame"))
     n_frames = chosen.agg(F.count(F.lit(1))).scalar()
     # The chosen stamps are part of the time axis; the copies are a fixed number.

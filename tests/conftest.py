@@ -8,10 +8,10 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = (SparkSession.builder.master("local[*]").appName("tests")
                .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
-               .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "America/New_York")
+               .config("spark.driver.memory", "8g").config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared"))).config("spark.sql.session.timeZone", "America/New_York")
                .getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield session

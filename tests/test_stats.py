@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import values
+from gridevents.functions.geo import wrap_longitude
 from gridevents.operators import blocks, climate, cluster, consensus, events, grid, stats
 from gridevents.operators.features import Window, as_vectors, feature_arrays
 from gridevents.plans.clustering import cluster_vectors
@@ -188,3 +189,43 @@ def test_synthetic_cube_is_repeatable(spark):
     assert cube.agg(F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first()[:] == (-90.0, 90.0, 0.0, 360.0)
     assert cube.exceptAll(synthetic_cube(axis)).count() == 0
     assert abs(cube.agg(F.stddev_pop("value")).first()[0] - 0.1) < 0.005
+
+
+def test_computed_coordinates_meet_their_cells(spark):
+    """0.1 degree longitudes wrapped from 0..360 differ from stored ones in the last bits."""
+    lon = (F.col("id") / 10).alias("lon")
+    field = spark.range(3600).select(F.lit("T").alias("variable"), F.lit(None).cast("double").alias("level"), F.lit(10.1).alias("lat"),
+                                     wrap_longitude(lon).alias("lon"), F.lit(3.0).alias("value"))
+    clim = spark.range(3600).select(F.lit("T").alias("variable"), F.lit(None).cast("double").alias("level"), F.lit(10.1).alias("lat"),
+                                    ((F.col("id") - 1800) / 10).alias("lon"), F.lit(1.0).alias("clim_value"))
+    out = climate.subtract_climatology(field, clim)
+    assert out.count() == 3600 and {r["anomaly"] for r in out.select("anomaly").distinct().collect()} == {2.0}
+
+
+def test_wrong_vectors_are_errors(rows):
+    window = Window(1, 1, 1, 1)
+    schema = "event long, variable string, rel_lat double, rel_lon double, z double"
+    for bad in ([(1, "T", 0.0, 0.0, 1.0), (1, "T", 0.0, 0.0, 2.0)], [(1, "T", 5.0, 0.0, 1.0)], [(1, "X", 0.0, 0.0, 1.0)]):
+        with pytest.raises(Exception, match="two values|outside the window"):
+            feature_arrays(rows(schema, bad), ["event"], window, ["T"]).collect()
+
+
+def test_all_frames_are_planted(spark):
+    frames = spark.range(100).select(F.lit("PV").alias("variable"), F.timestamp_add("DAY", F.col("id").cast("int"), F.expr("timestamp_ntz'2000-01-01'")).alias("time"),
+                                     F.lit(None).cast("double").alias("level"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"), F.lit(1.0).alias("value"))
+    assert planted_frames(frames, copies=2).select("frame").distinct().count() == 9
+
+
+def test_sweep_has_a_row_per_k(spark):
+    table = as_vectors(spark.createDataFrame([([float(i % 3), 0.0],) for i in range(12)], "features array<double>"))
+    got = {r["k"]: r["score"] for r in cluster.sweep(table, (2, 3, 4)).collect()}
+    assert set(got) == {2, 3, 4} and got[4] is None and got[3] is not None
+
+
+def test_many_groups_take_the_salted_way(spark, monkeypatch):
+    from gridevents.operators import joins
+    df = spark.range(500).select((F.col("id") % 7).alias("g"), F.col("id").cast("double").alias("value"))
+    want = values(joins.with_group_stats(df, ["g"], {"m": F.avg("value")}, ["value"]))
+    monkeypatch.setattr(joins, "fits", lambda df: False)
+    monkeypatch.setattr(joins, "ROWS_PER_SALT", 2)
+    assert values(joins.with_group_stats(df, ["g"], {"m": F.avg("value")}, ["value"])) == want

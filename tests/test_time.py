@@ -106,3 +106,19 @@ def test_bad_options_are_refused(rows):
         timejoin.asof_nearest(axis, axis, "month")
     with pytest.raises(ValueError):
         timejoin.asof_lagged(axis, axis, [1], lag_unit="days")
+
+
+def test_events_of_a_year_without_axis_drop_out(rows):
+    event = rows("algo string, time timestamp_ntz", [("a", "2005-06-01"), ("b", "2001-06-01")])
+    axis = rows("time timestamp_ntz", [("2000-06-01",), ("2001-06-03",)])
+    assert values(timejoin.asof_nearest(event, axis), "algo") == [("b",)]
+    assert values(timejoin.asof_lagged(event, axis, [1]), "algo") == [("b",)]
+
+
+def test_hours_back_stay_on_the_axis_of_the_event(rows):
+    event = rows("time timestamp_ntz", [("2000-01-01",)])
+    axis = rows("time timestamp_ntz", [("1999-12-30",), ("2000-01-02",), ("2000-01-05",)])
+    got = timejoin.asof_lagged(event, axis, [36], "year", "hours").collect()
+    assert [str(r["matched_time"]) for r in got] == ["2000-01-02 00:00:00"]
+    got = timejoin.asof_lagged(event, axis, [36], "global", "hours", asked=event).collect()
+    assert [str(r["matched_time"]) for r in got] == ["1999-12-30 00:00:00"]

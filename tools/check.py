@@ -5,7 +5,9 @@ usage: python tools/check.py [folder] [name-prefix ...]
 
 from __future__ import annotations
 
+import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -20,6 +22,7 @@ from gridevents import catalog  # noqa: E402
 def session() -> SparkSession:
     spark = (SparkSession.builder.master("local[8]").appName("check")
              .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
+             .config("spark.checkpoint.dir", os.environ.get("SHARED_DIR") or tempfile.mkdtemp(prefix="shared-"))
              .config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC")
              .config("spark.sql.execution.arrow.pyspark.enabled", "true").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
