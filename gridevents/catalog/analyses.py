@@ -146,6 +146,57 @@ def cluster_averages(v):
     return out.select("algo", "cluster", "variable", "level", "rel_lat", "rel_lon", r6("mean_value"), r6("norm_value"))
 
 
+_SURFACE = f"""numbered e JOIN nearmap m ON m.time=e.time JOIN centre c ON c.loc_id=e.loc_id
+ JOIN surface f ON f.time=m.matched_time {_BOX}"""
+
+
+def _surface_windows(v):
+    return composites.composite_raw(v.surface, v.event_daily, v.location, 2, 4, axis=v.axis, unique_events=True)
+
+
+@query("x03_surface", f"""
+SELECT e.algo, e.loc_id, e.time AS event_time, m.matched_time, e.ordinal, f.variable, f.level, f.lat-c.centre_lat AS rel_lat,
+  f.lon-c.centre_lon AS rel_lon, f.value FROM {_SURFACE}""")
+def composite_surface(v):
+    return _surface_windows(v).select("algo", "loc_id", "event_time", "matched_time", "ordinal", "variable", "level",
+                                      "rel_lat", "rel_lon", "value")
+
+
+@query("x04_surface", f"""
+SELECT e.algo, e.loc_id, e.time AS event_time, f.level, f.lat-c.centre_lat AS rel_lat, f.lon-c.centre_lon AS rel_lon,
+  {s6('f.value-k.cv')} AS value FROM {_SURFACE}
+JOIN (SELECT lat, lon, avg(value) AS cv FROM surface GROUP BY 1, 2) k ON k.lat=f.lat AND k.lon=f.lon""")
+def anomaly_surface(v):
+    clim = climate.time_mean(v.surface, name="clim_value")
+    out = composites.composite_anomaly(v.surface, v.event_daily, v.location, clim, half_lat=2, half_lon=4, axis=v.axis, unique_events=True)
+    return out.select("algo", "loc_id", "event_time", "level", "rel_lat", "rel_lon", r6("value"))
+
+
+@query("x11_surface", f"""
+SELECT algo, cluster, variable, level, rel_lat, rel_lon, {s6('mv')} AS mean_value,
+  {s6('2*(mv-min(mv) OVER w)/nullif(max(mv) OVER w-min(mv) OVER w,0)-1')} AS norm_value FROM (
+ SELECT e.algo, e.cluster, f.variable, f.level, f.lat-c.centre_lat AS rel_lat, f.lon-c.centre_lon AS rel_lon, avg(f.value) AS mv
+ FROM {_SURFACE} GROUP BY 1,2,3,4,5,6) q WINDOW w AS (PARTITION BY algo, cluster, variable)""")
+def averages_surface(v):
+    out = clustering.cluster_averages(_surface_windows(v), [850])
+    return out.select("algo", "cluster", "variable", "level", "rel_lat", "rel_lon", r6("mean_value"), r6("norm_value"))
+
+
+@query("x19_chain", f"""
+WITH det AS (SELECT m.algo, l.loc_id, m.time FROM mask m JOIN location l
+  ON m.lon BETWEEN l.lon AND l.lon+1 AND m.lat BETWEEN l.lat AND l.lat+1 WHERE month(m.time) IN (12,1,2)
+  GROUP BY 1, 2, 3 HAVING avg(m.tag) >= 0.8)
+SELECT e.algo, f.variable, f.level, f.lat-c.centre_lat AS rel_lat, f.lon-c.centre_lon AS rel_lon, CAST(count(*) AS BIGINT) AS n_cells,
+  {s6('avg(f.value)')} AS mean_value
+FROM det e JOIN centre c ON c.loc_id=e.loc_id JOIN wfield f ON f.time=e.time {_BOX} AND f.level IN (850, 500) GROUP BY 1,2,3,4,5""")
+def chain(v):
+    """Mask, events, composite and averages in one plan."""
+    found = detection.landfall_events(v.mask, v.location).select("algo", "loc_id", "time")
+    windows = composites.composite_raw(v.field, found, v.location, 2, 4, levels=[850, 500], axis=v.axis, unique_events=True)
+    return windows.groupBy("algo", "variable", "level", "rel_lat", "rel_lon").agg(
+        F.count(F.lit(1)).alias("n_cells"), r6(F.avg("value"), "mean_value"))
+
+
 def _discrepancy(v):
     return comparison.discrepancy(v.event_daily, v.location, ALGOS, 1994, 2002)
 

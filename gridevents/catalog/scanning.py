@@ -9,7 +9,7 @@ from gridevents.functions.times import stamp_text
 from gridevents.operators.filters import select_levels
 from gridevents.plans.composites import prepare_field
 from gridevents.session import fresh_path
-from gridevents.sinks.listings import place_lines, yearly_list_lines
+from gridevents.sinks.listings import write_places, yearly_list_lines
 from gridevents.sinks.tables import write_cube, write_partitioned
 from gridevents.sources import cubes, listings
 from gridevents.sources.selftest import planted_frames
@@ -76,10 +76,11 @@ def year_scan(v):
 
 
 @query("s06_place_list", """
-SELECT CAST(row_number() OVER (ORDER BY lat) - 1 AS BIGINT) AS loc_id, lat, lon FROM location""")
+SELECT CAST(row_number() OVER (ORDER BY loc_id) - 1 AS BIGINT) AS loc_id, lat, lon FROM location""")
 def place_list(v):
-    lines = place_lines(v.location).withColumn("_order", F.substring_index("value", ",", 1))
-    return listings.parse_places(lines, order="_order")
+    path = fresh_path(v.spark, "places")
+    write_places(v.location, path)
+    return listings.read_places(v.spark, path)
 
 
 @query("s07_event_times", """
@@ -87,14 +88,19 @@ SELECT algo, loc_id, time FROM event_hourly""")
 def event_times(v):
     stamps = v.event_hourly.select("algo", "loc_id", stamp_text(F.col("time")).alias("value"))
     blanks = v.event_hourly.select("algo", "loc_id", F.explode(F.array(F.lit(""), F.lit("[]"))).alias("value"))
-    return listings.parse_event_lines(stamps.unionByName(blanks))
+    path = fresh_path(v.spark, "stamps")
+    stamps.unionByName(blanks).hint("rebalance", "algo", "loc_id").write.partitionBy("algo", "loc_id").text(path)
+    read = listings.parse_event_lines(v.spark.read.text(path))
+    return read.select("algo", F.col("loc_id").cast("long").alias("loc_id"), "time")
 
 
 @query("s08_event_points", """
 SELECT time, lon, lat FROM event_pt""")
 def event_points(v):
     lines = v.event_pt.select(F.concat_ws(",", stamp_text(F.col("time")), "lon", "lat").alias("value"))
-    return listings.parse_event_points(lines)
+    path = fresh_path(v.spark, "points")
+    lines.write.text(path)
+    return listings.read_event_points(v.spark, path)
 
 
 @query("s09_hour_keys", """

@@ -54,6 +54,14 @@ class Views:
         return self.cell.select("time", "level", "lat", "lon", F.inline(entries)).select(
             "variable", "time", "level", "lat", "lon", "value")
 
+    @cached_property
+    def surface(self) -> DataFrame:
+        """A variable without levels."""
+        cells = self.table("orders").groupBy(
+            F.col("o_orderdate").alias("time"), (F.lit(20.0) + F.lit(0.5) * (F.col("o_custkey") % 20)).alias("lat"),
+            (F.lit(225.0) + F.lit(0.625) * (F.col("o_custkey") % 32)).alias("lon")).agg(F.min("o_totalprice").alias("value"))
+        return cells.select(F.lit("SLP").alias("variable"), "time", F.lit(None).cast("double").alias("level"), "lat", "lon", "value")
+
     @cached_property
     def stored(self) -> str:
         """The cube as stored files, by variable, year and month."""
@@ -133,6 +141,9 @@ SQL = {
     "field": """SELECT 'T' AS variable, time, level, lat, lon, CAST(220 AS DOUBLE)+qty AS value FROM cell
 UNION ALL SELECT 'Q', time, level, lat, lon, disc/10 FROM cell
 UNION ALL SELECT 'Z', time, level, lat, lon, price FROM cell""",
+    "surface": """SELECT 'SLP' AS variable, time, CAST(NULL AS DOUBLE) AS level, lat, (lon+180)%360-180 AS lon, value FROM (
+  SELECT o_orderdate AS time, CAST(20 AS DOUBLE)+CAST(0.5 AS DOUBLE)*(o_custkey%20) AS lat,
+    CAST(225 AS DOUBLE)+CAST(0.625 AS DOUBLE)*(o_custkey%32) AS lon, min(o_totalprice) AS value FROM orders GROUP BY 1, 2, 3) q""",
     "mask": """SELECT 'loose' AS algo, time, lat, lon,
   max(CASE WHEN rflag IN ('R','A') THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS tag
 FROM cell GROUP BY time, lat, lon
