@@ -10,7 +10,9 @@
    places on both sides, where the distance between neighbours costs.  A Fenwick
    tree of prefix maxima over the anchor's places finds each best predecessor.
    A chain whose surroundings hold fewer than ``MIN_SEEDS`` matches cannot lie in a
-   passage, as ten seeds in a row never lack a minimizer, and is left.
+   passage, as ten seeds in a row never lack a minimizer, and is left; so is a chain that
+   lies inside a longer one of its document, whatever their anchors, and a chain of one
+   match, which common words make by chance.
 4. The regions of a chain are extended and aligned word by word; aligned regions that
    touch are joined, and a passage must have ``min_words`` words.
 """
@@ -37,7 +39,7 @@ PART_WORDS = 14
 MIN_SEEDS = 3
 #: Characters of distance (both sides together) that cost as much as one seed is worth,
 #: and characters without a seed at which a chain is cut.
-GAP_COST, GAP_CUT = 400, 400
+GAP_COST, GAP_CUT = 400, 250
 #: Characters beyond the outer seeds that an alignment may reach.
 MARGIN = 512
 
@@ -98,6 +100,17 @@ def dense(anchor: np.ndarray, place: np.ndarray, there: np.ndarray) -> zip:
     return zip(anchor[keep].tolist(), place[keep].tolist(), there[keep].tolist())
 
 
+def outermost(extents: list[tuple]) -> list[tuple]:
+    """The chains (first place, last place, matches, ...) of two matches or more that lie in no other chain of ``MIN_SEEDS``."""
+    out, reach = [], -1
+    for one in sorted(extents, key=lambda e: (e[0], -e[1], -e[2], *e[3:])):
+        if one[2] > 1 and one[1] > reach:
+            out.append(one)
+        if one[2] >= MIN_SEEDS:
+            reach = max(reach, one[1])
+    return out
+
+
 class PrefixMax:
     """Fenwick tree: largest (score, index) stored at positions up to a given one."""
 
@@ -248,9 +261,9 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THR
             by_anchor: dict[int, list[tuple[int, int]]] = {}
             for anchor, place, there in dense(*(found.values.field(c).to_numpy() for c in ("anchor", "place", "there"))):
                 by_anchor.setdefault(anchor, []).append((place, there))
-            for anchor, places in by_anchor.items():
-                for one in chains(places):
-                    rows.append((doc, anchor, one[0][0], one[-1][0], one[0][1], one[-1][1]))
+            extents = [(one[0][0], one[-1][0], len(one), anchor, one[0][1], one[-1][1])
+                       for anchor, places in by_anchor.items() for one in chains(places)]
+            rows += [(doc, anchor, x0, x1, y0, y1) for x0, x1, _, anchor, y0, y1 in outermost(extents)]
         return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in
                                 enumerate([pa.int64()] * 2 + [pa.int32()] * 4)],
                                ["doc_id", "anchor", "x0", "x1", "y0", "y1"])
