@@ -110,8 +110,9 @@ def lagged_stamps(stamps: DataFrame, axis: DataFrame, lags: Sequence[int]) -> Da
     return salted_join(points, at, ["_scope", "pos"], ["time"]).drop("pos")
 
 
-def _stamps(axis: DataFrame, axis_scope: str) -> DataFrame:
-    return _scope_of(axis.select("time").distinct(), axis_scope)
+def _stamps(df: DataFrame, axis_scope: str) -> DataFrame:
+    """The distinct stamps with their scope, written once: a mapping reads them several times."""
+    return written(_scope_of(df.select("time").distinct(), axis_scope), "axis")
 
 
 def _mapped(events: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -126,7 +127,7 @@ def _mapped(events: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def _scoped_axis(axis: DataFrame, axis_scope: str) -> DataFrame:
-    return axis_positions(_scope_of(axis.select("time"), axis_scope), ["_scope"])
+    return written(axis_positions(_scope_of(axis.select("time"), axis_scope), ["_scope"]), "axis")
 
 
 def asof_nearest(events: DataFrame, axis: DataFrame, axis_scope: str = "year",
@@ -137,7 +138,7 @@ def asof_nearest(events: DataFrame, axis: DataFrame, axis_scope: str = "year",
     ``asked`` may name a plainer frame with the same stamps (the events before
     they were numbered), so that the costlier one is read once.
     """
-    wanted = _scope_of((asked if asked is not None else events).select("time"), axis_scope)
+    wanted = _stamps(asked if asked is not None else events, axis_scope)
     return _mapped(_scope_of(events, axis_scope), nearest_stamps(wanted, _stamps(axis, axis_scope), tolerance))
 
 
@@ -151,7 +152,7 @@ def asof_lagged(events: DataFrame, axis: DataFrame, lags: Sequence[int], axis_sc
     """
     if lag_unit == "steps":
         scoped = _scope_of(events, axis_scope)
-        wanted = _scope_of((asked if asked is not None else events).select("time"), axis_scope)
+        wanted = _stamps(asked if asked is not None else events, axis_scope)
         return _mapped(scoped, lagged_stamps(wanted, _scoped_axis(axis, axis_scope), lags))
     if lag_unit != "hours":
         raise ValueError("lag_unit must be 'steps' or 'hours'")

@@ -91,8 +91,8 @@ def composite_raw(field: DataFrame, events: DataFrame, locations: DataFrame, hal
     cube = prepare_field(field, variable, levels)
     stamps = axis if axis is not None else cube
     matched = asof_nearest(numbered_events(events, unique_events), stamps, axis_scope, tolerance, asked=events)
-    return composite_windows(cube, with_centres(matched, locations), half_lat, half_lon, labels,
-                             climatology=climatology, few=few_boxes(events))
+    matched = written(with_centres(matched, locations), "matched")  # counted, listed by month and joined
+    return composite_windows(cube, matched, half_lat, half_lon, labels, climatology=climatology, few=few_boxes(matched))
 
 
 def composite_anomaly(field: DataFrame, events: DataFrame, locations: DataFrame, climatology: DataFrame,
@@ -117,8 +117,8 @@ def composite_lagged(field: DataFrame, events: DataFrame, locations: DataFrame,
     cube = prepare_field(field, variable, levels)
     stamps = axis if axis is not None else cube
     matched = asof_lagged(numbered_events(events, unique_events), stamps, lags, axis_scope, lag_unit, asked=events)
-    return composite_windows(cube, with_centres(matched, locations), half_lat, half_lon, "positional",
-                             few=few_boxes(events, len(lags)))
+    matched = written(with_centres(matched, locations), "matched")
+    return composite_windows(cube, matched, half_lat, half_lon, "positional", few=few_boxes(matched))
 
 
 def composite_lagged_points(field: DataFrame, points: DataFrame, climatology: DataFrame,
@@ -134,9 +134,8 @@ def composite_lagged_points(field: DataFrame, points: DataFrame, climatology: Da
     centred = (points.withColumnRenamed("lat", "centre_lat")
                .withColumn("centre_lon", wrap_longitude(F.col("lon"))).drop("lon"))
     stamps = axis if axis is not None else cube
-    matched = asof_lagged(centred, stamps, lags, axis_scope)
-    return composite_windows(cube, matched, half_lat, half_lon, labels, climatology=clim,
-                             few=few_boxes(points, len(lags)))
+    matched = written(asof_lagged(centred, stamps, lags, axis_scope), "matched")
+    return composite_windows(cube, matched, half_lat, half_lon, labels, climatology=clim, few=few_boxes(matched))
 
 
 def lagged_region_extract(field: DataFrame, events: DataFrame, lags: Sequence[int], lat: tuple[float, float],
