@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gridevents.llm.words import slices
+from gridevents.operators.joins import fits
+from gridevents.session import written
 
 
 def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -17,6 +19,12 @@ def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                      F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
+def named(base: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``base`` with one of the ids; only these texts are shuffled."""
+    ids = written(ids.distinct().withColumnRenamed(ids.columns[0], "doc_id"), "ids")
+    return base.join(F.broadcast(ids) if fits(ids) else ids, "doc_id", "left_semi")
+
+
 def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema,
                column: str = "text") -> DataFrame:
     """``fn`` over small slices of each Arrow batch, so temporaries follow the slice, not the batch."""

@@ -20,9 +20,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from gridevents.llm.components import components
 from gridevents.llm.dartminhash import bands, signatures
-from gridevents.llm.frames import lists, map_slices, texts
+from gridevents.llm.frames import lists, map_slices, named, texts
 from gridevents.llm.words import mix, shingles, words
-from gridevents.operators.joins import fits
 from gridevents.session import written
 
 #: Words of a shingle, similarity of a link.
@@ -89,15 +88,9 @@ def similarities(one: pa.Array, two: pa.Array, size: int = SHINGLE) -> np.ndarra
     return np.maximum(plain, weighted)
 
 
-def _named(base: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``base`` with one of the ids; only these texts are shuffled."""
-    ids = written(ids.distinct().withColumnRenamed(ids.columns[0], "doc_id"), "ids")
-    return base.join(F.broadcast(ids) if fits(ids) else ids, "doc_id", "left_semi")
-
-
 def verified(pairs: DataFrame, base: DataFrame, size: int, threshold: float) -> DataFrame:
     """The pairs (a, b) whose texts are similar enough."""
-    some = _named(base, pairs.select("a").unionAll(pairs.select("b")))
+    some = named(base, pairs.select("a").unionAll(pairs.select("b")))
     left = some.select(F.col("doc_id").alias("a"), F.col("text").alias("text"))
     right = some.select(F.col("doc_id").alias("b"), F.col("text").alias("other"))
 
@@ -174,7 +167,7 @@ def compared(members: DataFrame, base: DataFrame, size: int, threshold: float) -
     right = sided.select("bucket", "id", F.lit(False).alias("left"), F.explode(steps(left_blocks)).alias("l"),
                          F.pmod(place, blocks).alias("r"))
     cells = written(left.unionByName(right).groupBy("bucket", "l", "r", "id").agg(F.max("left").alias("left")), "cells")
-    full = cells.join(_named(base, cells.select("id")), cells["id"] == F.col("doc_id")).drop("doc_id")
+    full = cells.join(named(base, cells.select("id")), cells["id"] == F.col("doc_id")).drop("doc_id")
 
     def run(table):
         table = table.combine_chunks()

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gridevents.llm.frames import map_slices, texts
+from gridevents.llm.frames import map_slices, named, texts
 from gridevents.llm.words import code_points, shingles, words
 from gridevents.session import written
 
@@ -275,8 +275,9 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THR
 
     regions = written(grouped.mapInArrow(chain_batches, "doc_id long, anchor long, x0 int, x1 int, y0 int, y1 int"),
                       "chains")
-    left = base.select("doc_id", "text")
-    right = base.select(F.col("doc_id").alias("anchor"), F.col("text").alias("other"))
+    some = named(base, regions.select("doc_id").unionAll(regions.select("anchor")))
+    left = some.select("doc_id", "text")
+    right = some.select(F.col("doc_id").alias("anchor"), F.col("text").alias("other"))
     # only the anchor's region travels on, however long its text is
     shift = F.greatest(F.col("y0") - MARGIN, F.lit(0))
     sides = (regions.join(right, "anchor")
@@ -325,7 +326,8 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THR
                                 F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     likely = written(spans.where(F.col("sum_words") >= min_words), "spans")
     one = likely.where("n_parts = 1").select("doc_id", "start", "end", F.col("top_words").alias("n_words"), "source_doc_id")
-    more = (likely.where("n_parts > 1").join(left, "doc_id")
+    pieced = likely.where("n_parts > 1")
+    more = (pieced.join(named(base, pieced.select("doc_id")), "doc_id")
                   .select("doc_id", "start", "end", span_words.alias("n_words"), "source_doc_id")
                   .where(F.col("n_words") >= min_words).distinct())
     return one.unionByName(more)
