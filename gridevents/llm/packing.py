@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -88,7 +89,7 @@ class WordIds:
     def _learn(self, words: set[str]) -> None:
         tails = [w for w in words if len(w) > 1 and w[-1] in ".," and w[-2].isascii() and w[-2].isalpha()]
         plain = words.difference(tails).union((w[:-1] for w in tails), ".,") - self.codes.keys()
-        letters = sorted(w for w in plain if w.isalpha())  # a run of letters is one unit: many at once, told apart by their ends
+        letters = [w for w in plain if w.isalpha()]  # a run of letters is one unit: many at once, told apart by their ends
         for at in range(0, len(letters), 4096):
             part = letters[at:at + 4096]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int32)
@@ -97,7 +98,7 @@ class WordIds:
                 self._add(part, ids, length)
             else:
                 self._learn_alone(part)
-        self._learn_alone(sorted(plain - self.codes.keys()))
+        self._learn_alone(list(plain - self.codes.keys()))
         if tails:
             both = np.array([(self.codes[w[:-1]], self.codes[w[-1]]) for w in tails], np.int64)
             flat, length = self._gather(both.reshape(-1))
@@ -113,7 +114,7 @@ class WordIds:
         if fresh:
             self._learn(fresh)
         get = self.codes.__getitem__
-        codes = np.fromiter((c for words in split for c in map(get, words)), np.int64, sum(map(len, split)))
+        codes = np.fromiter(map(get, chain.from_iterable(split)), np.int64, sum(map(len, split)))
         self.uses += np.bincount(codes, minlength=len(self.uses))
         flat, length = self._gather(codes)
         # each text's ids, then the end id

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -174,8 +175,8 @@ class Encoder:
         for piece in set().union(*split) - self.codes.keys():
             self._learn(piece, self.transducer.encode(piece.encode("utf-8")))
         get = self.codes.__getitem__
-        codes = np.fromiter((c for pieces in split for c in map(get, pieces)), np.int64, sum(map(len, split)))
-        np.add.at(self.uses, codes, 1)
+        codes = np.fromiter(map(get, chain.from_iterable(split)), np.int64, sum(map(len, split)))
+        self.uses += np.bincount(codes, minlength=len(self.uses))
         size = self.length[codes]
         place = np.zeros(len(codes) + 1, np.int64)
         np.cumsum(size, out=place[1:])
