@@ -127,24 +127,25 @@ class WordIds:
         return out, first
 
 
-_LOADED: dict[str, WordIds] = {}
+_LOADED: dict[tuple[str, int], WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, limit: int) -> WordIds:
     """The memory of this worker process."""
-    if path not in _LOADED:
-        _LOADED[path] = WordIds(path)
-    return _LOADED[path]
+    if (path, limit) not in _LOADED:
+        _LOADED[path, limit] = WordIds(path, limit)
+    return _LOADED[path, limit]
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = True,
+           known_words: int = KNOWN_WORDS) -> DataFrame:
     """(doc_id, start, length, doc_tokens, ids or ids_crc32): every text cut at multiples of ``capacity``.
 
     ``ids_crc32`` is that of the little-endian unsigned 32-bit ids; it stands in for the ids
     where only a check of them is wanted.
     """
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        ids, first = word_ids(tokenizer).encode(part["text"].to_pylist())
+        ids, first = word_ids(tokenizer, known_words).encode(part["text"].to_pylist())
         total = np.diff(first)
         number = -(-total // capacity)
         owner = np.repeat(np.arange(len(total)), number)
@@ -198,7 +199,7 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES,
-         with_ids: bool = True) -> DataFrame:
+         with_ids: bool = True, known_words: int = KNOWN_WORDS) -> DataFrame:
     """The pieces of all texts with ``sequence_id`` and ``offset`` in their sequence.
 
     A sequence holds at most ``capacity`` ids, gapless from offset 0.  Every row of ``docs``
@@ -206,7 +207,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, group_pieces
     null, repeated rows are packed as often as they stand.  Pieces are placed by hash of
     doc_id, start and length, so equal input gives equal sequences; an empty table has none.
     """
-    cut = written(pieces(docs, tokenizer, capacity, with_ids), "pieces")
+    cut = written(pieces(docs, tokenizer, capacity, with_ids, known_words), "pieces")
     groups = max(1, round(cut.count() / group_pieces))
     content = "ids" if with_ids else "ids_crc32"
     grouped = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", content), F.lit(groups)))
