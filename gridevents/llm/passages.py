@@ -13,8 +13,9 @@
    passage, as ten seeds in a row never lack a minimizer, and is left; so is a chain that
    lies inside a longer one of its document, whatever their anchors, and a chain of one
    match, which common words make by chance.
-4. The regions of a chain are extended and aligned word by word; aligned regions that
-   touch are joined, and a passage must have ``min_words`` words.
+4. The regions of a chain are extended and aligned word by word; where the whole differs
+   too much, its similar regions are taken.  Aligned regions that touch are joined, and a
+   passage must have ``min_words`` words.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ MIN_SEEDS = 3
 #: Characters of distance (both sides together) that cost as much as one seed is worth,
 #: and characters without a seed at which a chain is cut.
 GAP_COST, GAP_CUT = 400, 250
+#: Bits of an alignment that are held for its way back.
+TRACE_BITS = 1 << 28
 #: Characters beyond the outer seeds that an alignment may reach.
 MARGIN = 512
 
@@ -185,6 +188,120 @@ def common_words(one: list, two: list) -> int:
     return len(one) - bin(row).count("1")
 
 
+def _lcs_rows(one: list, two: list) -> list[int]:
+    """After each word of ``two``: bit i is 0 where the first i + 1 words of ``one`` share one word more than the first i."""
+    masks: dict = {}
+    for i, w in enumerate(one):
+        masks[w] = masks.get(w, 0) | 1 << i
+    full = row = (1 << len(one)) - 1
+    rows = []
+    for w in two:
+        hit = row & masks.get(w, 0)
+        row = ((row + hit) | (row - hit)) & full
+        rows.append(row)
+    return rows
+
+
+def _shared_before(one: list, two: list) -> np.ndarray:
+    """Common words of ``two`` with the first 0, 1, ... words of ``one``."""
+    row = (1 << len(one)) - 1
+    masks: dict = {}
+    for i, w in enumerate(one):
+        masks[w] = masks.get(w, 0) | 1 << i
+    full = row
+    for w in two:
+        hit = row & masks.get(w, 0)
+        row = ((row + hit) | (row - hit)) & full
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(one) // 8 + 1, "little"), np.uint8), bitorder="little")[:len(one)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def common_pairs(one: list, two: list) -> list[tuple[int, int]]:
+    """A longest common subsequence as pairs of places; large inputs are halved, so memory stays bounded."""
+    if not one or not two:
+        return []
+    if len(one) * len(two) > TRACE_BITS and len(two) > 1:
+        half = len(two) // 2
+        left, right = _shared_before(one, two[:half]), _shared_before(one[::-1], two[half:][::-1])
+        at = int(np.argmax(left + right[::-1]))
+        return common_pairs(one[:at], two[:half]) + [(i + at, j + half) for i, j in common_pairs(one[at:], two[half:])]
+    rows, out, i, j = _lcs_rows(one, two), [], len(one) - 1, len(two) - 1
+    while i >= 0 and j >= 0:
+        if rows[j] >> i & 1:
+            i -= 1
+        elif j and not rows[j - 1] >> i & 1:
+            j -= 1
+        else:
+            out.append((i, j))
+            i, j = i - 1, j - 1
+    return out[::-1]
+
+
+def pieces(one: list, two: list, threshold: float, min_words: int) -> list[tuple[int, int]]:
+    """Bounds (first, last word of ``one``) of the regions that are similar enough inside two sides that are not.
+
+    Along the alignment a common word counts ``2 - 2 * threshold`` and any other word
+    ``-threshold``: a region is similar enough where its sum is not negative.  Regions no
+    part of which has a larger sum come first; where these are shorter than ``min_words``,
+    the longest similar regions between the long ones are taken.  So every run of common
+    words of ``min_words`` is inside a region, and no region that is similar enough and has
+    ``min_words`` is left without one.
+    """
+    pairs = common_pairs(one, two)
+    if not pairs:
+        return []
+    low, high, total, before = [], [], 0.0, (pairs[0][0] - 1, pairs[0][1] - 1)
+    stack: list[tuple[int, int]] = []
+    for t, (i, j) in enumerate(pairs):
+        total -= threshold * (i - before[0] + j - before[1] - 2)
+        low.append(total)
+        total += 2 - 2 * threshold
+        high.append(total)
+        before, first = (i, j), t
+        while True:
+            n = len(stack) - 1
+            while n >= 0 and low[stack[n][0]] >= low[first]:
+                n -= 1
+            if n < 0 or high[stack[n][1]] >= total:
+                stack.append((first, t))
+                break
+            first = stack[n][0]
+            del stack[n:]
+
+    def grown(a: int, b: int) -> tuple[int, int, int, int]:
+        """The region from common word a to b with the equal words beside it, which may have been aligned elsewhere."""
+        (i, j), (last, far) = pairs[a], pairs[b]
+        while i and j and one[i - 1] == two[j - 1]:
+            i, j = i - 1, j - 1
+        while last + 1 < len(one) and far + 1 < len(two) and one[last + 1] == two[far + 1]:
+            last, far = last + 1, far + 1
+        return i, last, a, b
+
+    parts = [grown(a, b) for a, b in stack]
+    out = [p for p in parts if p[1] - p[0] + 1 >= min_words]
+    bounds = [-1, *(x for p in out for x in p[2:]), len(pairs)]
+    open_ranges = list(zip([-1, *bounds[2::2]], bounds[1::2]))
+    while open_ranges:
+        after, until = open_ranges.pop()
+        starts: list[int] = []
+        for a in range(after + 1, until):
+            if not starts or low[a] < low[starts[-1]]:
+                starts.append(a)
+        longest = (-1, 0, 0)
+        for b in range(until - 1, after, -1):
+            while starts and (starts[-1] > b or high[b] - low[starts[-1]] >= -1e-9):
+                a = starts.pop()
+                if a <= b:
+                    longest = max(longest, (pairs[b][0] - pairs[a][0], a, b))
+        if longest[0] >= 0:
+            found = grown(*longest[1:])
+            if found[1] - found[0] + 1 >= min_words:
+                out.append(found)
+                open_ranges += [(after, longest[1]), (longest[2], until)]
+    out += [p for p in parts if not any(q[2] <= p[2] and p[3] <= q[3] for q in out)]
+    return [p[:2] for p in out]
+
+
 def extend(one: list, two: list, i: int, j: int, step: int, drop: int = 6) -> tuple[int, int]:
     """Furthest ends in direction ``step`` from words i and j: a match gives 1, a mismatch takes 2."""
     best, score, reach = 0, 0, (i, j)
@@ -208,8 +325,8 @@ def _spans(text: str, shift: int, full: int) -> tuple[list, list[int], list[int]
 
 
 def aligned(text: str, other: str, here: tuple[int, int, int], there: tuple[int, int, int], k: int,
-            threshold: float) -> tuple[int, int, int] | None:
-    """(start, end, words) of a chain in the text, or None if the sides differ too much.
+            threshold: float, min_words: int) -> list[tuple[int, int, int]]:
+    """(start, end, words) of a chain in the text; if the sides differ too much, those of its similar regions.
 
     ``here`` and ``there`` are the places of the first and the last seed and the place at
     which the given region of ``MARGIN`` characters more on both sides starts.
@@ -221,15 +338,15 @@ def aligned(text: str, other: str, here: tuple[int, int, int], there: tuple[int,
     i, j = bisect_left(start, x0 - back), bisect_left(begin, y0 - shift)
     last, far = bisect_left(start, x1 - back) + k - 1, bisect_left(begin, y1 - shift) + k - 1
     if not (i < len(one) and j < len(two)):
-        return None
+        return []
     last, far = min(last, len(one) - 1), min(far, len(two) - 1)
     i, j = extend(one, two, i, j, -1)
     last, far = extend(one, two, last, far, 1)
     mine, other_words = one[i:last + 1], two[j:far + 1]
     same = len(mine) if mine == other_words else common_words(mine, other_words)
-    if 2 * same < threshold * (len(mine) + len(other_words)):
-        return None
-    return start[i] + back, end[last] + back, len(mine)
+    if 2 * same >= threshold * (len(mine) + len(other_words)):
+        return [(start[i] + back, end[last] + back, len(mine))]
+    return [(start[i + a] + back, end[i + b] + back, b - a + 1) for a, b in pieces(mine, other_words, threshold, min_words)]
 
 
 def passages(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THRESHOLD,
@@ -291,10 +408,9 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THR
     def align(part: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for r in part.to_pylist():
-            hit = aligned(r["text"], r["other"], (r["x0"], r["x1"], r["back"]), (r["y0"], r["y1"], r["shift"]),
-                          k, threshold)
-            if hit and hit[2] >= PART_WORDS:
-                rows.append((r["doc_id"], r["anchor"], *hit))
+            hits = aligned(r["text"], r["other"], (r["x0"], r["x1"], r["back"]), (r["y0"], r["y1"], r["shift"]),
+                           k, threshold, min_words)
+            rows += [(r["doc_id"], r["anchor"], *hit) for hit in hits if hit[2] >= PART_WORDS]
         return pa.record_batch([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)],
                                ["doc_id", "anchor", "start", "end", "words"])
 

@@ -4,7 +4,9 @@ import re
 import numpy as np
 from hypothesis import given, settings, strategies as st
 
-from gridevents.llm.passages import chains, common_words, cut, minimizers, passages, without_passages
+from gridevents.llm import passages as module
+from gridevents.llm.passages import (chains, common_pairs, common_words, cut, minimizers, passages, pieces,
+                                     without_passages)
 
 R = random.Random(2)
 
@@ -23,6 +25,41 @@ def test_common_words_is_the_longest_common_subsequence(a, b):
     assert common_words(a, b) == table[-1][-1]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 4), max_size=14), st.lists(st.integers(0, 4), max_size=14), st.sampled_from([8, 1 << 28]))
+def test_common_pairs_are_a_longest_common_subsequence(a, b, bits):
+    kept, module.TRACE_BITS = module.TRACE_BITS, bits
+    try:
+        found = common_pairs(a, b)
+    finally:
+        module.TRACE_BITS = kept
+    assert len(found) == common_words(a, b) and all(a[i] == b[j] for i, j in found)
+    assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(found, found[1:]))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 12), st.integers(0, 5), st.integers(0, 5)), min_size=1, max_size=7))
+def test_pieces_meet_all_similar_regions(runs):
+    one, two = [], []
+    for n, (shared, here, there) in enumerate(runs):
+        same = [f"s{n}.{x}" for x in range(shared)]
+        one += same + [f"o{n}.{x}" for x in range(here)]
+        two += same + [f"t{n}.{x}" for x in range(there)]
+    found, other = pieces(one, two, 0.8, 8), {w: j for j, w in enumerate(two)}
+    common = [i for i, w in enumerate(one) if w in other]
+    for a in common:  # brute force over all regions that begin and end with a common word
+        for b in common:
+            far = other[one[b]] - other[one[a]] + 1
+            if b - a + 1 >= 8 and 2 * sum(a <= i <= b for i in common) >= 0.8 * (b - a + 1 + far):
+                assert any(x <= b and a <= y for x, y in found)
+    for n, (shared, _, _) in enumerate(runs):
+        a = one.index(f"s{n}.0")
+        assert shared < 8 or any(x <= a and a + shared - 1 <= y for x, y in found)
+    for x, y in found:
+        far = other[one[y]] - other[one[x]] + 1
+        assert 2 * sum(x <= i <= y for i in common) >= 0.8 * (y - x + 1 + far) - 1e-9
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 40)), max_size=9, unique=True))
 def test_first_chain_has_the_best_score(places):
@@ -89,6 +126,17 @@ def test_a_passage_that_very_many_texts_share(docs):
     assert all(r.source_doc_id < r.doc_id and 55 <= r.n_words <= 57 for r in found)  # a word beside it may agree by chance
 
 
+def test_shared_paragraphs_between_rewritten_words(docs):
+    shared = [prose(55) for _ in range(5)]
+    texts = {i: " ".join(w for p in shared for w in p + prose(20)) for i in (1, 2)}
+    found = passages(docs(list(texts.items()))).collect()
+    spans = sorted((r.start, r.end) for r in found)
+    for p in shared:
+        at = texts[2].index(" ".join(p))
+        assert any(a <= at and at + len(" ".join(p)) <= b for a, b in spans)
+    assert sum(r.n_words for r in found) <= 5 * 57
+
+
 def test_cut_and_empty(docs):
     assert cut("abcdef", [(4, 5), (1, 2)]) == "acdf"
     assert passages(docs([])).collect() == []
