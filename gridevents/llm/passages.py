@@ -10,9 +10,9 @@
    places on both sides, where the distance between neighbours costs.  A Fenwick
    tree of prefix maxima over the anchor's places finds each best predecessor.
    A chain whose surroundings hold fewer than ``MIN_SEEDS`` matches cannot lie in a
-   passage, as ten seeds in a row never lack a minimizer, and is left; so is a chain that
-   lies inside a longer one of its document, whatever their anchors, and a chain of one
-   match, which common words make by chance.
+   passage, as ten seeds in a row never lack a minimizer, and is left; so is a chain of one
+   match, which common words make by chance.  A chain that lies inside a longer one of its
+   document waits: it is aligned only where no region of that one was accepted around it.
 4. The regions of a chain are extended and aligned word by word; where the whole differs
    too much, its similar regions are taken.  Aligned regions that touch are joined, and a
    passage must have ``min_words`` words.
@@ -21,7 +21,7 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -103,14 +103,13 @@ def dense(anchor: np.ndarray, place: np.ndarray, there: np.ndarray) -> zip:
     return zip(anchor[keep].tolist(), place[keep].tolist(), there[keep].tolist())
 
 
-def outermost(extents: list[tuple]) -> list[tuple]:
-    """The chains (first place, last place, matches, ...) of two matches or more that lie in no other chain of ``MIN_SEEDS``."""
-    out, reach = [], -1
-    for one in sorted(extents, key=lambda e: (e[0], -e[1], -e[2], *e[3:])):
-        if one[2] > 1 and one[1] > reach:
-            out.append(one)
-        if one[2] >= MIN_SEEDS:
-            reach = max(reach, one[1])
+def outermost(extents: list[tuple]) -> list[bool]:
+    """Whether each chain (first place, last place, matches, ...) lies in no other chain of ``MIN_SEEDS``."""
+    out, reach = [False] * len(extents), -1
+    for n in sorted(range(len(extents)), key=lambda n: (extents[n][0], -extents[n][1], -extents[n][2], *extents[n][3:])):
+        out[n] = extents[n][1] > reach
+        if extents[n][2] >= MIN_SEEDS:
+            reach = max(reach, extents[n][1])
     return out
 
 
@@ -380,30 +379,20 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THR
                 by_anchor.setdefault(anchor, []).append((place, there))
             extents = [(one[0][0], one[-1][0], len(one), anchor, one[0][1], one[-1][1])
                        for anchor, places in by_anchor.items() for one in chains(places)]
-            rows += [(doc, anchor, x0, x1, y0, y1) for x0, x1, _, anchor, y0, y1 in outermost(extents)]
+            extents = [e for e in extents if e[2] > 1]
+            rows += [(doc, anchor, x0, x1, y0, y1, outer)
+                     for (x0, x1, _, anchor, y0, y1), outer in zip(extents, outermost(extents))]
         return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in
-                                enumerate([pa.int64()] * 2 + [pa.int32()] * 4)],
-                               ["doc_id", "anchor", "x0", "x1", "y0", "y1"])
+                                enumerate([pa.int64()] * 2 + [pa.int32()] * 4 + [pa.bool_()])],
+                               ["doc_id", "anchor", "x0", "x1", "y0", "y1", "outer"])
 
     def chain_batches(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 yield chain(batch.slice(at, 256))
 
-    regions = written(grouped.mapInArrow(chain_batches, "doc_id long, anchor long, x0 int, x1 int, y0 int, y1 int"),
+    regions = written(grouped.mapInArrow(chain_batches, "doc_id long, anchor long, x0 int, x1 int, y0 int, y1 int, outer boolean"),
                       "chains")
-    some = named(base, regions.select("doc_id").unionAll(regions.select("anchor")))
-    left = some.select("doc_id", "text")
-    right = some.select(F.col("doc_id").alias("anchor"), F.col("text").alias("other"))
-    # only the anchor's region travels on, however long its text is
-    shift = F.greatest(F.col("y0") - MARGIN, F.lit(0))
-    sides = (regions.join(right, "anchor")
-                    .select("doc_id", "anchor", "x0", "x1", "y0", "y1", shift.alias("shift"),
-                            F.substring("other", shift + 1, F.col("y1") - shift + 2 * MARGIN).alias("other"))
-                    .join(left, "doc_id"))
-    back = F.greatest(F.col("x0") - MARGIN, F.lit(0))
-    cut = sides.select("doc_id", "anchor", "x0", "x1", "y0", "y1", "shift", "other", back.alias("back"),
-                       F.substring("text", back + 1, F.col("x1") - back + 2 * MARGIN).alias("text"))
 
     def align(part: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
@@ -414,7 +403,47 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THR
         return pa.record_batch([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)],
                                ["doc_id", "anchor", "start", "end", "words"])
 
-    parts = map_slices(cut, align, "doc_id long, anchor long, start long, end long, words long")
+    def aligned_regions(regions: DataFrame) -> DataFrame:
+        some = named(base, regions.select("doc_id").unionAll(regions.select("anchor")))
+        left = some.select("doc_id", "text")
+        right = some.select(F.col("doc_id").alias("anchor"), F.col("text").alias("other"))
+        # only the anchor's region travels on, however long its text is
+        shift = F.greatest(F.col("y0") - MARGIN, F.lit(0))
+        sides = (regions.join(right, "anchor")
+                        .select("doc_id", "anchor", "x0", "x1", "y0", "y1", shift.alias("shift"),
+                                F.substring("other", shift + 1, F.col("y1") - shift + 2 * MARGIN).alias("other"))
+                        .join(left, "doc_id"))
+        back = F.greatest(F.col("x0") - MARGIN, F.lit(0))
+        cut = sides.select("doc_id", "anchor", "x0", "x1", "y0", "y1", "shift", "other", back.alias("back"),
+                           F.substring("text", back + 1, F.col("x1") - back + 2 * MARGIN).alias("text"))
+        return map_slices(cut, align, "doc_id long, anchor long, start long, end long, words long")
+
+    def uncovered(batches):
+        """Chains that lie in no accepted region of their document."""
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                reach, ends = -1, []
+                starts = sorted((p["start"], p["end"]) for p in r["accepted"] or ())
+                for _, end in starts:
+                    reach = max(reach, end)
+                    ends.append(reach)
+                for c in r["inner"]:
+                    n = bisect_right(starts, (c["x0"], 1 << 40))
+                    if not n or ends[n - 1] <= c["x1"]:
+                        rows.append((r["doc_id"], *(c[x] for x in ("anchor", "x0", "x1", "y0", "y1"))))
+            yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in
+                                   enumerate([pa.int64()] * 2 + [pa.int32()] * 4)],
+                                  ["doc_id", "anchor", "x0", "x1", "y0", "y1"])
+
+    first = written(aligned_regions(regions.where("outer")), "aligned")
+    # bounded by the chains of one document
+    accepted = first.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("accepted"))
+    inner = regions.where("not outer").groupBy("doc_id").agg(
+        F.collect_list(F.struct("anchor", "x0", "x1", "y0", "y1")).alias("inner"))
+    still = written(inner.join(accepted, "doc_id", "left").mapInArrow(
+        uncovered, "doc_id long, anchor long, x0 int, x1 int, y0 int, y1 int"), "inner")
+    parts = first.unionByName(aligned_regions(still))
     # bounded by the regions of one document
     joined = parts.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "words", "anchor")).alias("parts"))
 

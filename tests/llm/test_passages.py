@@ -137,6 +137,18 @@ def test_shared_paragraphs_between_rewritten_words(docs):
     assert sum(r.n_words for r in found) <= 5 * 57
 
 
+def test_a_repeat_inside_a_rejected_chain(docs):
+    newer, fresh = prose(160), prose(160)
+    older = list(newer)
+    for at in range(20, 160, 34):  # every seed of the edits' surroundings is new, and the passage is 0.7 alike
+        older[at:at + 10] = fresh[at:at + 10]
+    texts = {1: older, 5: newer, 9: newer}
+    texts = {i: " ".join(prose(30) + t + prose(30)) for i, t in texts.items()}
+    spans = [(r.start, r.end) for r in passages(docs(list(texts.items()))).collect() if r.doc_id == 9]
+    at = texts[9].index(" ".join(newer))
+    assert any(a <= at and at + len(" ".join(newer)) <= b for a, b in spans)
+
+
 def test_cut_and_empty(docs):
     assert cut("abcdef", [(4, 5), (1, 2)]) == "acdf"
     assert passages(docs([])).collect() == []
