@@ -38,15 +38,17 @@ MIN_WORDS, THRESHOLD = 50, 0.8
 PART_WORDS = 14
 #: Matches, with no gap over ``GAP_CUT``, that a passage of 50 words has at least, two edits included.
 MIN_SEEDS = 3
-#: Characters of distance (both sides together) that cost as much as one seed is worth,
-#: and characters without a seed at which a chain is cut.
-GAP_COST, GAP_CUT = 400, 250
+#: Words of distance (both sides together) that cost as much as one seed is worth,
+#: and words without a seed at which a chain is cut.
+GAP_COST, GAP_CUT = 64, 40
 #: Bits of an alignment that are held for its way back.
 TRACE_BITS = 1 << 28
-#: Characters beyond the outer seeds that an alignment may reach.
-MARGIN = 512
+#: Words beyond the outer seeds that an alignment may reach.
+MARGIN = 80
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: A place is the number of a word in its text, shifted, and the code point where it starts.
+_POINT = (1 << 32) - 1
 
 
 def minimizers(value: np.ndarray, owner: np.ndarray, window: int) -> np.ndarray:
@@ -73,7 +75,7 @@ def minimizers(value: np.ndarray, owner: np.ndarray, window: int) -> np.ndarray:
 
 
 def seeds(df: DataFrame, k: int = SEED, window: int = WINDOW) -> DataFrame:
-    """(seed, doc_id, place, first): minimizers with their code point, and the seed's first place in its text."""
+    """(seed, doc_id, place, first): minimizers with their place, and the seed's first place in its text."""
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         found = words(part["text"])
         value, at = shingles(found.hashes(), found.first, k)
@@ -81,23 +83,23 @@ def seeds(df: DataFrame, k: int = SEED, window: int = WINDOW) -> DataFrame:
         pick = minimizers(value, owner, window)
         value, at, owner = value[pick], at[pick], owner[pick]
         points = code_points(found.data)
-        place = points[found.start[at]] - points[found.text[owner]]
+        place = (at - found.first[owner]) << 32 | points[found.start[at]] - points[found.text[owner]]
         order = np.lexsort((value, owner))  # stable: places of equal seeds stay in order
         head = np.append(True, (value[order][1:] != value[order][:-1]) | (owner[order][1:] != owner[order][:-1])) \
             if len(order) else np.zeros(0, bool)
         first = np.empty(len(order), np.int64)
         first[order] = place[order][np.flatnonzero(head)[np.cumsum(head) - 1]] if len(order) else 0
         return pa.record_batch([pa.array(value.view(np.int64)), part["doc_id"].take(pa.array(owner)),
-                                pa.array(place.astype(np.int32)), pa.array(first.astype(np.int32))],
+                                pa.array(place), pa.array(first)],
                                ["seed", "doc_id", "place", "first"])
-    return map_slices(df, run, "seed long, doc_id long, place int, first int")
+    return map_slices(df, run, "seed long, doc_id long, place long, first long")
 
 
 def dense(anchor: np.ndarray, place: np.ndarray, there: np.ndarray) -> zip:
     """The matches of a document that lie among ``MIN_SEEDS`` places or more without a wide gap."""
     order = np.argsort(place, kind="stable")
     anchor, place, there = anchor[order], place[order], there[order]
-    group = np.cumsum(np.diff(place, prepend=place[:1]) > GAP_CUT)
+    group = np.cumsum(np.diff(place >> 32, prepend=place[:1] >> 32) > GAP_CUT)
     new = np.diff(place, prepend=-1) > 0
     keep = np.bincount(group, new)[group] >= MIN_SEEDS
     return zip(anchor[keep].tolist(), place[keep].tolist(), there[keep].tolist())
@@ -312,28 +314,18 @@ def extend(one: list, two: list, i: int, j: int, step: int, drop: int = 6) -> tu
     return reach
 
 
-def _spans(text: str, shift: int, full: int) -> tuple[list, list[int], list[int]]:
-    """Words and their bounds; words cut by the borders of a region equal nothing."""
-    found = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(text)]
-    names: list = [f[0] for f in found]
-    if found and shift and found[0][1] == 0:
-        names[0] = object()
-    if found and len(text) >= full and found[-1][2] == len(text):
-        names[-1] = object()
-    return names, [f[1] for f in found], [f[2] for f in found]
-
-
 def aligned(text: str, other: str, here: tuple[int, int, int], there: tuple[int, int, int], k: int,
             threshold: float, min_words: int) -> list[tuple[int, int, int]]:
     """(start, end, words) of a chain in the text; if the sides differ too much, those of its similar regions.
 
-    ``here`` and ``there`` are the places of the first and the last seed and the place at
-    which the given region of ``MARGIN`` characters more on both sides starts.
+    ``here`` and ``there`` are the code points of the first and the last seed and the one at
+    which the given region of ``MARGIN`` words more on both sides starts.
     """
     x0, x1, back = here
     y0, y1, shift = there
-    one, start, end = _spans(text, back, x1 - back + 2 * MARGIN)
-    two, begin, _ = _spans(other, shift, y1 - shift + 2 * MARGIN)
+    found, others = ([(m.group(), m.start(), m.end()) for m in _WORD.finditer(t)] for t in (text, other))
+    one, start, end = ([f[i] for f in found] for i in range(3))
+    two, begin = ([f[i] for f in others] for i in range(2))
     i, j = bisect_left(start, x0 - back), bisect_left(begin, y0 - shift)
     last, far = bisect_left(start, x1 - back) + k - 1, bisect_left(begin, y1 - shift) + k - 1
     if not (i < len(one) and j < len(two)):
@@ -348,6 +340,16 @@ def aligned(text: str, other: str, here: tuple[int, int, int], there: tuple[int,
     return [(start[i + a] + back, end[i + b] + back, b - a + 1) for a, b in pieces(mine, other_words, threshold, min_words)]
 
 
+def around(df: DataFrame, text: str, first: str, last: str, start: str, k: int) -> DataFrame:
+    """``text`` cut to the words from the code point ``first`` to the ``k`` words at ``last`` and ``MARGIN`` words more
+    on both sides; ``start`` is the code point where the cut starts.  However long the words are, none is cut."""
+    word, space = r"[^\x20\x09-\x0D]++", r"[\x20\x09-\x0D]"
+    before = F.regexp_extract(F.reverse(F.substring(text, F.lit(1), F.col(first))), f"^(?:{space}++{word}){{0,{MARGIN}}}", 0)
+    after = F.regexp_extract(F.substring(text, F.col(last) + 1, F.lit((1 << 31) - 1)), f"^(?:{word}{space}*+){{0,{MARGIN + k}}}", 0)
+    cut = df.withColumns({start: F.col(first) - F.length(before), "_after": F.length(after)})
+    return cut.withColumn(text, F.substring(text, F.col(start) + 1, F.col(last) - F.col(start) + F.col("_after"))).drop("_after")
+
+
 def passages(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THRESHOLD,
              k: int = SEED, window: int = WINDOW) -> DataFrame:
     """(doc_id, start, end, n_words, source_doc_id): passages that a document of smaller id holds too.
@@ -375,10 +377,15 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THR
         rows = []
         for doc, found in zip(part["doc_id"].to_pylist(), part["matches"]):
             by_anchor: dict[int, list[tuple[int, int]]] = {}
+            points: dict[tuple[int, int, int], tuple[int, int]] = {}
             for anchor, place, there in dense(*(found.values.field(c).to_numpy() for c in ("anchor", "place", "there"))):
-                by_anchor.setdefault(anchor, []).append((place, there))
-            extents = [(one[0][0], one[-1][0], len(one), anchor, one[0][1], one[-1][1])
-                       for anchor, places in by_anchor.items() for one in chains(places)]
+                by_anchor.setdefault(anchor, []).append((place >> 32, there >> 32))
+                points[anchor, place >> 32, there >> 32] = place & _POINT, there & _POINT
+            extents = []
+            for anchor, places in by_anchor.items():
+                for one in chains(places):
+                    (x0, y0), (x1, y1) = points[anchor, *one[0]], points[anchor, *one[-1]]
+                    extents.append((x0, x1, len(one), anchor, y0, y1))
             extents = [e for e in extents if e[2] > 1]
             rows += [(doc, anchor, x0, x1, y0, y1, outer)
                      for (x0, x1, _, anchor, y0, y1), outer in zip(extents, outermost(extents))]
@@ -408,14 +415,8 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THR
         left = some.select("doc_id", "text")
         right = some.select(F.col("doc_id").alias("anchor"), F.col("text").alias("other"))
         # only the anchor's region travels on, however long its text is
-        shift = F.greatest(F.col("y0") - MARGIN, F.lit(0))
-        sides = (regions.join(right, "anchor")
-                        .select("doc_id", "anchor", "x0", "x1", "y0", "y1", shift.alias("shift"),
-                                F.substring("other", shift + 1, F.col("y1") - shift + 2 * MARGIN).alias("other"))
-                        .join(left, "doc_id"))
-        back = F.greatest(F.col("x0") - MARGIN, F.lit(0))
-        cut = sides.select("doc_id", "anchor", "x0", "x1", "y0", "y1", "shift", "other", back.alias("back"),
-                           F.substring("text", back + 1, F.col("x1") - back + 2 * MARGIN).alias("text"))
+        sides = around(regions.join(right, "anchor"), "other", "y0", "y1", "shift", k).join(left, "doc_id")
+        cut = around(sides, "text", "x0", "x1", "back", k)
         return map_slices(cut, align, "doc_id long, anchor long, start long, end long, words long")
 
     def uncovered(batches):

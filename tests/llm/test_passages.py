@@ -149,6 +149,14 @@ def test_a_repeat_inside_a_rejected_chain(docs):
     assert any(a <= at and at + len(" ".join(newer)) <= b for a, b in spans)
 
 
+def test_passages_of_long_words(docs):
+    hashes = lambda n: ["".join(R.choice("0123456789abcdef") for _ in range(64)) for _ in range(n)]
+    shared = hashes(55)
+    texts = {i: "é中 " + " ".join(hashes(12) + shared + hashes(9)) for i in (3, 4)}
+    found = passages(docs(list(texts.items()))).collect()
+    assert [(r.doc_id, texts[4][r.start:r.end], r.n_words) for r in found] == [(4, " ".join(shared), 55)]
+
+
 def test_cut_and_empty(docs):
     assert cut("abcdef", [(4, 5), (1, 2)]) == "acdf"
     assert passages(docs([])).collect() == []
