@@ -6,13 +6,16 @@
    every other occurrence is a match (place here, place there) with that document.
    Occurrences are matched with the anchor only, never with each other, so the
    matches are fewer than the seeds, however many documents share a passage.
+   Neighbouring seeds are anchored as pairs too: where other texts of smaller doc_id hold
+   single seeds of a passage by chance, its pairs still lead to its source.
 3. Matches of a document with one anchor are chained: the best chain of increasing
    places on both sides, where the distance between neighbours costs.  A Fenwick
    tree of prefix maxima over the anchor's places finds each best predecessor.
-   A chain whose surroundings hold fewer than ``MIN_SEEDS`` matches cannot lie in a
-   passage, as ten seeds in a row never lack a minimizer, and is left; so is a chain of one
-   match, which common words make by chance.  A chain that lies inside a longer one of its
-   document waits: it is aligned only where no region of that one was accepted around it.
+   A chain of one match is left, as common words make it by chance, unless the words
+   before or after it agree too (by a hash) or two neighbouring seeds match together: a run
+   of ``k + w - 1`` common words always does one of these.  A chain that lies inside a
+   longer one of its document waits: it is aligned only where no region of that one was
+   accepted around it.
 4. The regions of a chain are extended and aligned word by word; where the whole differs
    too much, its similar regions are taken.  Aligned regions that touch are joined, and a
    passage must have ``min_words`` words.
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gridevents.llm.frames import map_slices, named, texts
-from gridevents.llm.words import code_points, shingles, words
+from gridevents.llm.words import code_points, mix, shingles, words
 from gridevents.session import written
 
 #: Words of a seed, and seeds of which the smallest is taken.
@@ -36,7 +39,7 @@ SEED, WINDOW = 5, 10
 MIN_WORDS, THRESHOLD = 50, 0.8
 #: A chain's part must have so many words before touching parts are joined.
 PART_WORDS = 14
-#: Matches, with no gap over ``GAP_CUT``, that a passage of 50 words has at least, two edits included.
+#: Matches of a chain that other chains inside it wait for.
 MIN_SEEDS = 3
 #: Words of distance (both sides together) that cost as much as one seed is worth,
 #: and words without a seed at which a chain is cut.
@@ -75,34 +78,63 @@ def minimizers(value: np.ndarray, owner: np.ndarray, window: int) -> np.ndarray:
 
 
 def seeds(df: DataFrame, k: int = SEED, window: int = WINDOW) -> DataFrame:
-    """(seed, doc_id, place, first): minimizers with their place, and the seed's first place in its text."""
+    """(seed, doc_id, place, near, first, first_near): minimizers with their place, and the seed's first place in its text.
+
+    ``near`` has a byte of the ``k`` words before the seed and one of those after it, 0 where the text ends.
+    """
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         found = words(part["text"])
         value, at = shingles(found.hashes(), found.first, k)
         owner = np.searchsorted(found.first, at, side="right") - 1
         pick = minimizers(value, owner, window)
-        value, at, owner = value[pick], at[pick], owner[pick]
+        byte = (value % np.uint64(255)).astype(np.int64) + 1
+        near = np.zeros(len(value), np.int64)
+        beside = owner[k:] == owner[:-k]
+        near[k:] += np.where(beside, byte[:-k], 0) << 8
+        near[:-k] += np.where(beside, byte[k:], 0)
+        value, at, owner, near = value[pick], at[pick], owner[pick], near[pick]
         points = code_points(found.data)
         place = (at - found.first[owner]) << 32 | points[found.start[at]] - points[found.text[owner]]
         order = np.lexsort((value, owner))  # stable: places of equal seeds stay in order
         head = np.append(True, (value[order][1:] != value[order][:-1]) | (owner[order][1:] != owner[order][:-1])) \
             if len(order) else np.zeros(0, bool)
-        first = np.empty(len(order), np.int64)
-        first[order] = place[order][np.flatnonzero(head)[np.cumsum(head) - 1]] if len(order) else 0
+        first, first_near = np.empty((2, len(order)), np.int64)
+        top = np.flatnonzero(head)[np.cumsum(head) - 1] if len(order) else order
+        first[order], first_near[order] = place[order][top], near[order][top]
         return pa.record_batch([pa.array(value.view(np.int64)), part["doc_id"].take(pa.array(owner)),
-                                pa.array(place), pa.array(first)],
-                               ["seed", "doc_id", "place", "first"])
-    return map_slices(df, run, "seed long, doc_id long, place long, first long")
+                                pa.array(place), pa.array(near.astype(np.int32)), pa.array(first),
+                                pa.array(first_near.astype(np.int32))],
+                               ["seed", "doc_id", "place", "near", "first", "first_near"])
+    return map_slices(df, run, "seed long, doc_id long, place long, near int, first long, first_near int")
+
 
+def useful(anchor: np.ndarray, place: np.ndarray, there: np.ndarray, sure: np.ndarray) -> zip:
+    """The matches of a document that are sure or may be chained with another one of their anchor."""
+    _, which, count = np.unique(anchor, return_inverse=True, return_counts=True)
+    keep = sure | (count[which] > 1)
+    return zip(*(x[keep].tolist() for x in (anchor, place, there, sure)))
 
-def dense(anchor: np.ndarray, place: np.ndarray, there: np.ndarray) -> zip:
-    """The matches of a document that lie among ``MIN_SEEDS`` places or more without a wide gap."""
-    order = np.argsort(place, kind="stable")
-    anchor, place, there = anchor[order], place[order], there[order]
-    group = np.cumsum(np.diff(place >> 32, prepend=place[:1] >> 32) > GAP_CUT)
-    new = np.diff(place, prepend=-1) > 0
-    keep = np.bincount(group, new)[group] >= MIN_SEEDS
-    return zip(anchor[keep].tolist(), place[keep].tolist(), there[keep].tolist())
+
+def seed_pairs(held: DataFrame, window: int) -> DataFrame:
+    """(key, doc_id, place, first, anchor, anchor2): neighbouring shared seeds of every document, with both seeds' anchors."""
+    def run(batches):
+        for batch in batches:
+            out = [np.zeros((6, 0), np.int64)]
+            for doc, rows in zip(batch["doc_id"].to_pylist(), batch["matches"]):
+                seed, place, anchor = (rows.values.field(c).to_numpy() for c in ("seed", "place", "anchor"))
+                order = np.lexsort((seed, place))
+                seed, place, anchor = seed[order], place[order], anchor[order]
+                gap = np.diff(place >> 32)
+                i = np.flatnonzero((gap > 0) & (gap <= window))
+                if not len(i):
+                    continue
+                u = seed.view(np.uint64)
+                key = mix(mix(u[i]) + u[i + 1] + gap[i].astype(np.uint64)).view(np.int64)
+                _, head, which = np.unique(key, return_index=True, return_inverse=True)
+                out.append(np.array([key, np.full(len(i), doc), place[i], place[i][head][which], anchor[i], anchor[i + 1]]))
+            yield pa.record_batch(list(map(pa.array, np.concatenate(out, axis=1))),
+                                  ["key", "doc_id", "place", "first", "anchor", "anchor2"])
+    return held.mapInArrow(run, "key long, doc_id long, place long, first long, anchor long, anchor2 long")
 
 
 def outermost(extents: list[tuple]) -> list[bool]:
@@ -367,26 +399,45 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THR
     base = texts(docs).where("doc_id IS NOT NULL")
     found = seeds(base, k, window)
     anchors = (found.groupBy("seed").agg(F.min("doc_id").alias("anchor"), F.max("doc_id").alias("last"),
-                                         F.min_by("first", "doc_id").alias("there"))
+                                         F.min_by("first", "doc_id").alias("there"), F.min_by("first_near", "doc_id").alias("there_near"))
                     .where("anchor < last").drop("last"))
-    matches = found.join(anchors, "seed").where("doc_id > anchor").select("doc_id", "anchor", "place", "there")
+    differ = F.col("near").bitwiseXOR(F.col("there_near"))
+    sure = (((differ.bitwiseAND(0xFF) == 0) & (F.col("near").bitwiseAND(0xFF) != 0))
+            | ((differ.bitwiseAND(0xFF00) == 0) & (F.col("near").bitwiseAND(0xFF00) != 0)))
+    matches = found.join(anchors, "seed").select("doc_id", F.struct("seed", "anchor", "place", "there", sure.alias("sure")).alias("match"))
     # bounded by the seeds of one document
-    grouped = matches.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place", "there")).alias("matches"))
+    held = written(matches.groupBy("doc_id").agg(F.collect_list("match").alias("matches")), "matches")
+    pairs = written(seed_pairs(held, window), "seed-pairs")
+    sources = (pairs.groupBy("key").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"),
+                                        F.min_by("first", "doc_id").alias("there"))
+                    .where("source < last").drop("last"))
+    more = (pairs.join(sources, "key").where("doc_id > source AND NOT (anchor = source AND anchor2 = source)")
+                 .groupBy("doc_id").agg(F.collect_list(F.struct(F.col("source").alias("anchor"), "place", "there")).alias("more")))
+    grouped = held.join(more, "doc_id", "left")
 
     def chain(part: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for doc, found in zip(part["doc_id"].to_pylist(), part["matches"]):
+        for doc, found, more in zip(part["doc_id"].to_pylist(), part["matches"], part["more"]):
+            own = [found.values.field(c).to_numpy(zero_copy_only=False) for c in ("anchor", "place", "there", "sure")]
+            if more.is_valid:
+                pair = [more.values.field(c).to_numpy() for c in ("anchor", "place", "there")]
+                own = [np.concatenate(x) for x in zip(own, [*pair, np.ones(len(pair[0]), bool)])]
+            own = [x[own[0] < doc] for x in own]
             by_anchor: dict[int, list[tuple[int, int]]] = {}
             points: dict[tuple[int, int, int], tuple[int, int]] = {}
-            for anchor, place, there in dense(*(found.values.field(c).to_numpy() for c in ("anchor", "place", "there"))):
+            certain = set()
+            for anchor, place, there, sure in useful(*own):
                 by_anchor.setdefault(anchor, []).append((place >> 32, there >> 32))
                 points[anchor, place >> 32, there >> 32] = place & _POINT, there & _POINT
+                if sure:
+                    certain.add((anchor, place >> 32, there >> 32))
             extents = []
             for anchor, places in by_anchor.items():
                 for one in chains(places):
+                    if len(one) == 1 and (anchor, *one[0]) not in certain:
+                        continue
                     (x0, y0), (x1, y1) = points[anchor, *one[0]], points[anchor, *one[-1]]
                     extents.append((x0, x1, len(one), anchor, y0, y1))
-            extents = [e for e in extents if e[2] > 1]
             rows += [(doc, anchor, x0, x1, y0, y1, outer)
                      for (x0, x1, _, anchor, y0, y1), outer in zip(extents, outermost(extents))]
         return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in

@@ -157,6 +157,15 @@ def test_passages_of_long_words(docs):
     assert [(r.doc_id, texts[4][r.start:r.end], r.n_words) for r in found] == [(4, " ".join(shared), 55)]
 
 
+def test_seeds_that_smaller_documents_hold_by_chance(docs):
+    shared = prose(60)
+    texts = {i: " ".join(prose(20) + shared[i:i + 5] + prose(20)) for i in range(56)}
+    texts |= {i: " ".join(prose(30) + shared + prose(30)) for i in (100, 101)}
+    found = passages(docs(list(texts.items()))).collect()
+    assert [(r.doc_id, r.source_doc_id) for r in found] == [(101, 100)]
+    assert " ".join(shared) in texts[101][found[0].start:found[0].end]
+
+
 def test_cut_and_empty(docs):
     assert cut("abcdef", [(4, 5), (1, 2)]) == "acdf"
     assert passages(docs([])).collect() == []
