@@ -110,5 +110,14 @@ def test_classes_match_brute_force(docs, monkeypatch):
     assert all(r.class_size == sizes[r.class_id] and r.is_kept == (i == r.class_id) for i, r in got.items())
 
 
+def test_doubled_texts_match_brute_force(docs):
+    texts = {}
+    for i in range(0, 120, 2):
+        page = prose(R.randrange(60, 120))
+        texts[i], texts[i + 1] = " ".join(page), " ".join(page * 2)
+    got = {r.doc_id: r.class_id for r in near_duplicates(docs(list(texts.items()))).collect()}
+    assert got == classes(texts) and all(got[i + 1] == i for i in range(0, 120, 2))
+
+
 def test_empty_table(docs):
     assert near_duplicates(docs([])).collect() == []
