@@ -355,11 +355,10 @@ def aligned(text: str, other: str, here: tuple[int, int, int], there: tuple[int,
     """
     x0, x1, back = here
     y0, y1, shift = there
-    found, others = ([(m.group(), m.start(), m.end()) for m in _WORD.finditer(t)] for t in (text, other))
-    one, start, end = ([f[i] for f in found] for i in range(3))
-    two, begin = ([f[i] for f in others] for i in range(2))
-    i, j = bisect_left(start, x0 - back), bisect_left(begin, y0 - shift)
-    last, far = bisect_left(start, x1 - back) + k - 1, bisect_left(begin, y1 - shift) + k - 1
+    one, two = _WORD.findall(text), _WORD.findall(other)
+    i, j = (len(_WORD.findall(t, 0, at)) for t, at in ((text, x0 - back), (other, y0 - shift)))
+    last, far = (n + len(_WORD.findall(t, a, b)) + k - 1
+                 for n, t, a, b in ((i, text, x0 - back, x1 - back), (j, other, y0 - shift, y1 - shift)))
     if not (i < len(one) and j < len(two)):
         return []
     last, far = min(last, len(one) - 1), min(far, len(two) - 1)
@@ -368,8 +367,14 @@ def aligned(text: str, other: str, here: tuple[int, int, int], there: tuple[int,
     mine, other_words = one[i:last + 1], two[j:far + 1]
     same = len(mine) if mine == other_words else common_words(mine, other_words)
     if 2 * same >= threshold * (len(mine) + len(other_words)):
-        return [(start[i] + back, end[last] + back, len(mine))]
-    return [(start[i + a] + back, end[i + b] + back, b - a + 1) for a, b in pieces(mine, other_words, threshold, min_words)]
+        bounds = [(0, len(mine) - 1)]
+    else:
+        bounds = pieces(mine, other_words, threshold, min_words)
+    bounds = [(a, b) for a, b in bounds if b - a + 1 >= PART_WORDS]
+    if not bounds:
+        return []
+    place = [m.span() for m in _WORD.finditer(text)]
+    return [(place[i + a][0] + back, place[i + b][1] + back, b - a + 1) for a, b in bounds]
 
 
 def around(df: DataFrame, text: str, first: str, last: str, start: str, k: int) -> DataFrame:
@@ -457,7 +462,7 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THR
         for r in part.to_pylist():
             hits = aligned(r["text"], r["other"], (r["x0"], r["x1"], r["back"]), (r["y0"], r["y1"], r["shift"]),
                            k, threshold, min_words)
-            rows += [(r["doc_id"], r["anchor"], *hit) for hit in hits if hit[2] >= PART_WORDS]
+            rows += [(r["doc_id"], r["anchor"], *hit) for hit in hits]
         return pa.record_batch([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)],
                                ["doc_id", "anchor", "start", "end", "words"])
 
