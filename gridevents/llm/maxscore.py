@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 SHARD_ROWS, QUERY_ROWS = 8192, 1024
 #: Vectors scored in full first, to have a bar for the others.
 SEEDS = 256
-#: Scaled components beyond this magnitude count as not finite.
-LARGEST = 2.0 ** 31
+#: Scaled components of this magnitude are no 64-bit integers; the run fails, as the check SQL does.
+LARGEST = 2.0 ** 63
 
 
 def integers(column: pa.Array, scale: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -32,9 +32,12 @@ def integers(column: pa.Array, scale: float) -> tuple[np.ndarray, np.ndarray, np
     flat = np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64)  # null becomes NaN
     with np.errstate(invalid="ignore", over="ignore"):
         value = np.floor(scale * flat)
-    wrong = np.concatenate([[0], np.cumsum(~(np.abs(value) < LARGEST))])
+    wrong = np.concatenate([[0], np.cumsum(~np.isfinite(flat))])
     part = (wrong[first[1:]] == wrong[first[:-1]]) & np.asarray(column.is_valid())
-    return np.where(np.isfinite(value), value, 0), first, part
+    value = np.where(np.repeat(part, lengths), value, 0)
+    if not (np.abs(value) < LARGEST).all():
+        raise OverflowError("a scaled component leaves 64 bits")
+    return value, first, part
 
 
 def _matrix(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +94,7 @@ def top_k(vectors: DataFrame, queries, k: int = 5, scale: float = 256.0, key: st
 
     ``queries`` is a condition that picks the query rows; all other ids are candidates.
     Components are floor(scale * x) as integers.  Vectors that are null, hold null, NaN or
-    infinity (or leave 32 bits when scaled) and rows without id take no part.  Vectors of
+    infinity and rows without id take no part; scores must fit 64 bits.  Vectors of
     unequal length are compared over the terms they share; repeated rows count once; fewer
     candidates than ``k`` give fewer rows; ties go to the smaller id.
     """
@@ -121,7 +124,7 @@ def top_k(vectors: DataFrame, queries, k: int = 5, scale: float = 256.0, key: st
             for own, asked_rows in zip(batch["shard_rows"], batch["block_rows"]):
                 ids, terms = _matrix(own.values)
                 asked_ids, asked_terms = _matrix(asked_rows.values)
-                bound = float(np.abs(terms).max(initial=0)) * float(np.abs(asked_terms).max(initial=0)) * (len(terms) + 1)
+                bound = float(np.abs(terms.astype(float)).max(initial=0)) * float(np.abs(asked_terms.astype(float)).max(initial=0)) * (len(terms) + 1)
                 kind = np.float64 if bound < 2 ** 52 else object  # exact either way
                 terms, asked_terms = terms.astype(kind), asked_terms.astype(kind)
                 low, high = terms.min(axis=1), terms.max(axis=1)

@@ -50,3 +50,7 @@ def test_few_or_no_candidates(spark):
 
 def test_large_components_stay_exact(spark):
     check(spark, [(i, [R.uniform(-1, 1) * 2 ** 22 for _ in range(6)]) for i in range(60)])
+
+
+def test_components_beyond_32_bits_take_part(spark):
+    check(spark, [(i, [R.uniform(-1, 1) for _ in range(4)]) for i in range(20)] + [(25, [1e7, -3.5, 2.0, 1.0]), (31, [-9e6, 1e8, 0.25, 4.0])])
