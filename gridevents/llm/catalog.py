@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridevents.llm.bloomlm import score
 from gridevents.llm.chat import chat
+from gridevents.llm.collocations import collocations
 from gridevents.llm.htmltext import extract
 from gridevents.llm.maxscore import top_k
 from gridevents.llm.neardup import near_duplicates
@@ -105,6 +106,41 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     return extract(table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+@query("op11_branch_and_bound", r"""
+WITH pieces AS (
+    SELECT lang, row_number() OVER () AS piece, list_filter(string_split_regex(part, '[ \t]+'), lambda w: w <> '') AS w
+    FROM (SELECT coalesce(lang, 'und') AS lang,
+                 unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[.,;:!?\x0A-\x0D]')) AS part
+          FROM documents)),
+grams AS MATERIALIZED (
+    SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, m, count(*) AS f
+    FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM pieces, range(1, 6) AS sizes(m) WHERE len(w) >= m)
+    GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM grams WHERE m = 1 GROUP BY lang),
+cand AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS w FROM grams WHERE m > 1 AND f >= 100),
+inner_part AS (
+    SELECT DISTINCT c.lang, array_to_string(c.w[i:i + size - 1], ' ') AS phrase, c.f
+    FROM cand c, range(2, 5) AS sizes(size), range(1, 5) AS starts(i)
+    WHERE size < c.m AND i + size - 1 <= c.m),
+gone AS (SELECT DISTINCT c.lang, c.phrase FROM cand c JOIN inner_part p USING (lang, phrase) WHERE 100 * p.f >= 100 * c.f),
+cuts AS (
+    SELECT c.lang, c.phrase, c.f AS a, k, l.f AS l, r.f AS r, t.n,
+           CAST(1000 * CAST(c.f AS HUGEINT) * t.n // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+    FROM cand c JOIN totals t USING (lang), range(1, 5) AS ks(k),
+         grams l, grams r
+    WHERE k < c.m AND l.lang = c.lang AND r.lang = c.lang
+      AND l.phrase = array_to_string(c.w[:k], ' ') AND r.phrase = array_to_string(c.w[k + 1:], ' ')),
+worst AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, CAST(rank AS INTEGER) AS rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+      FROM worst ANTI JOIN gone USING (lang, phrase))
+WHERE rank <= 2000
+""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(table(spark, folder, "documents"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
