@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridevents.llm.bloomlm import score
+from gridevents.llm.centroids import CLUSTERS, ROUNDS, clusters
 from gridevents.llm.chat import chat
 from gridevents.llm.collocations import collocations
 from gridevents.llm.htmltext import extract
@@ -141,6 +142,42 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return collocations(table(spark, folder, "documents"))
 
 
+def centroid_sql() -> str:
+    """The rounds of centroid clustering written out one after another."""
+    kept = f"""
+WITH kept AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS HUGEINT)) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) = 64
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cells AS MATERIALIZED (SELECT r, unnest(range(64)) AS j, unnest(v) AS x FROM kept),
+c0 AS MATERIALIZED (
+    SELECT k, unnest(range(64)) AS j, unnest(v) AS x
+    FROM (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS k, v FROM kept WHERE vec_id IS NOT NULL)
+    WHERE k < {CLUSTERS})"""
+    assign = """
+a{0} AS MATERIALIZED (
+    SELECT r, k, distance FROM (
+        SELECT v.r, c.k, sum((v.x - c.x) * (v.x - c.x)) AS distance FROM cells v JOIN c{0} c USING (j) GROUP BY v.r, c.k)
+    QUALIFY row_number() OVER (PARTITION BY r ORDER BY distance, k) = 1)"""
+    update = """
+c{1} AS MATERIALIZED (
+    SELECT c.k, c.j, coalesce((s.total - ((s.total % s.n) + s.n) % s.n) // s.n, c.x) AS x
+    FROM c{0} c LEFT JOIN (SELECT k, j, CAST(sum(x) AS HUGEINT) AS total, CAST(count(*) AS HUGEINT) AS n
+                           FROM a{0} JOIN cells USING (r) GROUP BY k, j) s USING (k, j))"""
+    steps = [part for n in range(ROUNDS) for part in (assign.format(n), update.format(n, n + 1))] + [assign.format(ROUNDS)]
+    return ",".join([kept, *steps]) + f"""
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance,
+       CAST(sum(distance) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a{ROUNDS} JOIN kept USING (r)
+JOIN (SELECT k, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY j)) AS centroid_sha256 FROM c{ROUNDS} GROUP BY k) USING (k)"""
+
+
+@query("op13_incremental_centroids", centroid_sql())
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return clusters(table(spark, folder, "embeddings"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
