@@ -11,6 +11,7 @@ from gridevents.llm.chat import chat
 from gridevents.llm.collocations import collocations
 from gridevents.llm.htmltext import extract
 from gridevents.llm.maxscore import top_k
+from gridevents.llm.mixing import mixture
 from gridevents.llm.neardup import near_duplicates
 from gridevents.llm.packing import pack
 from gridevents.llm.passages import passages
@@ -178,6 +179,11 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
     return clusters(table(spark, folder, "embeddings"))
 
 
+@query("op12_subset_sum_mixture")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture(table(spark, folder, "documents"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
