@@ -11,7 +11,7 @@ from gridevents.plans.composites import prepare_field
 from gridevents.session import fresh_path
 from gridevents.sinks.listings import write_places, yearly_list_lines
 from gridevents.sinks.tables import write_cube, write_partitioned
-from gridevents.sources import cubes, listings
+from gridevents.sources import cubes, listings, overlap
 from gridevents.sources.selftest import planted_frames
 
 
@@ -19,16 +19,38 @@ from gridevents.sources.selftest import planted_frames
 SELECT variable, level, CAST(count(*) AS BIGINT) AS n_rows, {s6('avg(value)')} AS mean_value, min(time) AS first_time
 FROM field WHERE variable IN ('T','Q') GROUP BY variable, level""")
 def grid_scan(v):
-    # two copies of every stamp in other files: the first file's row counts
-    late = v.field.withColumn("value", F.col("value") + 1)
-    paths = [v.stored, fresh_path(v.spark, "late")]
-    write_cube(late, paths[1])
-    ranked = [cubes.read_cube(v.spark, p, variables=["T", "Q"]).withColumn("source_rank", F.lit(i)) for i, p in enumerate(paths)]
-    cube = prepare_field(ranked[0].unionByName(ranked[1]))
+    # some stamps are in other files again: the first file's row counts, and only these stamps are grouped
+    late = v.field.where("year(time) = 1996 OR month(time) = 12").withColumn("value", F.col("value") + 1)
+    path = fresh_path(v.spark, "late")
+    write_cube(late, path)
+    cube = overlap.read_first(v.spark, [v.stored, path], variables=["T", "Q"])
     return cube.groupBy("variable", "level").agg(
         F.count(F.lit(1)).alias("n_rows"), r6(F.avg("value"), "mean_value"), F.min("time").alias("first_time"))
 
 
+@query("s01_shared_ranges", """
+WITH filed AS (
+  SELECT o_orderstatus AS variable, 'q' || CAST(year(o_orderdate)*4+quarter(o_orderdate) AS VARCHAR) AS file, o_orderdate AS time FROM orders
+  UNION ALL SELECT o_orderstatus, 'm' || CAST(year(o_orderdate)*12+month(o_orderdate) AS VARCHAR), o_orderdate FROM orders
+  WHERE o_orderstatus='F' AND month(o_orderdate)%4=0),
+ranges AS (SELECT variable, file, min(time) AS lo, max(time) AS hi FROM filed GROUP BY 1, 2),
+dates AS (SELECT DISTINCT variable, time FROM filed),
+depth AS (SELECT d.variable, d.time, count(*) AS n FROM dates d JOIN ranges r ON r.variable=d.variable AND d.time BETWEEN r.lo AND r.hi GROUP BY 1, 2)
+SELECT variable, time FROM depth WHERE n >= 2""")
+def shared_ranges(v):
+    """Stamps in ranges that two files hold; quarters are disjoint, some months are there again."""
+    stamps = v.table("orders").select(F.col("o_orderstatus").alias("variable"), F.col("o_orderdate").alias("time"))
+    quarter = F.concat(F.lit("q"), (F.year("time") * 4 + F.quarter("time")).cast("string"))
+    month = F.concat(F.lit("m"), (F.year("time") * 12 + F.month("time")).cast("string"))
+    again = stamps.where((F.col("variable") == "F") & (F.month("time") % 4 == 0))
+    filed = stamps.withColumn("source_rank", quarter).unionByName(again.withColumn("source_rank", month))
+    ranges = filed.groupBy("variable", "source_rank").agg(
+        F.min("time").alias("first"), F.max("time").alias("last"), F.lit(False).alias("repeats"))
+    shared = overlap.shared_ranges(ranges)
+    days = shared.select("variable", F.explode(F.sequence("first", "last", F.expr("INTERVAL 1 DAY"))).alias("time"))
+    return days.join(stamps.distinct(), ["variable", "time"], "left_semi")
+
+
 @query("s02_single_scan", f"""
 SELECT f.variable, f.time, f.level, f.lat, f.lon, {s6('f.value - m.mv')} AS anomaly
 FROM field f JOIN (SELECT variable, month(time) AS mon, level, lat, lon, avg(value) AS mv FROM field

@@ -20,10 +20,18 @@ def write_partitioned(df: DataFrame, path: str, by: Sequence[str], max_rows: int
     writer.partitionBy(*by).parquet(path)
 
 
-def write_cube(field: DataFrame, path: str) -> None:
-    """A cube by variable, year and month: the layout that later filters prune."""
+def write_cube(field: DataFrame, path: str, by_time: bool = False) -> None:
+    """A cube by variable, year and month: the layout that later filters prune.
+
+    With ``by_time`` the files of a month hold stamps one after another, so that their
+    ranges are disjoint (see :mod:`gridevents.sources.overlap`).
+    """
     dated = field.withColumn("year", F.year("time")).withColumn("month", F.month("time"))
-    write_partitioned(dated, path, ["variable", "year", "month"])
+    if by_time:
+        dated.repartitionByRange("variable", "time").write.option("compression", "zstd") \
+            .partitionBy("variable", "year", "month").parquet(path)
+    else:
+        write_partitioned(dated, path, ["variable", "year", "month"])
 
 
 def write_monthly(df: DataFrame, path: str) -> None:
