@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridevents.catalog.registry import query, r6, s6
 from gridevents.operators import axes, cluster
 from gridevents.operators.features import as_vectors
+from gridevents.operators.silhouette import silhouettes
 from gridevents.session import written
 
 
@@ -45,7 +46,7 @@ def silhouette(v):
 
 @query("m04_k_sweep")
 def sweep(v):
-    return cluster.sweep(written(_vectors(v), "vectors"))
+    return cluster.sweep(written(_vectors(v), "vectors")).select("k", "score")
 
 
 def _separated(v, groups):
@@ -86,6 +87,43 @@ def best_k(v):
     return axes.best_k(scores).select("k", r6("score"))
 
 
+def _euclidean(labels: str) -> str:
+    """Exact mean Euclidean silhouette per clustering, over all pairs; ``labels`` has k, vec_id, own."""
+    return f"""
+WITH e AS MATERIALIZED (SELECT vec_id, embedding FROM embeddings),
+lab AS MATERIALIZED ({labels}),
+d AS MATERIALIZED (SELECT a.vec_id AS p, b.vec_id AS q, sqrt({_SQUARED.format(a='a.embedding', b='b.embedding')}) AS d FROM e a CROSS JOIN e b),
+sums AS (SELECT a.k, d.p, a.own, b.own AS other, count(*) AS n, sum(d.d) AS total
+  FROM d JOIN lab a ON a.vec_id=d.p JOIN lab b ON b.vec_id=d.q AND b.k=a.k GROUP BY 1,2,3,4),
+near AS (SELECT k, p, max(CASE WHEN own=other THEN n END) AS n, max(CASE WHEN own=other AND n>1 THEN total/(n-1) END) AS a,
+  min(CASE WHEN own<>other THEN total/n END) AS b FROM sums GROUP BY k, p),
+exact AS (SELECT k, avg(CASE WHEN n=1 OR b IS NULL THEN 0 ELSE (b-a)/greatest(a,b) END) AS score FROM near GROUP BY k)"""
+
+
+_BY_LABEL = "SELECT CAST(ks.k AS INTEGER) AS k, vec_id, label % ks.k AS own FROM embeddings, (SELECT unnest([2,3,4,5]) AS k) ks"
+
+
+def _labelings(v):
+    """Four clusterings of the vectors that SQL can state: the label modulo k."""
+    return written(v.vectors.select("vec_id", "features", *[(F.col("label") % k).alias(f"c{k}") for k in range(2, 6)]), "labelings")
+
+
+@query("m05_certified_k", _euclidean(_BY_LABEL) + """
+SELECT k, true AS best FROM exact ORDER BY score DESC, k LIMIT 1""")
+def certified_k(v):
+    """The clustering of best Euclidean silhouette, decided by bounds alone."""
+    scores = silhouettes(_labelings(v), {k: f"c{k}" for k in range(2, 6)})
+    return scores.where("best").select("k", "best")
+
+
+@query("a17_euclidean_silhouette", _euclidean(_BY_LABEL) + f"""
+SELECT k, {s6('score')} AS low, {s6('score')} AS high FROM exact""")
+def euclidean_silhouette(v):
+    """Bounds with a pivot for every point up to 4096 a cluster: on a table as small as the check's they meet."""
+    scores = silhouettes(_labelings(v), {k: f"c{k}" for k in range(2, 6)}, first=4096, settle=False)
+    return scores.select("k", r6("low"), r6("high"))
+
+
 _CENTROIDS = """(SELECT label, list(m ORDER BY i) AS centroid FROM (
  SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(range(1, 65)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) u
  GROUP BY 1,2) g GROUP BY label)"""

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -12,9 +14,12 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridevents.operators.axes import best_k
+from gridevents.operators.silhouette import silhouettes
+from gridevents.session import written
 
-#: Range of k that is tried (2 to 9).
+#: Range of k that is tried (2 to 9), and fits that run side by side.
 K_RANGE = range(2, 10)
+SIDE_BY_SIDE = 4
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -96,20 +101,53 @@ def silhouette_score(df: DataFrame, features: str = "features", cluster: str = "
                                distanceMeasure="squaredEuclidean").evaluate(df)
 
 
+def fit_all(df: DataFrame, ks: Sequence[int], seed: int = 0, features: str = "features") -> dict[int, KMeansModel]:
+    """A fit per k.  Each is a chain of small jobs, so several run side by side over one stored copy."""
+    table = df.select(features).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        with ThreadPool(SIDE_BY_SIDE) as pool:
+            fit = inheritable_thread_target(df.sparkSession)(lambda k: (k, fit_kmeans(table, k, seed, features)))
+            return dict(pool.map(fit, ks))
+    finally:
+        table.unpersist()
+
+
+def labelled_by(df: DataFrame, models: Mapping[int, KMeansModel], features: str = "features") -> DataFrame:
+    """``df`` with the label of every model, ``cluster_<k>``: one pass over the table."""
+    out = df
+    for k, model in models.items():
+        out = model.copy({model.predictionCol: f"cluster_{k}", model.featuresCol: features}).transform(out)
+    return out
+
+
+def usable(df: DataFrame, ks: Sequence[int], features: str = "features") -> list[int]:
+    """The k that the table has enough different vectors for."""
+    different = df.select(F.xxhash64(vector_to_array(features))).distinct().count()
+    return [int(k) for k in ks if k <= different]
+
+
+def sweep_scores(df: DataFrame, ks: Sequence[int] = tuple(K_RANGE), seed: int = 0, features: str = "features",
+                 settle: bool = True) -> tuple[dict[int, KMeansModel], DataFrame, DataFrame]:
+    """(fitted models, table labelled by all of them, scores with bounds as in :func:`silhouettes`).
+
+    All k share the passes: one labels, one sums the cells of all clusterings, one scores them.
+    """
+    models = fit_all(df, usable(df, ks, features), seed, features)
+    labelled = written(labelled_by(df, models, features), "labelled")
+    return models, labelled, silhouettes(labelled, {k: f"cluster_{k}" for k in models}, features, settle=settle)
+
+
 def sweep(df: DataFrame, ks: Sequence[int] = tuple(K_RANGE), seed: int = 0,
           features: str = "features") -> DataFrame:
-    """Silhouette score of a fit per k.
+    """Squared silhouette of a fit per k, all k in one pass, with the bounds of the Euclidean one.
 
-    The loop is over the few k only; every fit and score is a distributed job.
     Give a stored table (see ``written``), so that each job reads the same rows.
     One row per asked k: a k above the number of different vectors has no
     clustering, and its score is NULL.
     """
-    table = df.select(features)
-    different = table.select(F.xxhash64(vector_to_array(features))).distinct().count()
-    scores = [(int(k), float(silhouette_score(fit_kmeans(table, k, seed, features).transform(table), features))
-               if k <= different else None) for k in ks]
-    return df.sparkSession.createDataFrame(scores, "k int, score double")
+    _, _, found = sweep_scores(df, ks, seed, features, settle=False)
+    asked = df.sparkSession.createDataFrame([(int(k),) for k in ks], "k int")
+    return asked.join(F.broadcast(found), "k", "left").select("k", F.col("squared").alias("score"), "low", "high")
 
 
 def choose_k(scores: DataFrame) -> int:

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from gridevents.operators.align import stacked_variables
 from gridevents.operators.blocks import with_group_size
-from gridevents.operators.cluster import K_RANGE, choose_k, fit_predict, sweep
+from gridevents.operators.cluster import K_RANGE, canonical_labels, sweep_scores
 from gridevents.operators.features import Window, as_vectors, feature_arrays
 from gridevents.operators.ordering import event_ordinals
+from gridevents.operators.silhouette import chosen
 from gridevents.operators.stats import batched_z_score, normalise
 from gridevents.session import written
 
@@ -46,10 +47,14 @@ def event_vectors(scaled: DataFrame, window: Window, variables: Sequence[str],
 
 
 def cluster_vectors(vectors: DataFrame, ks: Sequence[int] = tuple(K_RANGE), seed: int = 0) -> DataFrame:
-    """Labels from the k with the best silhouette; ``k`` is kept with them."""
-    table = written(vectors, "vectors")
-    k = choose_k(sweep(table, ks, seed))
-    return fit_predict(table, k, seed).withColumn("k", F.lit(k))
+    """Labels from the k with the best Euclidean silhouette; ``k`` is kept with them.
+
+    The fit of the chosen k is the sweep's own (same rows and seed), so nothing is fitted twice.
+    """
+    models, labelled, scores = sweep_scores(written(vectors, "vectors"), ks, seed)
+    k = chosen(scores)
+    labels = labelled.withColumn("cluster", F.col(f"cluster_{k}")).drop(*[f"cluster_{j}" for j in models])
+    return canonical_labels(labels, models[k]).withColumn("k", F.lit(k))
 
 
 def cluster_events(composite: DataFrame, algorithm: str | None, window: Window, splits: int,
