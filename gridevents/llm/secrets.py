@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -43,8 +45,8 @@ _IDENTIFIER = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.]*$")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
-def name_before(text: str, at: int) -> str:
-    """The name that ends just before ``at``, without quotes; empty if there is none."""
+def name_before(text: str, at: int) -> tuple[str, int]:
+    """The name that ends just before ``at``, without quotes (empty if there is none), and the colon it follows (or -1)."""
     while at and text[at - 1] in " \t":
         at -= 1
     if at and text[at - 1] in "\"'`]":
@@ -57,9 +59,8 @@ def name_before(text: str, at: int) -> str:
     name, lead = text[at:end], at
     while lead and text[lead - 1] in " \t":
         lead -= 1
-    if name and lead and text[lead - 1] == ":" and lead > 1 and text[lead - 2] in _NAME_CHARS:
-        return name_before(text, lead - 1)  # name: type = value
-    return name
+    follows = name and lead > 1 and text[lead - 1] == ":" and text[lead - 2] in _NAME_CHARS
+    return name, lead - 1 if follows else -1
 
 
 def name_score(name: str) -> int:
@@ -83,27 +84,44 @@ def literal_score(value: str) -> float:
     return (bits >= 2.5) + (bits >= 3.3) + (kinds >= 2) + (n >= 16)
 
 
-def assignments(text: str) -> list[tuple[str, list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
-    """(name, literals, bare names) of every assignment, in order; both as (value, start, end)."""
+Span = tuple[int, int]
+
+
+def assignments(text: str) -> list[tuple[str, list[Span], list[Span]]]:
+    """(name, literals, bare names) of every assignment, in order; both as spans.
+
+    In ``name: type = value`` the first name counts.  A colon after a name that follows a
+    colon itself (``00:07:0e``) assigns nothing.
+    """
     out: list = []
     if "=" not in text and ":" not in text:
         return out
+    firsts: dict[int, str] = {}  # by colon, the first name of its run
+    bare = [m.span() for m in _BARE.finditer(text)]
+    starts = [a for a, _ in bare]
     for op in _OPERATOR.finditer(text):
-        name = name_before(text, op.start())
+        name, colon = name_before(text, op.start())
         if not name:
             continue
-        at, literals, used = op.end(), [], []
+        first = firsts.get(colon, name)
+        if op.group() == ":":
+            firsts[op.start()] = first
+            if colon >= 0:
+                continue
+        name, at, literals, used = first, op.end(), [], []
         while at < len(text) and text[at] in " \t":
             at += 1
         while at < len(text):
             if m := _QUOTED.match(text, at):
-                group = m.lastindex
-                literals.append((m.group(group), m.start(group), m.end(group)))
-            elif m := _BARE.match(text, at):
-                (used if _IDENTIFIER.match(m.group()) else literals).append((m.group(), *m.span()))
+                literals.append(m.span(m.lastindex))
+                at = m.end()
             else:
-                break
-            at = m.end()
+                run = bisect_right(starts, at) - 1
+                if run < 0 or bare[run][1] <= at:
+                    break
+                span = (at, bare[run][1])
+                (used if _IDENTIFIER.match(text, *span) else literals).append(span)
+                at = span[1]
             if not (m := _JOIN.match(text, at)):
                 break
             at = m.end()
@@ -111,20 +129,29 @@ def assignments(text: str) -> list[tuple[str, list[tuple[str, int, int]], list[t
     return out
 
 
-def literal_spans(text: str, least: float = 4) -> list[tuple[int, int]]:
-    """Literals whose own score and that of the most sensitive name they reach are ``least`` together."""
-    holds: dict[str, list[tuple[str, int, int]]] = {}
-    best: dict[tuple[int, int], int] = {}
-    whole: dict[tuple[int, int], str] = {}
+def literal_spans(text: str, least: float = 4) -> list[Span]:
+    """Literals whose own score and that of the most sensitive name they reach are ``least`` together.
+
+    An assignment gives its name a version; the versions it uses are earlier ones.  Going
+    back from the last assignment, each version hands its score to those that it used.
+    """
+    versions: dict[str, int] = {}
+    owned: list[tuple[str, list[Span], list[int]]] = []
     for name, literals, used in assignments(text):
-        own = literals + [u for u in used if u[0] not in holds]  # a bare word nothing was assigned to is a literal
-        for _, *span in own:  # the pieces of one expression are one secret
-            whole[tuple(span)] = "".join(value for value, *_ in own)
-        reach = own + [v for u in used for v in holds.get(u[0], ())]
-        for _, *span in reach:
-            best[tuple(span)] = max(best.get(tuple(span), 0), name_score(name))
-        holds[name] = holds[name.rpartition(".")[2]] = reach
-    return sorted(span for span, score in best.items() if score > 0 and score + literal_score(whole[span]) >= least)
+        read = [(span, versions.get(text[slice(*span)])) for span in used]
+        own = literals + [span for span, v in read if v is None]  # a bare word nothing was assigned to is a literal
+        versions[name] = versions[name.rpartition(".")[2]] = len(owned)
+        owned.append((name, own, [v for _, v in read if v is not None]))
+    best = [0] * len(owned)
+    out = set()
+    for i in range(len(owned) - 1, -1, -1):
+        name, own, earlier = owned[i]
+        best[i] = max(best[i], name_score(name))
+        for v in earlier:
+            best[v] = max(best[v], best[i])
+        if best[i] > 0 and own and best[i] + literal_score("".join(text[slice(*span)] for span in own)) >= least:
+            out.update(own)  # the pieces of one expression are one secret
+    return sorted(out)
 
 
 def scan(text: str) -> list[tuple[str, int, int, int]]:
@@ -135,9 +162,11 @@ def scan(text: str) -> list[tuple[str, int, int, int]]:
     if "AKIA" in text:
         out += [("access", *m.span(), m.start()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     out += [("hex", *m.span(), m.start()) for m in HEX.finditer(text)]
-    plain = list(out)
+    plain = sorted((a, b) for _, a, b, _ in out)
+    starts, reach = [a for a, _ in plain], list(accumulate((b for _, b in plain), max))
     for start, end in literal_spans(text):
-        if not any(a <= start and end <= b for _, a, b, _ in plain):
+        before = bisect_right(starts, start)
+        if not before or reach[before - 1] < end:  # not inside a plain one
             out.append(("literal", start, end, start))
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 

@@ -49,3 +49,30 @@ def test_redaction(docs):
     rows = {r.doc_id: r.text for r in redacted(docs([(1, text), (2, None), (3, "clean")])).collect()}
     assert rows == {1: 'x token = "[secret]" y', 2: None, 3: "clean"}
     assert secrets(docs([])).collect() == []
+
+
+def test_long_runs_and_chains_take_linear_time():
+    import time
+    from gridevents.llm.secrets import scan
+    pairs = "dump " + ":".join(f"{i % 256:02x}" for i in range(100_000))
+    lines = 'x = "aB3$kQ9zLm2pR7tW"\n' + "x = x + x\n" * 60 + "password = x\n"
+    grown = "".join(f"q = q + 'part{i}'\n" for i in range(20_000))
+    named = "password:" + ":".join(f"{i % 256:02x}" for i in range(100_000))
+    query = "u=1" + "&k=v" * 30_000
+    start = time.perf_counter()
+    found = [scan(t) for t in (pairs, lines, grown, named, query)]
+    assert time.perf_counter() - start < 5
+    assert [s[0] for s in found[1]] == ["literal"] and lines[found[1][0][1]:found[1][0][2]] == "aB3$kQ9zLm2pR7tW"
+
+
+def test_type_annotations_and_chained_names():
+    from gridevents.llm.secrets import literal_spans
+    text = 'db_password: str = "k8#Fz!pQ2vLx"\nk = "zQ9$mW4!rT7x"\nj = k\nuser = "someone_else1"\nauth_token = j\n'
+    assert [text[a:b] for a, b in literal_spans(text)] == ["k8#Fz!pQ2vLx", "zQ9$mW4!rT7x"]
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    from gridevents.llm.secrets import secrets
+    rows = [(1, "token = abcdefghijkl9", "x", 5), (1, "token = abcdefghijkl9", "x", 5), (None, None, "y", 6), (2, "", None, None)]
+    got = secrets(spark.createDataFrame(rows, "doc_id long, text string, spans string, start long")).collect()
+    assert sorted(len(r["spans"]) for r in got) == [0, 0, 1, 1]
