@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,13 +26,28 @@ def named(base: DataFrame, ids: DataFrame) -> DataFrame:
     return base.join(F.broadcast(ids) if fits(ids) else ids, "doc_id", "left_semi")
 
 
+def give_back() -> None:
+    """Freed memory of this worker process returns to the system; workers outlive their stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema,
-               column: str = "text") -> DataFrame:
-    """``fn`` over small slices of each Arrow batch, so temporaries follow the slice, not the batch."""
+               column: str = "text", done: Callable[[], None] | None = None) -> DataFrame:
+    """``fn`` over small slices of each Arrow batch, so temporaries follow the slice, not the batch.
+
+    ``done`` is called at the end of a partition; then freed memory is given back.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, column):
                 yield fn(part)
+        if done:
+            done()
+        give_back()
     return df.mapInArrow(run, schema)
 
 

@@ -11,6 +11,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from itertools import chain
 
@@ -23,6 +24,8 @@ from gridevents.session import written
 
 #: Ids of a sequence, pieces of a group, words a worker remembers.
 CAPACITY, GROUP_PIECES, KNOWN_WORDS = 4096, 2048, 600_000
+#: Code points beyond which a word is not remembered for long.
+LONG_WORD = 256
 #: The id that ends a document.
 END = 2
 
@@ -33,13 +36,17 @@ class WordIds:
     The vocabulary splits at white space before its merges, and between a letter and a
     full stop or comma, so a text's ids are those of its words in order; A-Z is folded
     by the vocabulary itself.  Words are split at space, line feed, carriage return and tab only.
+    Special tokens written out in a text are one id each, as the library has it: texts are
+    cut at them first.  (A word begins with a space in ``codes`` only if it stands for one.)
     """
 
     def __init__(self, path: str, limit: int = KNOWN_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = {token.content: number for number, token in self.tokenizer.get_added_tokens_decoder().items() if token.special}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
+        self.tokenizer.encode_special_tokens = True  # for words: what only looks special once it is folded is not
         self.limit = limit
         self.clear()
 
@@ -52,6 +59,8 @@ class WordIds:
         self.codes: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 20, np.int32), 0
         self.start, self.length, self.uses = (np.zeros(1 << 18, np.int64) for _ in range(3))
+        self.letters = 0
+        self._add([" " + token for token in self.special], np.array(list(self.special.values()), np.int32), np.ones(len(self.special), np.int64))
 
     def _add(self, words: list[str], flat: np.ndarray, length: np.ndarray) -> None:
         low, high = len(self.codes), len(self.codes) + len(words)
@@ -64,6 +73,7 @@ class WordIds:
         self.start[low:high], self.length[low:high] = self.used + np.cumsum(length) - length, length
         self.used += len(flat)
         self.codes.update(zip(words, range(low, high)))
+        self.letters += sum(map(len, words))
 
     def _gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words one after another, and how many each has."""
@@ -72,8 +82,8 @@ class WordIds:
         return self.flat[np.repeat(self.start[codes] - before, length) + np.arange(length.sum())], length
 
     def _forget(self) -> None:
-        """Words that came once only make room for others."""
-        again = [(word, code) for word, code in self.codes.items() if self.uses[code] > 1]
+        """Long words and those that came once only make room for others."""
+        again = [(word, code) for word, code in self.codes.items() if self.uses[code] > 1 and len(word) <= LONG_WORD and word[:1] != " "]
         codes = np.array([code for _, code in again], np.int64)
         flat, length = self._gather(codes)
         self.clear()
@@ -104,12 +114,24 @@ class WordIds:
             flat, length = self._gather(both.reshape(-1))
             self._add(tails, flat, length.reshape(-1, 2).sum(axis=1))
 
+    def rest(self, keep: int = 1 << 17) -> None:
+        """Between partitions only words that came again are kept, ``keep`` at most."""
+        if len(self.codes) > keep:
+            self._forget()
+            if len(self.codes) > keep:
+                self.clear()
+
+    def _words(self, text: str) -> list[str]:
+        if any(token in text for token in self.special):
+            return list(chain.from_iterable([" " + part] if part in self.special else self._words(part) for part in self.cut.split(text)))
+        return (text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+                .replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" "))
+
     def encode(self, column: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by ``END``; bounds of the texts)."""
-        if len(self.codes) > self.limit:
+        if len(self.codes) > self.limit or self.letters > self.limit * LONG_WORD // 8:
             self._forget()
-        split = [t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-                  .replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" ") for t in column]
+        split = [self._words(t) for t in column]
         fresh = set().union(*split) - self.codes.keys()
         if fresh:
             self._learn(fresh)
@@ -160,8 +182,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids:
         return pa.record_batch([part["doc_id"].take(pa.array(owner)), pa.array(start), pa.array(length),
                                 pa.array(total[owner]), content], ["doc_id", "start", "length", "doc_tokens", "content"])
     kind, name = ("array<int>", "ids") if with_ids else ("long", "ids_crc32")
-    return map_slices(texts(docs), run, f"doc_id long, start long, length long, doc_tokens long, content {kind}") \
-        .withColumnRenamed("content", name)
+    return map_slices(texts(docs), run, f"doc_id long, start long, length long, doc_tokens long, content {kind}",
+                      done=lambda: word_ids(tokenizer, known_words).rest()).withColumnRenamed("content", name)
 
 
 class Bins:
@@ -204,13 +226,16 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, group_pieces
 
     A sequence holds at most ``capacity`` ids, gapless from offset 0.  Every row of ``docs``
     is packed: a null text is empty and is one piece of the end id alone, a null doc_id stays
-    null, repeated rows are packed as often as they stand.  Pieces are placed by hash of
-    doc_id, start and length, so equal input gives equal sequences; an empty table has none.
+    null, repeated rows are packed as often as they stand.  Pieces are dealt by hash of doc_id,
+    start and content, equal pieces also by their number in the written table, so that no group
+    holds all copies of a row; an empty table has no sequence.
     """
     cut = written(pieces(docs, tokenizer, capacity, with_ids, known_words), "pieces")
     groups = max(1, round(cut.count() / group_pieces))
     content = "ids" if with_ids else "ids_crc32"
-    grouped = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", content), F.lit(groups)))
+    # the number within a stored part, in blocks: copies of one row go to several groups
+    block = F.shiftright(F.monotonically_increasing_id(), 9)
+    grouped = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", content, block), F.lit(groups)))
 
     def run(key, table):
         order = [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")]

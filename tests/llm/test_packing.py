@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -32,13 +33,11 @@ def test_decreasing_order_needs_few_bins():
 
 def reference():
     from tokenizers import Tokenizer
-    tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(PATH)
 
 
 def test_word_memory_gives_the_ids_of_whole_texts():
-    odd = ["Hello, world. It's 3.14 é É Σας ΑΣ ß İ \x1c x\x0by  a b c", "A.B, c., ... don't WE'LL 12a 中文。é,", "", " ", "<|endoftext|> x",
+    odd = ["Hello, world. It's 3.14 é É Σας ΑΣ ß İ \x1c x\x0by  a b c", "A.B, c., ... don't WE'LL 12a 中文。é,", "", " ", "<|endoftext|> x", "a<|startoftext|>B<|endoftext|><|endoftext|>c <|ENDOFTEXT|> <|endoftext| >", "<|endoftext|>",
            "".join(chr(R.choice([R.randrange(33, 127), R.randrange(0x300, 0x310), R.randrange(0xC0, 0x180), 32, 32, 10, 0xAC00, 0x1100, 0x1161])) for _ in range(4000))]
     ids, first = WordIds(PATH, limit=50).encode(odd)
     memory = WordIds(PATH, limit=50)
@@ -75,3 +74,23 @@ def test_every_id_is_packed_once_without_gaps(docs):
         assert at <= 512
     assert sum(len(r.ids) for r in sequences(packed).collect()) == sum(r.length for r in got)
     assert pack(docs([]), PATH).collect() == []
+
+
+def test_special_tokens_as_the_library_has_them():
+    plain = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "|>", "word", "É", " ", "\n", ".", "it's", "12"]
+    rows = ["".join(R.choice(plain) for _ in range(R.randint(1, 12))) for _ in range(400)]
+    memory = WordIds(PATH, limit=40)
+    for a in range(0, len(rows), 50):
+        ids, first = memory.encode(rows[a:a + 50])
+        for i, text in enumerate(rows[a:a + 50]):
+            assert ids[first[i]:first[i + 1] - 1].tolist() == reference().encode(text, add_special_tokens=False).ids
+    memory.rest(keep=3)
+    assert len(memory.codes) <= 3 and memory.encode(["<|endoftext|> word"])[0].tolist() == [*reference().encode("<|endoftext|> word", add_special_tokens=False).ids, 2]
+
+
+def test_copies_of_one_row_fall_into_several_groups(spark):
+    frame = spark.createDataFrame([(1, "same words")] * 6000 + [(i, f"text {i}") for i in range(2, 100)], "doc_id long, text string")
+    packed = pack(frame, PATH, capacity=64, group_pieces=500, with_ids=False).collect()
+    assert len(packed) == 6098
+    per_group = Counter(r["sequence_id"] >> 32 for r in packed)
+    assert len(per_group) > 4 and max(per_group.values()) < 3000
