@@ -18,8 +18,12 @@ _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "
            "option": ({"option"}, {"select"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
            "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
            "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"})}
-_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|[^<]+|<", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+#: An attribute as the HTML standard reads it: a value without a leading quote ends at white space or ``>``.
+_VALUE = r"""\s*+=\s*+(?>"([^"]*+)"|'([^']*+)'|([^\s"'>][^\s>]*+))?+"""
+_ATTRIBUTE = re.compile(rf"([^\s/>=][^\s/>=]*+)(?>{_VALUE})?+")
+_PLAIN_VALUE = re.sub(r"\((?=\[)", "(?:", _VALUE)
+_TOKEN = re.compile(rf"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[\s/]++|[^\s/>][^\s/>=]*+(?>{_PLAIN_VALUE})?+)*+)(?:>|\Z)|[^<]+|<", re.S)
+_SLASH_IN_VALUE = re.compile(r"=\s*[^\s\"'>][^\s>]*/$")
 _SPLIT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _LAYOUT = frozenset("has with no without is layout".split())
 _CONTENT = frozenset("article content post story entry".split())
@@ -38,7 +42,7 @@ class Node:
 
 def _attributes(text: str) -> tuple[tuple[str, ...], bool]:
     """Words of class, id and role, and whether the element is hidden."""
-    found, hidden = [], bool(re.search(r"(?:^|\s)hidden(?:\s|$|/)", text))
+    found, hidden = [], False
     for name, one, two, three in _ATTRIBUTE.findall(text):
         name = name.lower()
         if name in ("class", "id", "role", "itemprop", "data-role", "aria-label"):
@@ -49,6 +53,8 @@ def _attributes(text: str) -> tuple[tuple[str, ...], bool]:
                 found += parts
         elif name == "style":
             hidden |= "display:none" in (one or two or three).replace(" ", "").lower()
+        elif name == "hidden":
+            hidden = True
     return tuple(found), hidden
 
 
@@ -84,7 +90,8 @@ def parse(page: str) -> Node:
         if name == "br" or name == "wbr":
             open_nodes[-1].parts.append(" " if name == "br" else "")
             continue
-        if name in RAW and not m.group(3).endswith("/"):
+        closed = m.group(3).endswith("/") and not _SLASH_IN_VALUE.search(m.group(3))
+        if name in RAW and not closed:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else size
             continue
@@ -100,7 +107,7 @@ def parse(page: str) -> Node:
         tokens, hidden = _attributes(m.group(3)) if len(m.group(3)) > 3 else ((), False)
         node = Node(name, tokens, open_nodes[-1], hidden)
         open_nodes[-1].parts.append(node)
-        if name not in VOID and not m.group(3).endswith("/"):
+        if name not in VOID and not closed:
             open_nodes.append(node)
             names.append(name)
     return root

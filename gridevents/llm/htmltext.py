@@ -36,6 +36,8 @@ from gridevents.session import written
 
 #: Pages whose nodes the trees are trained on (the bound of the sample), trees and their depth.
 SAMPLE_PAGES, TREES, DEPTH = 300, 12, 4
+#: Parts of the table by hash, in which pages are labelled for the sample.
+SHARES = 1 << 20
 
 #: Words of tags and attributes that name furniture, and those that name content.
 FURNITURE = frozenset("""nav navigation navbar menu menubar header masthead banner footer foot bottom copyright legal sidebar side aside rail
@@ -207,18 +209,21 @@ def _nodes(tree) -> list[tuple[int, float, int, int, float]]:
 
 
 def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, trees: int = TREES, depth: int = DEPTH) -> Trees:
-    """Boosted trees from at most ``sample_pages`` pages, taken by the hash of their page_id.
+    """Boosted trees from at most ``sample_pages`` pages that name parts of both kinds, by the hash of their page_id.
 
-    Where no page of the sample names both kinds of parts there is nothing to learn; all
-    blocks then get the same positive score, and only markup, scripts and the like are left out.
+    Pages are labelled in growing shares of the table (by hash), until enough are found or all
+    are read.  Where no page at all names both kinds there is nothing to learn; all blocks then
+    get the same positive score, and only markup, scripts and the like are left out.
     """
-    sample = pages.where("page_id IS NOT NULL AND html IS NOT NULL").orderBy(F.xxhash64("page_id"), "page_id").limit(sample_pages)
+    usable = pages.where("page_id IS NOT NULL AND html IS NOT NULL").select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for page, text in zip(batch["page_id"].to_pylist(), batch["html"].to_pylist()):
                 rows = describe(blocks(parse(text))[0])
                 label = labels(rows)
+                if not ((label == 0).any() and (label == 1).any()):
+                    continue
                 known = label >= 0
                 rows, label = rows[known], label[known]
                 plain = (label == 1) | (rows[:, FEATURES.index("prose_share")] < 0.5)
@@ -232,10 +237,18 @@ def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, trees: int = TREES
                                        pa.array(label.astype(np.float64)),
                                        pa.array(list(both), pa.list_(pa.float64()))], ["page", "row", "label", "features"])
 
-    rows = written(sample.mapInArrow(run, "page long, row long, label double, features array<double>"), "nodes")
-    counts = rows.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
-    if not counts[0] or not counts[1]:
+    place = F.pmod(F.xxhash64("page_id"), F.lit(SHARES))
+    total, share, rows, ids = usable.count(), 0, None, []
+    while share < SHARES and len(ids) < sample_pages:
+        before, share = share, min(SHARES, max(16 * share, -(-2 * sample_pages * SHARES // max(total, 1))))
+        more = written(usable.where(place.between(before, share - 1)).dropDuplicates(["page_id"])
+                       .mapInArrow(run, "page long, row long, label double, features array<double>"), "nodes")
+        rows = more if rows is None else rows.unionByName(more)
+        # the bound of the sample: only these ids come to the driver
+        ids = [r[0] for r in rows.select("page").distinct().orderBy(F.pmod(F.xxhash64("page"), F.lit(SHARES)), "page").limit(sample_pages).collect()]
+    if not ids:
         return Trees([], prior=1.0)
+    rows = rows.where(F.col("page").isin(ids))
     data = rows.repartition(4, "page").sortWithinPartitions("page", "row").select("label", array_to_vector("features").alias("features"))
     fitted = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7, maxBins=32, cacheNodeIds=False).fit(data)
     return Trees([(w, _nodes(t)) for w, t in zip(fitted.treeWeights, fitted.trees)])

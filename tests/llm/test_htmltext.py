@@ -4,7 +4,7 @@ import random
 import pytest
 
 from gridevents.llm.dom import parse
-from gridevents.llm.htmltext import Trees, blocks, describe, main_text, open_blocks, text_of, train
+from gridevents.llm.htmltext import Trees, blocks, describe, extract, main_text, open_blocks, text_of, train
 
 R = random.Random(12)
 
@@ -93,3 +93,41 @@ def test_rows(spark, trees):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert main_text(empty, train(empty)).collect() == [] and train(empty).prior == 1.0
     assert isinstance(trees, Trees)
+
+
+def shown(page):
+    found, runs = blocks(parse(page))
+    return " ".join(text for _, text in runs)
+
+
+@pytest.mark.parametrize("page, text", [
+    ('<p title="a hidden gem here">one</p><p>two</p>', "one two"),
+    ('<p class="box hidden md:block">one</p><p>two</p>', "one two"),
+    ('<p>one <a title="see the hidden costs" href="x">two</a></p>', "one two"),
+    ("<p title=it's>one</p><p title='x'>two</p>", "one two"),
+    ('<p class=it"s>one</p><a href=foo">two</a>', "one two"),
+    ("<p hidden>one</p><p>two</p>", "two"),
+    ('<p hidden="">one</p><p style="display: none">x</p><p>two</p>', "two"),
+    ("<div class=x/>one</div><p data-a = b c='>'>two</p>", "one two"),
+    ("<p a=\"1>2\" b='3>4'>one</p><br/><p / >two</p>", "one two"),
+    ("<p =x y==z>one</p><p x= >two</p>", "one two"),
+])
+def test_attributes_as_the_standard_reads_them(page, text):
+    assert shown(page).split() == text.split()
+
+
+def test_long_malformed_tags_take_linear_time():
+    import time
+    start = time.perf_counter()
+    for page in ("<p " + "a" * 200_000, "<p " + "a=\"" * 50_000, "<p " + "/ " * 100_000 + ">x", "<p " + "a=b'c " * 50_000 + ">x"):
+        parse(page)
+    assert time.perf_counter() - start < 5
+
+
+def test_labelled_pages_are_found_behind_unlabelled_ones(spark):
+    """Most pages name nothing; the few that do must still be found."""
+    rows = [(i, "u", f"<div><p>{'plain words of a page that names nothing ' * 3}</p></div>") for i in range(400)]
+    rows += [(1000 + i, "u", f"<nav class=menu><a href=x>home</a> <a href=y>news</a></nav><article><p>{'real prose of the article goes on ' * 6}{i}</p></article>"
+              "<footer class=footer><p>imprint</p></footer>") for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string"), sample_pages=5).collect()}
+    assert all("imprint" not in got[1000 + i] and "real prose" in got[1000 + i] for i in range(6))
