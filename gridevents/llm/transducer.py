@@ -31,6 +31,8 @@ from gridevents.llm.frames import lists, map_slices, texts
 
 #: Pieces and states a worker keeps before it starts afresh.
 KNOWN_PIECES, KNOWN_STATES = 500_000, 300_000
+#: Pairs of tokens, and arcs of the decoder, that a worker remembers.
+KNOWN_PAIRS = 1_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -55,6 +57,11 @@ class Transducer:
         self.numbers = {self.states[0]: 0}
         self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}
 
+    def bound(self) -> None:
+        """Empties what is remembered of pairs when it has grown large."""
+        if len(self._pair) > KNOWN_PAIRS:
+            self._pair.clear()
+
     def merge(self, data: bytes) -> list[bytes]:
         """Merges by rank, for making arcs only: at most two tokens long."""
         get, never = self.ranks.get, 1 << 40
@@ -221,6 +228,11 @@ class Decoder:
                 state = Utf8.step(state, byte) if state else None
             self.whole[rank], self.table[rank] = state == Utf8.START, token
 
+    def bound(self) -> None:
+        """Empties the arcs when they have grown many."""
+        if len(self.arcs) > KNOWN_PAIRS:
+            self.arcs.clear()
+
     def _arc(self, state: tuple, token: int) -> tuple[tuple, bytes]:
         """A state is (automaton state, bytes of the character begun)."""
         at, begun = state
@@ -279,6 +291,8 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         encoder, decoder = coder(path, pattern)
         ids, first = encoder.encode(part["text"].to_pylist())
         decoded = [decoder.decode(ids[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+        encoder.transducer.bound()
+        decoder.bound()
         return pa.record_batch([part["doc_id"], lists(ids, first), pa.array(decoded, pa.binary())],
                                ["doc_id", "ids", "decoded"])
     return map_slices(texts(docs), run, "doc_id long, ids array<int>, decoded binary")
