@@ -35,7 +35,7 @@ WEIGHTS, MOST = (5, 2, 1), 3
 #: Words of the window at most: bounds the knapsack's memory (about 40 MB).
 WINDOW = 1 << 20
 #: Documents of one length that are numbered together.
-PART_ROWS = 4096
+PART_ROWS = 512
 SEED = 20240607
 
 
