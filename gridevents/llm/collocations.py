@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gridevents.llm.frames import lists
+from gridevents.llm.frames import give_back, lists
 from gridevents.llm.words import Words, mix, slices, words
 from gridevents.session import written
 
@@ -41,7 +41,7 @@ SHARES = (1 / 16, 1 / 4)
 #: Bits of a bit table at most (32 MB); beyond, it lets more through.
 TABLE_BITS = 1 << 28
 #: Entries a task holds before it counts and sends them, tokens handled at once.
-FLUSH, CHUNK = 1 << 21, 1 << 20
+FLUSH, CHUNK = 1 << 20, 1 << 19
 
 _U = np.uint64
 _STEP = _U(0xD1342543DE82EF95)
@@ -108,6 +108,8 @@ def _flushed(batches: Iterator[pa.RecordBatch], read: Callable, send: Callable)
                 held, size = [], 0
     if size:
         yield send([np.concatenate(x) for x in zip(*held)])
+    held.clear()
+    give_back()
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, int]]:
@@ -139,11 +141,13 @@ def vocabulary(base: DataFrame) -> DataFrame:
                     else:
                         held[h] = [l, w, c]
                         size += 1
-                if size >= FLUSH // 8:
+                if size >= FLUSH // 4:
                     yield send(held)
                     held, size = {}, 0
         if held:
             yield send(held)
+        held.clear()
+        give_back()
 
     def send(held):
         total = {}
