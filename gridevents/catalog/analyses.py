@@ -134,6 +134,17 @@ def cluster_pooled(v):
     return _labelled_events(v, None, 5)
 
 
+@query("x10_one_label_per_event", """
+SELECT CAST(count(*) AS BIGINT) AS n_events, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT algo) AS BIGINT) AS n_algos,
+  CAST(1 AS BIGINT) AS n_k, true AS k_in_range FROM event_daily""")
+def one_pooled_label_per_event(v):
+    """The pooled clustering labels every event of every algorithm once, with one k for all."""
+    labels = _labelled_events(v, None, 5)
+    inside = F.col("k").between(2, 9) & F.col("cluster").between(0, F.col("k") - 1)
+    return labels.agg(F.count_distinct("algo", "loc_id", "event_time").alias("n_events"), F.count(F.lit(1)).alias("n_rows"),
+                      F.count_distinct("algo").alias("n_algos"), F.count_distinct("k").alias("n_k"), F.bool_and(inside).alias("k_in_range"))
+
+
 @query("x11_cluster_averages", f"""
 SELECT algo, cluster, variable, level, rel_lat, rel_lon, {s6('mv')} AS mean_value,
   {s6('2*(mv-min(mv) OVER w)/nullif(max(mv) OVER w-min(mv) OVER w,0)-1')} AS norm_value FROM (
@@ -255,9 +266,8 @@ def wave_mask(v):
 
 
 @query("x15_eof_standardise", f"""
-SELECT f.variable, f.time, f.level, f.lat, f.lon, {s6('(value-m)/(s*5)')} AS z FROM field f
-JOIN (SELECT variable, avg(value) AS m, stddev_pop(value) AS s FROM field WHERE level IN (850,700,500,300,250) GROUP BY 1) t
-ON t.variable=f.variable WHERE f.level IN (850,700,500,300,250)""")
+SELECT variable, time, level, lat, lon, {s6('(value-avg(value) OVER w)/(stddev_pop(value) OVER w*5)')} AS z
+FROM field WHERE level IN (850,700,500,300,250) WINDOW w AS (PARTITION BY variable)""")
 def eof_standardise(v):
     out = stats.eof_standardise(v.field, [850, 700, 500, 300, 250], weighted=True, by=["variable"])
     return out.select("variable", "time", "level", "lat", "lon", r6("z"))

@@ -112,6 +112,25 @@ _BASE = """(SELECT variable, month(time) AS mon, level, lat, lon, avg(value) AS
   WHERE month(time) IN (1,2,12) GROUP BY 1,2,3,4,5)"""
 
 
+_CROWD = """SELECT o_orderkey AS event_id, 'T' AS variable, CAST(500 AS DOUBLE) AS level,
+  CAST(20 AS DOUBLE)+CAST(0.5 AS DOUBLE)*(CASE WHEN o_orderkey%2=0 THEN 3 ELSE o_custkey%20 END) AS lat,
+  CAST(225 AS DOUBLE)+CAST(0.625 AS DOUBLE)*(CASE WHEN o_orderkey%2=0 THEN 5 ELSE o_custkey%32 END) AS lon, o_totalprice AS value FROM orders"""
+
+
+@query("j05_crowded_cells", f"""
+SELECT w.event_id, w.lat, w.lon, {s6('w.value-c.clim_value')} AS anomaly FROM ({_CROWD}) w
+JOIN (SELECT variable, level, lat, lon, avg(value) AS clim_value FROM climatology GROUP BY 1,2,3,4) c USING (variable, level, lat, lon)""")
+def crowded_cells(v):
+    """Windows of which half lie on one cell: its rows are dealt to parts."""
+    even = F.col("o_orderkey") % 2 == 0
+    windows = v.table("orders").select(
+        F.col("o_orderkey").alias("event_id"), F.lit("T").alias("variable"), F.lit(500.0).alias("level"),
+        (F.lit(20.0) + F.lit(0.5) * F.when(even, 3).otherwise(F.col("o_custkey") % 20)).alias("lat"),
+        (F.lit(225.0) + F.lit(0.625) * F.when(even, 5).otherwise(F.col("o_custkey") % 32)).alias("lon"), F.col("o_totalprice").alias("value"))
+    out = climate.subtract_climatology(windows, climate.mean_climatology(v.climatology), spread=["event_id"], hot_rows=1000)
+    return out.select("event_id", "lat", "lon", r6("anomaly"))
+
+
 @query("j06_monthly_anomaly_match", f"""
 SELECT f.variable, f.time, f.level, f.lat, f.lon, {s6('f.value - m.mv')} AS anomaly FROM field f JOIN {_BASE} m
 ON f.variable=m.variable AND month(f.time)=m.mon AND f.level=m.level AND f.lat=m.lat AND f.lon=m.lon""")
@@ -131,17 +150,16 @@ def anomaly_cross(v):
 
 
 @query("j07_three_way", """
-SELECT q.time, q.level, q.lat, q.lon, q.value AS q, z.value AS z, t.value AS t
-FROM field q JOIN field z USING (time, level, lat, lon) JOIN field t USING (time, level, lat, lon)
-WHERE q.variable='Q' AND z.variable='Z' AND t.variable='T'""")
+SELECT time, level, lat, lon, max(CASE WHEN variable='Q' THEN value END) AS q, max(CASE WHEN variable='Z' THEN value END) AS z,
+  max(CASE WHEN variable='T' THEN value END) AS t
+FROM field GROUP BY time, level, lat, lon HAVING count(DISTINCT variable) = 3""")
 def three_way(v):
     return align.wide(v.field, ["Q", "Z", "T"]).withColumnsRenamed({"Q": "q", "Z": "z", "T": "t"})
 
 
 @query("j08_outer_alignment", """
-SELECT time, lat, lon, a.value AS upper_value, b.value AS lower_value
-FROM (SELECT * FROM field WHERE variable='T' AND level=500) a
-FULL OUTER JOIN (SELECT * FROM field WHERE variable='Q' AND level=850) b USING (time, lat, lon)""")
+SELECT time, lat, lon, max(CASE WHEN variable='T' THEN value END) AS upper_value, max(CASE WHEN variable='Q' THEN value END) AS lower_value
+FROM field WHERE (variable='T' AND level=500) OR (variable='Q' AND level=850) GROUP BY time, lat, lon""")
 def outer_alignment(v):
     stacked = align.stacked_variables(v.field, "T", 500, "Q", 850)
     return align.wide(stacked, ["T", "Q"], ["time", "lat", "lon"], complete=False).withColumnsRenamed(

@@ -167,6 +167,21 @@ def synthetic_cube(v):
         F.count(F.lit(1)).alias("n_rows"), F.avg("value").alias("mean_value"), F.stddev_pop("value").alias("std_value"))
 
 
+@query("s13_cube_bounds", """
+SELECT CAST(684 AS BIGINT) AS n_cells, CAST(684 * count(*) AS BIGINT) AS n_rows, CAST(count(*) AS BIGINT) AS n_stamps, CAST(-90 AS DOUBLE) AS south,
+  CAST(90 AS DOUBLE) AS north, CAST(0 AS DOUBLE) AS west, CAST(360 AS DOUBLE) AS east, true AS scaled, true AS no_stamp_alike FROM axis""")
+def cube_bounds(v):
+    """What must hold of the noise: a value for every stamp and cell, its scale, and no two frames alike."""
+    cube = cubes.synthetic_cube(v.axis, 19, 36)
+    frames = cube.groupBy("time").agg(F.sum("value").alias("total"))
+    alike = frames.agg(F.count_distinct("total") == F.count(F.lit(1))).scalar()
+    scale = F.stddev_pop("value").between(0.095, 0.105) & (F.abs(F.avg("value")) < 0.005) & (F.max(F.abs("value")) < 1.0)
+    return cube.agg(
+        F.count_distinct("lat", "lon").alias("n_cells"), F.count(F.lit(1)).alias("n_rows"), F.count_distinct("time").alias("n_stamps"),
+        F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lon").alias("west"), F.max("lon").alias("east"),
+        scale.alias("scaled")).withColumn("no_stamp_alike", alike)
+
+
 @query("s14_selftest_frames", """
 SELECT CAST(r.range*n.n + f.frame AS BIGINT) AS pos, CAST(f.frame AS BIGINT) AS frame, CAST(f.n_cells AS BIGINT) AS n_cells,
   CAST(0 AS DOUBLE) AS lowest_noise

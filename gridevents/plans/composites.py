@@ -12,12 +12,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from gridevents.functions.geo import wrap_longitude
+from gridevents.operators import climate
 from gridevents.operators.axes import canonical_longitude, relative_offsets, relative_positions
 from gridevents.operators.boxjoin import few_boxes, join_event_boxes, months_in_use
-from gridevents.operators.climate import subtract_climatology
 from gridevents.operators.events import synthetic_stamp
 from gridevents.operators.filters import keep_first, select_levels, select_region, select_variable
-from gridevents.operators.joins import lookup_join
+from gridevents.operators.joins import fits, lookup_join
 from gridevents.operators.ordering import event_ordinals
 from gridevents.operators.timejoin import asof_lagged, asof_nearest
 from gridevents.session import written
@@ -76,8 +76,10 @@ def composite_windows(field: DataFrame, matched: DataFrame, half_lat: float, hal
     events = matched.withColumnRenamed("time", "event_time")
     window = join_event_boxes(field, events, half_lat, half_lon, few=few)
     if climatology is not None:
-        spread = window.withColumn("time", F.col("matched_time"))
-        window = (subtract_climatology(spread, climatology)
+        # a cell is in no more windows than there are events: few events need no count of cells
+        told_apart = [] if fits(events, climate.HOT_ROWS) else [c for c in events.columns if c not in ("centre_lat", "centre_lon")]
+        stamped = window.withColumn("time", F.col("matched_time"))
+        window = (climate.subtract_climatology(stamped, climatology, spread=told_apart, hot_rows=climate.HOT_ROWS)
                   .withColumn("value", F.col("anomaly")).drop("anomaly", "time"))
     return _labelled(window, field, labels, half_lat, half_lon, resolution)
 

@@ -202,6 +202,23 @@ def test_computed_coordinates_meet_their_cells(spark):
     assert out.count() == 3600 and {r["anomaly"] for r in out.select("anomaly").distinct().collect()} == {2.0}
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_a_crowded_cell_is_dealt_to_parts(spark, monkeypatch, broadcast):
+    """One cell holds half of all windows; results are those of the plain join, and no part is larger than asked."""
+    monkeypatch.setattr(climate, "fits", lambda df: broadcast)
+    n = 4000
+    lat = F.when(F.col("id") % 2 == 0, 10.0).otherwise(10 + (F.col("id") % 40) * 0.5)
+    windows = spark.range(n).select("id", F.lit("T").alias("variable"), F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(500.0).cast("double").alias("level"),
+                                    lat.alias("lat"), F.lit(-3.0).alias("lon"), F.col("id").cast("double").alias("value"))
+    clim = spark.range(30).select(F.lit("T").alias("variable"), F.explode(F.array(F.lit(500.0), F.lit(None).cast("double"))).alias("level"),
+                                  (10 + F.col("id") * 0.5).alias("lat"), F.lit(-3.0).alias("lon"), (F.col("id") * 7).cast("double").alias("clim_value"))
+    plain = values(climate.subtract_climatology(windows, clim), "id", "anomaly")
+    dealt = climate.subtract_climatology(windows, clim, spread=["id"], hot_rows=100)
+    assert values(dealt, "id", "anomaly") == plain and plain
+    sizes = climate._cell_join(windows, clim, [], ["id"], 100)
+    assert "_part" not in sizes.columns and sizes.count() == len(plain)
+
+
 def test_wrong_vectors_are_errors(rows):
     window = Window(1, 1, 1, 1)
     schema = "event long, variable string, rel_lat double, rel_lon double, z double"
