@@ -1,8 +1,9 @@
 """As-of joins of events with a time axis: nearest stamp, and lagged stamp.
 
-Both work on distinct stamps.  Axis and event stamps are laid side by side per
-calendar day; inside a day a running window finds the neighbours, and a table of
-day edges supplies the neighbour where it lies on another day.  The result is a
+Both work on distinct stamps.  Axis and event stamps are laid side by side in ranges
+of time that hold about as many stamps each (quantiles, wherever in the calendar the
+stamps crowd); inside a range a running window finds the neighbours, and a table of
+range edges supplies the neighbour where it lies in another range.  The result is a
 mapping from event stamp to axis stamp, joined back to the events, which keeps
 their multiplicity.
 """
@@ -18,6 +19,9 @@ from gridevents.operators.joins import equi_join, lookup_join, salted_join
 from gridevents.operators.ordering import axis_positions
 from gridevents.session import written
 
+#: Stamps of one range, about; a task looks for neighbours in one.
+RANGE_STAMPS = 250_000
+
 
 def _scope_of(df: DataFrame, axis_scope: str, by: str = "time") -> DataFrame:
     """The axis an event belongs to: the calendar year of ``by``, or the one global axis."""
@@ -35,30 +39,33 @@ def neighbours(stamps: DataFrame, axis: DataFrame) -> DataFrame:
     as ``pos``).  Adds structs ``_prev`` and ``_next`` of an axis row, NULL past
     the ends of the axis.
     """
-    day = F.to_date("time")
     carried = ["time", *[c for c in axis.columns if c not in ("_scope", "time")]]
     entry = F.struct(*carried)
-    marks = axis.select("_scope", "time", day.alias("_day"), entry.alias("_entry"), F.lit(False).alias("_asked"))
+    marks = axis.select("_scope", "time", entry.alias("_entry"), F.lit(False).alias("_asked"))
     asked = stamps.select("_scope", "time").distinct().select(
-        "_scope", "time", day.alias("_day"), F.lit(None).cast(marks.schema["_entry"].dataType).alias("_entry"),
-        F.lit(True).alias("_asked"))
+        "_scope", "time", F.lit(None).cast(marks.schema["_entry"].dataType).alias("_entry"), F.lit(True).alias("_asked"))
     both = marks.unionByName(asked)
-
-    in_day = W.partitionBy("_scope", "_day")
-    upto = in_day.orderBy("time").rangeBetween(W.unboundedPreceding, 0)
-    onward = in_day.orderBy(F.desc("time")).rangeBetween(W.unboundedPreceding, 0)
+    ranges = -(-(stamps.count() + axis.count()) // RANGE_STAMPS)  # of written tables: their footers are read
+    if ranges > 1:  # written, so that a lost task finds the same ranges
+        both = written(both.repartitionByRange(ranges, "_scope", "time").withColumn("_range", F.spark_partition_id()), "ranges")
+    keys = ["_scope", "_range"] if ranges > 1 else ["_scope"]
+    inside = W.partitionBy(*keys)
+    upto = inside.orderBy("time").rangeBetween(W.unboundedPreceding, 0)
+    onward = inside.orderBy(F.desc("time")).rangeBetween(W.unboundedPreceding, 0)
     local = (both.withColumn("_before", F.last("_entry", ignorenulls=True).over(upto))
                  .withColumn("_after", F.last("_entry", ignorenulls=True).over(onward))
                  .where("_asked"))
-
-    # One row per calendar day: this window is bounded by the calendar.
-    edges = both.groupBy("_scope", "_day").agg(F.max("_entry").alias("_hi"), F.min("_entry").alias("_lo"))
-    earlier = W.partitionBy("_scope").orderBy("_day").rowsBetween(W.unboundedPreceding, -1)
-    later = W.partitionBy("_scope").orderBy(F.desc("_day")).rowsBetween(W.unboundedPreceding, -1)
-    edges = edges.select("_scope", "_day",
+    if ranges == 1:
+        return local.select("_scope", "time", F.col("_before").alias("_prev"), F.col("_after").alias("_next"))
+
+    # One row per scope and range: these windows run over edges, not over stamps.
+    edges = both.groupBy(*keys).agg(F.max("_entry").alias("_hi"), F.min("_entry").alias("_lo"))
+    earlier = W.partitionBy("_scope").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    later = W.partitionBy("_scope").orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)
+    edges = edges.select(*keys,
                          F.last("_hi", ignorenulls=True).over(earlier).alias("_carry_before"),
                          F.last("_lo", ignorenulls=True).over(later).alias("_carry_after"))
-    return (equi_join(local, edges, ["_scope", "_day"])
+    return (equi_join(local, edges, keys)
             .select("_scope", "time",
                     F.coalesce("_before", "_carry_before").alias("_prev"),
                     F.coalesce("_after", "_carry_after").alias("_next")))
@@ -163,6 +170,6 @@ def asof_lagged(events: DataFrame, axis: DataFrame, lags: Sequence[int], axis_sc
         return (_scope_of(df, axis_scope).withColumn("lag", each).withColumnRenamed("time", "_event_time")
                 .withColumn("time", F.timestamp_add("HOUR", -F.col("lag"), F.col("_event_time"))))
 
-    wanted = shifted((asked if asked is not None else events).select("time")).select("_scope", "time")
+    wanted = written(shifted((asked if asked is not None else events).select("time").distinct()).select("_scope", "time"), "asked")
     mapping = nearest_stamps(wanted, _stamps(axis, axis_scope))
     return _mapped(shifted(events), mapping).drop("time").withColumnRenamed("_event_time", "time")

@@ -122,3 +122,35 @@ def test_hours_back_stay_on_the_axis_of_the_event(rows):
     assert [str(r["matched_time"]) for r in got] == ["2000-01-02 00:00:00"]
     got = timejoin.asof_lagged(event, axis, [36], "global", "hours", asked=event).collect()
     assert [str(r["matched_time"]) for r in got] == ["1999-12-30 00:00:00"]
+
+
+@pytest.mark.parametrize("scope", ["year", "global"])
+def test_stamps_of_one_day_are_spread_over_ranges(spark, monkeypatch, scope):
+    """All stamps lie on one calendar day: several ranges, none much larger than asked, same mapping as in one."""
+    def stamps(n, step, shift):
+        return spark.range(n).select(F.expr(f"timestamp_ntz'2000-05-05' + make_dt_interval(0, 0, 0, id * {step} + {shift})").alias("time"))
+    axis, events = stamps(1500, 7, 3), stamps(900, 11, 0)
+    whole = values(timejoin.asof_nearest(events, axis, scope)), values(timejoin.asof_lagged(events, axis, [0, 3], scope))
+    monkeypatch.setattr(timejoin, "RANGE_STAMPS", 100)
+    sizes = []
+    plain = timejoin.written
+
+    def seen(df, name):
+        out = plain(df, name)
+        if name == "ranges":
+            sizes.extend(r["count"] for r in out.groupBy("_range").count().collect())
+        return out
+    monkeypatch.setattr(timejoin, "written", seen)
+    assert (values(timejoin.asof_nearest(events, axis, scope)), values(timejoin.asof_lagged(events, axis, [0, 3], scope))) == whole
+    assert len(sizes) >= 40 and max(sizes) < 300
+
+
+def test_ranges_without_an_axis_entry_carry_edges(spark, monkeypatch):
+    """Long stretches of asked stamps between two axis entries, and beyond both ends."""
+    monkeypatch.setattr(timejoin, "RANGE_STAMPS", 20)
+    at = lambda c: F.expr(f"timestamp_ntz'2000-01-01' + make_dt_interval(0, 0, {c}, 0)")
+    axis = spark.createDataFrame([(300,), (700,)], "m int").select(at("m").alias("time"))
+    events = spark.range(1000).select("id", at("cast(id as int)").alias("time"))
+    got = {r["id"]: r["matched_time"] for r in timejoin.asof_nearest(events, axis, "global").collect()}
+    first, last = sorted(r["time"] for r in axis.collect())
+    assert all(got[i] == (first if i < 500 else last) for i in range(1000))
