@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gridevents.llm.words import slices
+from gridevents.llm.words import SLICE_BYTES, slices
 from gridevents.operators.joins import fits
 from gridevents.session import written
 
@@ -36,14 +36,14 @@ def give_back() -> None:
 
 
 def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema,
-               column: str = "text", done: Callable[[], None] | None = None) -> DataFrame:
+               column: str = "text", done: Callable[[], None] | None = None, size: int = SLICE_BYTES) -> DataFrame:
     """``fn`` over small slices of each Arrow batch, so temporaries follow the slice, not the batch.
 
     ``done`` is called at the end of a partition; then freed memory is given back.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, size):
                 yield fn(part)
         if done:
             done()

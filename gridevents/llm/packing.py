@@ -24,6 +24,8 @@ from gridevents.session import written
 
 #: Ids of a sequence, pieces of a group, words a worker remembers.
 CAPACITY, GROUP_PIECES, KNOWN_WORDS = 4096, 2048, 600_000
+#: Bytes of text that are tokenized together: new words are learnt in batches.
+SLICE_BYTES = 1 << 22
 #: Code points beyond which a word is not remembered for long.
 LONG_WORD = 256
 #: The id that ends a document.
@@ -114,8 +116,8 @@ class WordIds:
             flat, length = self._gather(both.reshape(-1))
             self._add(tails, flat, length.reshape(-1, 2).sum(axis=1))
 
-    def rest(self, keep: int = 1 << 17) -> None:
-        """Between partitions only words that came again are kept, ``keep`` at most."""
+    def rest(self, keep: int) -> None:
+        """Only words that came again are kept, ``keep`` at most."""
         if len(self.codes) > keep:
             self._forget()
             if len(self.codes) > keep:
@@ -160,9 +162,13 @@ def word_ids(path: str, limit: int) -> WordIds:
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = True,
-           known_words: int = KNOWN_WORDS) -> DataFrame:
+           known_words: int = KNOWN_WORDS, resting_words: int = KNOWN_WORDS,
+           slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """(doc_id, start, length, doc_tokens, ids or ids_crc32): every text cut at multiples of ``capacity``.
 
+    A worker remembers ``known_words`` while it works and ``resting_words`` after a partition;
+    smaller ``slice_bytes`` take less memory and more time.
+
     ``ids_crc32`` is that of the little-endian unsigned 32-bit ids; it stands in for the ids
     where only a check of them is wanted.
     """
@@ -183,7 +189,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids:
                                 pa.array(total[owner]), content], ["doc_id", "start", "length", "doc_tokens", "content"])
     kind, name = ("array<int>", "ids") if with_ids else ("long", "ids_crc32")
     return map_slices(texts(docs), run, f"doc_id long, start long, length long, doc_tokens long, content {kind}",
-                      done=lambda: word_ids(tokenizer, known_words).rest()).withColumnRenamed("content", name)
+                      done=lambda: word_ids(tokenizer, known_words).rest(resting_words), size=slice_bytes).withColumnRenamed("content", name)
 
 
 class Bins:
@@ -221,7 +227,8 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES,
-         with_ids: bool = True, known_words: int = KNOWN_WORDS) -> DataFrame:
+         with_ids: bool = True, known_words: int = KNOWN_WORDS, resting_words: int = KNOWN_WORDS,
+         slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """The pieces of all texts with ``sequence_id`` and ``offset`` in their sequence.
 
     A sequence holds at most ``capacity`` ids, gapless from offset 0.  Every row of ``docs``
@@ -230,7 +237,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, group_pieces
     start and content, equal pieces also by their number in the written table, so that no group
     holds all copies of a row; an empty table has no sequence.
     """
-    cut = written(pieces(docs, tokenizer, capacity, with_ids, known_words), "pieces")
+    cut = written(pieces(docs, tokenizer, capacity, with_ids, known_words, resting_words, slice_bytes), "pieces")
     groups = max(1, round(cut.count() / group_pieces))
     content = "ids" if with_ids else "ids_crc32"
     # the number within a stored part, in blocks: copies of one row go to several groups

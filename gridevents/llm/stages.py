@@ -38,4 +38,4 @@ def secret_scan(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """The ids of all documents in sequences: doc_id, start, length, doc_tokens, ids, sequence_id, offset."""
     # workers outlive the stage, so they remember fewer words here, at the cost of tokenizing rare ones again
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), known_words=100_000)
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), known_words=100_000, resting_words=50_000, slice_bytes=1 << 20)
