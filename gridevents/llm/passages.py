@@ -19,18 +19,21 @@
 4. The regions of a chain are extended and aligned word by word; where the whole differs
    too much, its similar regions are taken.  Aligned regions that touch are joined, and a
    passage must have ``min_words`` words.
+
+All places are numbers of words, and what is aligned are word hashes (32 bits of them, which
+decide only what an anchored region holds); texts are read for the seeds, for the hashes of
+documents with chains, and for the code points of what was found.
 """
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gridevents.llm.frames import map_slices, named, texts
+from gridevents.llm.frames import lists, map_slices, named, texts
 from gridevents.llm.words import code_points, mix, shingles, words
 from gridevents.session import written
 
@@ -49,10 +52,6 @@ TRACE_BITS = 1 << 28
 #: Words beyond the outer seeds that an alignment may reach.
 MARGIN = 80
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: A place is the number of a word in its text, shifted, and the code point where it starts.
-_POINT = (1 << 32) - 1
-
 
 def minimizers(value: np.ndarray, owner: np.ndarray, window: int) -> np.ndarray:
     """Indices of the smallest value in every window of consecutive entries of an owner.
@@ -78,7 +77,7 @@ def minimizers(value: np.ndarray, owner: np.ndarray, window: int) -> np.ndarray:
 
 
 def seeds(df: DataFrame, k: int = SEED, window: int = WINDOW) -> DataFrame:
-    """(seed, doc_id, place, near, first, first_near): minimizers with their place, and the seed's first place in its text.
+    """(seed, doc_id, place, near, first, first_near): minimizers with their place (number of a word), and the seed's first place in its text.
 
     ``near`` has a byte of the ``k`` words before the seed and one of those after it, 0 where the text ends.
     """
@@ -93,8 +92,7 @@ def seeds(df: DataFrame, k: int = SEED, window: int = WINDOW) -> DataFrame:
         near[k:] += np.where(beside, byte[:-k], 0) << 8
         near[:-k] += np.where(beside, byte[k:], 0)
         value, at, owner, near = value[pick], at[pick], owner[pick], near[pick]
-        points = code_points(found.data)
-        place = (at - found.first[owner]) << 32 | points[found.start[at]] - points[found.text[owner]]
+        place = at - found.first[owner]
         order = np.lexsort((value, owner))  # stable: places of equal seeds stay in order
         head = np.append(True, (value[order][1:] != value[order][:-1]) | (owner[order][1:] != owner[order][:-1])) \
             if len(order) else np.zeros(0, bool)
@@ -102,10 +100,9 @@ def seeds(df: DataFrame, k: int = SEED, window: int = WINDOW) -> DataFrame:
         top = np.flatnonzero(head)[np.cumsum(head) - 1] if len(order) else order
         first[order], first_near[order] = place[order][top], near[order][top]
         return pa.record_batch([pa.array(value.view(np.int64)), part["doc_id"].take(pa.array(owner)),
-                                pa.array(place), pa.array(near.astype(np.int32)), pa.array(first),
-                                pa.array(first_near.astype(np.int32))],
+                                *(pa.array(x.astype(np.int32)) for x in (place, near, first, first_near))],
                                ["seed", "doc_id", "place", "near", "first", "first_near"])
-    return map_slices(df, run, "seed long, doc_id long, place long, near int, first long, first_near int")
+    return map_slices(df, run, "seed long, doc_id long, place int, near int, first int, first_near int")
 
 
 def useful(anchor: np.ndarray, place: np.ndarray, there: np.ndarray, sure: np.ndarray) -> zip:
@@ -124,7 +121,7 @@ def seed_pairs(held: DataFrame, window: int) -> DataFrame:
                 seed, place, anchor = (rows.values.field(c).to_numpy() for c in ("seed", "place", "anchor"))
                 order = np.lexsort((seed, place))
                 seed, place, anchor = seed[order], place[order], anchor[order]
-                gap = np.diff(place >> 32)
+                gap = np.diff(place)
                 i = np.flatnonzero((gap > 0) & (gap <= window))
                 if not len(i):
                     continue
@@ -132,9 +129,10 @@ def seed_pairs(held: DataFrame, window: int) -> DataFrame:
                 key = mix(mix(u[i]) + u[i + 1] + gap[i].astype(np.uint64)).view(np.int64)
                 _, head, which = np.unique(key, return_index=True, return_inverse=True)
                 out.append(np.array([key, np.full(len(i), doc), place[i], place[i][head][which], anchor[i], anchor[i + 1]]))
-            yield pa.record_batch(list(map(pa.array, np.concatenate(out, axis=1))),
+            kinds = [pa.int64()] * 2 + [pa.int32()] * 2 + [pa.int64()] * 2
+            yield pa.record_batch([pa.array(x).cast(t) for x, t in zip(np.concatenate(out, axis=1), kinds)],
                                   ["key", "doc_id", "place", "first", "anchor", "anchor2"])
-    return held.mapInArrow(run, "key long, doc_id long, place long, first long, anchor long, anchor2 long")
+    return held.mapInArrow(run, "key long, doc_id long, place int, first int, anchor long, anchor2 long")
 
 
 def outermost(extents: list[tuple]) -> list[bool]:
@@ -346,45 +344,68 @@ def extend(one: list, two: list, i: int, j: int, step: int, drop: int = 6) -> tu
     return reach
 
 
-def aligned(text: str, other: str, here: tuple[int, int, int], there: tuple[int, int, int], k: int,
-            threshold: float, min_words: int) -> list[tuple[int, int, int]]:
-    """(start, end, words) of a chain in the text; if the sides differ too much, those of its similar regions.
+def aligned(one: list, two: list, here: tuple[int, int], there: tuple[int, int], k: int,
+            threshold: float, min_words: int) -> list[tuple[int, int]]:
+    """(first, last word) of a chain in ``one``; if the sides differ too much, those of its similar regions.
 
-    ``here`` and ``there`` are the code points of the first and the last seed and the one at
-    which the given region of ``MARGIN`` words more on both sides starts.
+    ``here`` and ``there`` are the first words of the first and the last seed.
     """
-    x0, x1, back = here
-    y0, y1, shift = there
-    one, two = _WORD.findall(text), _WORD.findall(other)
-    i, j = (len(_WORD.findall(t, 0, at)) for t, at in ((text, x0 - back), (other, y0 - shift)))
-    last, far = (n + len(_WORD.findall(t, a, b)) + k - 1
-                 for n, t, a, b in ((i, text, x0 - back, x1 - back), (j, other, y0 - shift, y1 - shift)))
+    (i, last), (j, far) = here, there
     if not (i < len(one) and j < len(two)):
         return []
-    last, far = min(last, len(one) - 1), min(far, len(two) - 1)
+    last, far = min(last + k, len(one)) - 1, min(far + k, len(two)) - 1
     i, j = extend(one, two, i, j, -1)
     last, far = extend(one, two, last, far, 1)
-    mine, other_words = one[i:last + 1], two[j:far + 1]
-    same = len(mine) if mine == other_words else common_words(mine, other_words)
-    if 2 * same >= threshold * (len(mine) + len(other_words)):
+    if last - i + 1 < PART_WORDS:
+        return []
+    mine, other = one[i:last + 1], two[j:far + 1]
+    if mine == other or 2 * common_words(mine, other) >= threshold * (len(mine) + len(other)):
         bounds = [(0, len(mine) - 1)]
     else:
-        bounds = pieces(mine, other_words, threshold, min_words)
-    bounds = [(a, b) for a, b in bounds if b - a + 1 >= PART_WORDS]
-    if not bounds:
-        return []
-    place = [m.span() for m in _WORD.finditer(text)]
-    return [(place[i + a][0] + back, place[i + b][1] + back, b - a + 1) for a, b in bounds]
+        bounds = pieces(mine, other, threshold, min_words)
+    return [(i + a, i + b) for a, b in bounds if b - a + 1 >= PART_WORDS]
+
+
+def word_hashes(df: DataFrame) -> DataFrame:
+    """(doc_id, words): 32 bits of the hash of every word."""
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        found = words(part["text"])
+        return pa.record_batch([part["doc_id"], lists(found.hashes().astype(np.uint32).view(np.int32), found.first)],
+                               ["doc_id", "words"])
+    return map_slices(df, run, "doc_id long, words array<int>")
 
 
-def around(df: DataFrame, text: str, first: str, last: str, start: str, k: int) -> DataFrame:
-    """``text`` cut to the words from the code point ``first`` to the ``k`` words at ``last`` and ``MARGIN`` words more
-    on both sides; ``start`` is the code point where the cut starts.  However long the words are, none is cut."""
-    word, space = r"[^\x20\x09-\x0D]++", r"[\x20\x09-\x0D]"
-    before = F.regexp_extract(F.reverse(F.substring(text, F.lit(1), F.col(first))), f"^(?:{space}++{word}){{0,{MARGIN}}}", 0)
-    after = F.regexp_extract(F.substring(text, F.col(last) + 1, F.lit((1 << 31) - 1)), f"^(?:{word}{space}*+){{0,{MARGIN + k}}}", 0)
-    cut = df.withColumns({start: F.col(first) - F.length(before), "_after": F.length(after)})
-    return cut.withColumn(text, F.substring(text, F.col(start) + 1, F.col(last) - F.col(start) + F.col("_after"))).drop("_after")
+def around(df: DataFrame, column: str, first: str, last: str, start: str, k: int) -> DataFrame:
+    """The array ``column`` cut to the words from ``first`` to the ``k`` words at ``last`` and ``MARGIN`` words more on both
+    sides; ``start`` is the number of the first word left."""
+    return (df.withColumn(start, F.greatest(F.col(first) - MARGIN, F.lit(0)))
+              .withColumn(column, F.slice(column, F.col(start) + 1, F.col(last) - F.col(start) + k + MARGIN)))
+
+
+def located(spans: DataFrame, base: DataFrame) -> DataFrame:
+    """(doc_id, start, end, n_words, source_doc_id) in code points of ``spans`` (doc_id, first, last, source_doc_id) in words."""
+    held = spans.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last", "source_doc_id")).alias("spans"))
+
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        found = words(part["text"])
+        points = code_points(found.data)
+        number = part["spans"].value_lengths().to_numpy()
+        row = np.repeat(np.arange(len(number)), number)
+        flat = part["spans"].flatten()
+        first, last = (np.minimum(flat.field(c).to_numpy(), found.counts[row] - 1) + found.first[row] for c in ("first", "last"))
+        origin = points[found.text[row]]
+        out = pa.StructArray.from_arrays([pa.array(points[found.start[first]] - origin), pa.array(points[found.end[last]] - origin),
+                                          pa.array(last - first + 1), flat.field("source_doc_id")],
+                                         ["start", "end", "n_words", "source_doc_id"])
+        places = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(number)]), pa.int32()), out)
+        return pa.record_batch([part["doc_id"], places], ["doc_id", "places"])
+    some = named(base.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")), spans.select("doc_id"))
+    placed = map_slices(held.join(some, "doc_id").select("doc_id", "text", "spans"), run,
+                        "doc_id long, places array<struct<start: long, end: long, n_words: long, source_doc_id: long>>")
+    # repeated rows give the same places; of several texts under one id the one that holds most of them is taken
+    held_words = F.aggregate("places.n_words", F.lit(0).cast("long"), lambda total, n: total + n)
+    return (placed.groupBy("doc_id").agg(F.max_by("places", F.struct(held_words, "places")).alias("places"))
+                  .select("doc_id", F.inline("places")))
 
 
 def passages(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THRESHOLD,
@@ -429,19 +450,17 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THR
                 own = [np.concatenate(x) for x in zip(own, [*pair, np.ones(len(pair[0]), bool)])]
             own = [x[own[0] < doc] for x in own]
             by_anchor: dict[int, list[tuple[int, int]]] = {}
-            points: dict[tuple[int, int, int], tuple[int, int]] = {}
             certain = set()
             for anchor, place, there, sure in useful(*own):
-                by_anchor.setdefault(anchor, []).append((place >> 32, there >> 32))
-                points[anchor, place >> 32, there >> 32] = place & _POINT, there & _POINT
+                by_anchor.setdefault(anchor, []).append((place, there))
                 if sure:
-                    certain.add((anchor, place >> 32, there >> 32))
+                    certain.add((anchor, place, there))
             extents = []
             for anchor, places in by_anchor.items():
                 for one in chains(places):
                     if len(one) == 1 and (anchor, *one[0]) not in certain:
                         continue
-                    (x0, y0), (x1, y1) = points[anchor, *one[0]], points[anchor, *one[-1]]
+                    (x0, y0), (x1, y1) = one[0], one[-1]
                     extents.append((x0, x1, len(one), anchor, y0, y1))
             rows += [(doc, anchor, x0, x1, y0, y1, outer)
                      for (x0, x1, _, anchor, y0, y1), outer in zip(extents, outermost(extents))]
@@ -457,23 +476,25 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THR
     regions = written(grouped.mapInArrow(chain_batches, "doc_id long, anchor long, x0 int, x1 int, y0 int, y1 int, outer boolean"),
                       "chains")
 
-    def align(part: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for r in part.to_pylist():
-            hits = aligned(r["text"], r["other"], (r["x0"], r["x1"], r["back"]), (r["y0"], r["y1"], r["shift"]),
-                           k, threshold, min_words)
-            rows += [(r["doc_id"], r["anchor"], *hit) for hit in hits]
-        return pa.record_batch([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)],
-                               ["doc_id", "anchor", "start", "end", "words"])
-
-    def aligned_regions(regions: DataFrame) -> DataFrame:
-        some = named(base, regions.select("doc_id").unionAll(regions.select("anchor")))
-        left = some.select("doc_id", "text")
-        right = some.select(F.col("doc_id").alias("anchor"), F.col("text").alias("other"))
-        # only the anchor's region travels on, however long its text is
-        sides = around(regions.join(right, "anchor"), "other", "y0", "y1", "shift", k).join(left, "doc_id")
-        cut = around(sides, "text", "x0", "x1", "back", k)
-        return map_slices(cut, align, "doc_id long, anchor long, start long, end long, words long")
+    hashed = written(word_hashes(named(base, regions.select("doc_id").unionAll(regions.select("anchor")))), "word-hashes")
+
+    def align(batches):
+        for batch in batches:
+            ids, anchors, *bounds = (batch[c].to_pylist() for c in ("doc_id", "anchor", "x0", "x1", "back", "y0", "y1", "shift"))
+            rows = []
+            for n, (x0, x1, back, y0, y1, shift) in enumerate(zip(*bounds)):
+                one, two = (batch[c][n].values.to_numpy().tolist() for c in ("words", "other"))
+                rows += [(ids[n], anchors[n], back + a, back + b) for a, b in aligned(
+                    one, two, (x0 - back, x1 - back), (y0 - shift, y1 - shift), k, threshold, min_words)]
+            yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in
+                                   enumerate([pa.int64()] * 2 + [pa.int32()] * 2)], ["doc_id", "anchor", "first", "last"])
+
+    def aligned_regions(regions: DataFrame, hashed: DataFrame) -> DataFrame:
+        right = hashed.select(F.col("doc_id").alias("anchor"), F.col("words").alias("other"))
+        # only the words around a chain travel on, however long the texts are
+        sides = around(regions.join(right, "anchor"), "other", "y0", "y1", "shift", k).join(hashed, "doc_id")
+        cut = around(sides, "words", "x0", "x1", "back", k)
+        return cut.mapInArrow(align, "doc_id long, anchor long, first int, last int")
 
     def uncovered(batches):
         """Chains that lie in no accepted region of their document."""
@@ -481,58 +502,47 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THR
             rows = []
             for r in batch.to_pylist():
                 reach, ends = -1, []
-                starts = sorted((p["start"], p["end"]) for p in r["accepted"] or ())
+                starts = sorted((p["first"], p["last"]) for p in r["accepted"] or ())
                 for _, end in starts:
                     reach = max(reach, end)
                     ends.append(reach)
                 for c in r["inner"]:
                     n = bisect_right(starts, (c["x0"], 1 << 40))
-                    if not n or ends[n - 1] <= c["x1"]:
+                    if not n or ends[n - 1] < c["x1"]:
                         rows.append((r["doc_id"], *(c[x] for x in ("anchor", "x0", "x1", "y0", "y1"))))
             yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in
                                    enumerate([pa.int64()] * 2 + [pa.int32()] * 4)],
                                   ["doc_id", "anchor", "x0", "x1", "y0", "y1"])
 
-    first = written(aligned_regions(regions.where("outer")), "aligned")
+    first = written(aligned_regions(regions.where("outer"), hashed), "aligned")
     # bounded by the chains of one document
-    accepted = first.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("accepted"))
+    accepted = first.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("accepted"))
     inner = regions.where("not outer").groupBy("doc_id").agg(
         F.collect_list(F.struct("anchor", "x0", "x1", "y0", "y1")).alias("inner"))
     still = written(inner.join(accepted, "doc_id", "left").mapInArrow(
         uncovered, "doc_id long, anchor long, x0 int, x1 int, y0 int, y1 int"), "inner")
-    parts = first.unionByName(aligned_regions(still))
+    parts = first.unionByName(aligned_regions(still, named(hashed, still.select("doc_id").unionAll(still.select("anchor")))))
     # bounded by the regions of one document
-    joined = parts.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "words", "anchor")).alias("parts"))
+    joined = parts.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("first", "last", "anchor")).alias("parts"))
 
     def merge(batches):
         for batch in batches:
             rows = []
             for doc, parts in zip(batch["doc_id"].to_pylist(), batch["parts"].to_pylist()):
-                parts.sort(key=lambda p: (p["start"], p["end"]))
                 spans: list[list] = []
-                for p in parts:
-                    if spans and p["start"] <= spans[-1][1] + 2:
-                        spans[-1][1] = max(spans[-1][1], p["end"])
-                        spans[-1][2].append(p)
+                for p in sorted(parts, key=lambda p: (p["first"], p["last"])):
+                    rank = (p["last"] - p["first"], -p["anchor"])
+                    if spans and p["first"] <= spans[-1][1] + 1:
+                        spans[-1][1:] = max(spans[-1][1], p["last"]), max(spans[-1][2], rank)
                     else:
-                        spans.append([p["start"], p["end"], [p]])
-                for start, end, ps in spans:
-                    top = max(ps, key=lambda p: (p["words"], -p["anchor"]))
-                    rows.append((doc, start, end, sum(p["words"] for p in ps), len(ps), top["words"], top["anchor"]))
-            yield pa.record_batch([pa.array([r[i] for r in rows], pa.int64()) for i in range(7)],
-                                  ["doc_id", "start", "end", "sum_words", "n_parts", "top_words", "source_doc_id"])
-
-    spans = joined.mapInArrow(merge, "doc_id long, start long, end long, sum_words long, n_parts long, top_words long, "
-                                     "source_doc_id long")
-    span_words = F.regexp_count(F.substring(F.col("text"), (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")),
-                                F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    likely = written(spans.where(F.col("sum_words") >= min_words), "spans")
-    one = likely.where("n_parts = 1").select("doc_id", "start", "end", F.col("top_words").alias("n_words"), "source_doc_id")
-    pieced = likely.where("n_parts > 1")
-    more = (pieced.join(named(base, pieced.select("doc_id")), "doc_id")
-                  .select("doc_id", "start", "end", span_words.alias("n_words"), "source_doc_id")
-                  .where(F.col("n_words") >= min_words).distinct())
-    return one.unionByName(more)
+                        spans.append([p["first"], p["last"], rank])
+                rows += [(doc, a, b, -rank[1]) for a, b, rank in spans if b - a + 1 >= min_words]
+            yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in
+                                   enumerate([pa.int64(), pa.int32(), pa.int32(), pa.int64()])],
+                                  ["doc_id", "first", "last", "source_doc_id"])
+
+    spans = joined.mapInArrow(merge, "doc_id long, first int, last int, source_doc_id long")
+    return located(written(spans, "spans"), base)
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
