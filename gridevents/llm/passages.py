@@ -66,7 +66,7 @@ def minimizers(value: np.ndarray, owner: np.ndarray, window: int) -> np.ndarray:
     left = np.repeat(start + length, length) - np.arange(n)
     best = np.arange(n)
     low = value.copy()
-    for i in range(1, window):
+    for i in range(1, min(window, n)):
         later = np.full(n, np.iinfo(np.uint64).max, np.uint64)
         later[:n - i] = value[i:]
         better = (later < low) & (left > i)

@@ -166,6 +166,14 @@ def test_seeds_that_smaller_documents_hold_by_chance(docs):
     assert " ".join(shared) in texts[101][found[0].start:found[0].end]
 
 
+def test_repeated_rows_and_several_texts_of_one_id(docs):
+    shared = prose(60)
+    whole, other = " ".join(prose(7) + shared), " ".join(prose(12))
+    rows = [(1, " ".join(shared)), (2, whole), (2, whole), (2, other), (2, " \n"), (2, None)]
+    found = passages(docs(rows)).collect()
+    assert [(r.doc_id, whole[r.start:r.end], r.n_words, r.source_doc_id) for r in found] == [(2, " ".join(shared), 60, 1)]
+
+
 def test_cut_and_empty(docs):
     assert cut("abcdef", [(4, 5), (1, 2)]) == "acdf"
     assert passages(docs([])).collect() == []
