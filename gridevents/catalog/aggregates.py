@@ -6,10 +6,12 @@ from pyspark.sql import Window as W, functions as F
 
 from gridevents.catalog.registry import query, r6, s6
 from gridevents.functions.times import stamp_text
-from gridevents.operators import axes, blocks, climate, cluster, events, stats
+from gridevents.operators import axes, blocks, climate, cluster, events, moments, stats
 from gridevents.operators.boxjoin import join_event_boxes
 from gridevents.plans.composites import prepare_field, with_centres
 from gridevents.plans.detection import box_means
+from gridevents.session import fresh_path
+from gridevents.sinks import tables
 
 ALGOS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 _BOXES = """mask m JOIN location l ON m.lon BETWEEN l.lon AND l.lon+1 AND m.lat BETWEEN l.lat AND l.lat+1"""
@@ -61,6 +63,20 @@ def total_mean_std(v):
     return out.select(r6("mean_value"), r6("std_value"))
 
 
+@query("a05_stored_moments", f"""
+SELECT variable, level, lat, lon, CAST(count(value) AS BIGINT) AS n, {s6('avg(value)')} AS mean_value, {s6('stddev_pop(value)')} AS std_value
+FROM field GROUP BY 1,2,3,4""")
+def stored_moments(v):
+    """The last year is added to what is stored of the others."""
+    path, cell = fresh_path(v.spark, "moments"), ["variable", "level", "lat", "lon"]
+    last = v.field.agg(F.year(F.max("time"))).scalar()
+    tables.write_moments(v.field.where(F.year("time") < last), path, cell)
+    tables.write_moments(v.field.where(F.year("time") == last), path, cell)
+    whole = moments.merged(v.spark.read.parquet(path), cell)
+    return moments.mean_and_std(whole.withColumn("_n", F.col("n"))).select(
+        *cell, F.col("_n").alias("n"), r6("mean_value"), r6("std_value"))
+
+
 @query("a06_level_extremes", """
 SELECT variable, time, level, lat, lon, min(value) OVER (PARTITION BY variable, level) AS lo,
   max(value) OVER (PARTITION BY variable, level) AS hi FROM field""")
@@ -137,6 +153,18 @@ def resolution(v):
     return parts[0].unionByName(parts[1]).select("coord", "origin", "step")
 
 
+@query("a15_axis_registry", """
+WITH v AS (SELECT DISTINCT 'lat' AS coord, lat AS x FROM field UNION ALL SELECT DISTINCT 'lon', lon FROM field),
+g AS (SELECT coord, x, CAST(round(1e6*(x - lag(x) OVER (PARTITION BY coord ORDER BY x))) AS BIGINT) AS gap FROM v),
+d AS (SELECT coord, min(x) AS origin, max(x) AS top, count(*) AS n, list_reduce(list(gap) FILTER (gap IS NOT NULL), lambda a, b: gcd(a, b)) / 1e6 AS step
+  FROM g GROUP BY coord)
+SELECT coord, origin, step, CAST(n AS BIGINT) AS n_values, CAST(round((top-origin)/step) + 1 - n AS BIGINT) AS n_missing FROM d""")
+def axis_registry(v):
+    path = fresh_path(v.spark, "axes")
+    tables.write_axes(v.field, path)
+    return v.spark.read.parquet(path)
+
+
 @query("a16_chunk_range", """
 SELECT CAST(floor(a.pos/100) AS BIGINT) AS chunk_time, min(c.time) AS first_time, max(c.time) AS last_time
 FROM field c JOIN axis a ON a.time=c.time GROUP BY 1""")

@@ -149,6 +149,15 @@ def label_lines(v):
     return full.join(short, ["algo", "loc_id", "time"])
 
 
+@query("s11_label_files", """
+SELECT CAST(row_number() OVER (ORDER BY algo, time, loc_id, cluster) - 1 AS BIGINT) AS pos, cluster FROM event_daily""")
+def label_files(v):
+    """Labels as they are stored: text files with a label a line, which only their place ties to an event."""
+    path = fresh_path(v.spark, "labels")
+    v.event_daily.orderBy("algo", "time", "loc_id", "cluster").select(F.col("cluster").cast("string").alias("value")).write.text(path)
+    return listings.read_labels(v.spark, path)
+
+
 @query("s12_climatology_scan", f"""
 SELECT variable, CAST(mon AS INTEGER) AS mon, level, CAST(count(*) AS BIGINT) AS n_rows, {s6('avg(value)')} AS mean_value
 FROM climatology WHERE variable='T' GROUP BY variable, mon, level""")

@@ -62,12 +62,18 @@ def event_lists(v):
     return back.select("algo", F.col("loc_id").cast("long").alias("loc_id"), "time")
 
 
+@query("k05_packed_lists", "SELECT algo, CAST(loc_id AS BIGINT) AS loc_id, time FROM event_daily")
+def packed_lists(v):
+    path = _path(v, "packed")
+    text_sinks.write_packed_lists(v.event_daily, path)
+    return listings.read_packed_lists(v.spark, path)
+
+
 @query("k06_place_list", "SELECT CAST(loc_id AS BIGINT) AS loc_id, lat, lon FROM location")
 def place_list(v):
     path = _path(v, "places")
     text_sinks.write_places(v.location, path)
-    lines = v.spark.read.text(path).withColumn("_order", F.substring_index("value", ",", 1))
-    return listings.parse_places(lines, order="_order")
+    return listings.read_places(v.spark, path)
 
 
 @query("k07_cluster_labels", "SELECT algo, loc_id, time, cluster FROM event_daily")

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridevents.functions.geo import first_step_inside, grid_step, wrap_longitude
 from gridevents.operators.ordering import coordinate_index
 
+#: Degrees under which two distances are the same but for rounding.
+SAME_DEGREES = 1e-4
+
 
 def longitude_frame(df: DataFrame) -> DataFrame:
     """One row: the largest longitude and the frame it shows (360, 180 or unknown)."""
@@ -20,13 +24,49 @@ def canonical_longitude(df: DataFrame, column: str = "lon") -> DataFrame:
     return df.withColumn(column, wrap_longitude(F.col(column)))
 
 
-def axis_origin_and_step(df: DataFrame, coord: str) -> DataFrame:
-    """One row: the two smallest distinct values of an axis and their distance.
+def _common_divisor(one: Column, two: Column) -> Column:
+    """The distance of which both distances are multiples, up to rounding (``SAME_DEGREES``).
 
-    Only the distinct coordinate values are ordered (a top-2), not the rows.
+    Euclid with nearest remainders: each is at most half of the one before, so 32 steps are enough.
     """
-    two = df.select(coord).distinct().orderBy(coord).limit(2)
-    return two.agg(F.min(coord).alias("origin"), F.abs(F.max(coord) - F.min(coord)).alias("step"))
+    def step(state: Column, _: Column) -> Column:
+        rest = F.abs(state["a"] - F.round(state["a"] / state["b"]) * state["b"])
+        return F.when(state["b"] < SAME_DEGREES, state).otherwise(F.struct(state["b"].alias("a"), rest.alias("b")))
+    start = F.struct(F.greatest(one, two).alias("a"), F.least(one, two).alias("b"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(32)), start, step)["a"]
+
+
+def axis_facts(df: DataFrame, coord: str) -> DataFrame:
+    """One row (origin, step, n_values, n_missing) on a regular axis, of which rows may be absent.
+
+    The step is the common divisor of all gaps between the distinct values, so an absent grid
+    row does not change it as long as the others still show it.  What is gathered is the axis,
+    not the rows.  One value has step 0, an empty table NULL.
+    """
+    values = F.col("_values")
+    gaps = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(values) - 1),
+                                        lambda i: F.round(F.get(values, i) - F.get(values, i - 1), 6)))
+    listed = df.agg(F.sort_array(F.collect_set(coord)).alias("_values"))
+    span = F.col("_last") - F.col("origin")
+    base = F.aggregate(gaps, F.lit(0.0), _common_divisor)
+    steps = F.round(span / F.col("_base"))
+    return (listed.withColumn("_base", F.when(F.size(values) > 1, base))
+                  .select(F.get(values, F.lit(0)).cast("double").alias("origin"), F.array_max(values).cast("double").alias("_last"),
+                          F.size(values).cast("long").alias("n_values"), "_base")
+                  .select("origin", F.when(F.col("_base").isNotNull(), span / steps).otherwise(span).alias("step"), "n_values",
+                          (F.coalesce(steps.cast("long") + 1, F.col("n_values")) - F.col("n_values")).alias("n_missing")))
+
+
+def axis_registry(df: DataFrame, coords: Sequence[str] = ("lat", "lon")) -> DataFrame:
+    """(coord, origin, step, n_values, n_missing): the axes of a cube, to be stored with it."""
+    parts = [axis_facts(df, c).select(F.lit(c).alias("coord"), "*") for c in coords]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def axis_origin_and_step(df: DataFrame, coord: str) -> DataFrame:
+    """One row (origin, step); ``df`` has the axis as a column, or is a registry of axes."""
+    facts = df.where(F.col("coord") == coord) if "coord" in df.columns else axis_facts(df, coord)
+    return facts.select("origin", "step")
 
 
 def axis_length(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -53,8 +93,8 @@ def relative_positions(df: DataFrame, axes: DataFrame, half_lat: float, half_lon
 
     The first grid value inside the box is labelled ``-half``, the next one
     ``-half + step`` and so on, whatever the centre is.  ``axes`` is any frame
-    with the cube's full ``lat`` and ``lon``: origin and step are read from it
-    as scalar subqueries, and positions are arithmetic on the regular grid, so
+    with the cube's full ``lat`` and ``lon``, or its stored ``axis_registry``: origin
+    and step are read from it as scalar subqueries, and positions are arithmetic on the regular grid, so
     no per-event sort is needed.
     """
     out = df

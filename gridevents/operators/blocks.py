@@ -16,13 +16,14 @@ from gridevents.operators.stats import block_of
 BLOCK_RUN = 4096
 
 
-def with_chunks(field: DataFrame, sizes: Mapping[str, int]) -> DataFrame:
+def with_chunks(field: DataFrame, sizes: Mapping[str, int], registry: DataFrame | None = None) -> DataFrame:
     """Add ``chunk_<dim>``, the block number of each row along the chunked dimensions.
 
     ``sizes`` maps dimension to block length, e.g. ``{"time": 6, "level": 1}``.
     Stamps get their position by a join with the time axis.  Levels are few and
     uneven: their sorted list is one value.  Latitude and longitude are regular,
-    so their position is arithmetic.
+    so their position is arithmetic on the axis
+    that the cube shows, or the one of a stored ``registry``.
     """
     out = field
     for dim, size in sizes.items():
@@ -33,7 +34,7 @@ def with_chunks(field: DataFrame, sizes: Mapping[str, int]) -> DataFrame:
             listed = field.agg(F.sort_array(F.collect_set("level"))).scalar()
             out = out.withColumn("pos", F.array_position(listed, F.col("level")) - 1)
         else:
-            facts = axis_origin_and_step(field, dim).select(F.struct("origin", "step").alias("f")).scalar()
+            facts = axis_origin_and_step(field if registry is None else registry, dim).select(F.struct("origin", "step").alias("f")).scalar()
             out = out.withColumn("_axis", facts)
             out = out.withColumn("pos", grid_step(F.col(dim), F.col("_axis.origin"), F.col("_axis.step"))).drop("_axis")
         out = out.withColumn(f"chunk_{dim}", F.floor(F.col("pos") / size).cast("long")).drop("pos")

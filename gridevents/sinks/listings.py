@@ -27,6 +27,22 @@ def write_event_lists(events: DataFrame, path: str) -> None:
      .write.partitionBy("algo", "loc_id").text(path))
 
 
+def write_packed_lists(events: DataFrame, path: str) -> None:
+    """Yearly lists of all places together: ``path/lists/algo=/year=`` holds lines ``place<TAB>[stamps]``.
+
+    Folders do not grow with the places.  Files hold disjoint ranges of places, and
+    ``path/index`` says which: (algo, year, file, first_place, last_place, n_lines).
+    """
+    lines = yearly_list_lines(events).select("algo", "year", "loc_id", F.concat_ws("\t", F.col("loc_id").cast("string"), "value").alias("value"))
+    (lines.repartitionByRange("algo", "year", "loc_id").sortWithinPartitions("algo", "year", "loc_id").drop("loc_id")
+          .write.partitionBy("algo", "year").text(f"{path}/lists"))
+    place = F.substring_index("value", "\t", 1).cast("long")
+    stored = events.sparkSession.read.text(f"{path}/lists").select("algo", "year", F.col("_metadata.file_path").alias("file"), place.alias("place"))
+    (stored.groupBy("algo", "year", "file")
+           .agg(F.min("place").alias("first_place"), F.max("place").alias("last_place"), F.count(F.lit(1)).alias("n_lines"))
+           .coalesce(1).write.parquet(f"{path}/index"))
+
+
 def place_lines(locations: DataFrame) -> DataFrame:
     return locations.select(F.format_string("(%s, %s)", "lat", "lon").alias("value"))
 

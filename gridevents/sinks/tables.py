@@ -7,9 +7,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridevents.functions.text import two_digits
+from gridevents.operators.axes import axis_registry
 from gridevents.operators.blocks import chunk_table, with_chunks
 from gridevents.operators.consensus import marked
 from gridevents.operators.joins import lookup_join
+from gridevents.operators.moments import moments
 
 
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str], max_rows: int = 0) -> None:
@@ -34,6 +36,18 @@ def write_cube(field: DataFrame, path: str, by_time: bool = False) -> None:
         write_partitioned(dated, path, ["variable", "year", "month"])
 
 
+def write_axes(field: DataFrame, path: str) -> None:
+    """The registry of a cube's axes, beside the cube; one row an axis."""
+    axis_registry(field).coalesce(1).write.parquet(path)
+
+
+def write_moments(field: DataFrame, path: str, keys: Sequence[str]) -> None:
+    """Moments per key and year; a year that is stored already is replaced, all others stay as they are."""
+    states = moments(field.withColumn("year", F.year("time")), ["year", *keys])
+    (states.hint("rebalance", "year").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+           .option("compression", "zstd").partitionBy("year").parquet(path))
+
+
 def write_monthly(df: DataFrame, path: str) -> None:
     """Output per year and two-digit month."""
     dated = df.withColumn("year", F.year("time")).withColumn("month", two_digits(F.month("time")))

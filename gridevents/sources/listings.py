@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from gridevents.functions.text import before_colon, first_digit, inner_tokens, pair_part, stamps_in
 from gridevents.functions.times import parse_stamp
 from gridevents.operators.filters import well_formed_stamps
-from gridevents.operators.ordering import strided
+from gridevents.operators.ordering import running_position, strided
 from gridevents.schema import EVENT_POINT
 
 
@@ -69,6 +69,31 @@ def read_event_lists(spark: SparkSession, path: str) -> DataFrame:
     return parse_stamp_lists(spark.read.text(path)).drop("year")
 
 
+def read_packed_lists(spark: SparkSession, path: str, place: int | None = None) -> DataFrame:
+    """(algo, loc_id, time) of packed lists; for one ``place`` only the files that may hold it are opened."""
+    lines = spark.read.text(f"{path}/lists")
+    if place is not None:
+        index = spark.read.parquet(f"{path}/index").where(F.lit(place).between(F.col("first_place"), F.col("last_place")))
+        files = [r["file"] for r in index.select("file").collect()]  # one an algorithm and year
+        if not files:
+            lines = lines.limit(0)
+        else:
+            lines = spark.read.option("basePath", f"{path}/lists").text(files)
+    parts = lines.select("algo", F.substring_index("value", "\t", 1).cast("long").alias("loc_id"),
+                         F.substring_index("value", "\t", -1).alias("value"))
+    return parse_stamp_lists(parts if place is None else parts.where(F.col("loc_id") == place))
+
+
+def read_labels(spark: SparkSession, path: str, first_character_only: bool = False) -> DataFrame:
+    """Cluster labels of text files, a label a line, numbered ``pos`` in the order of files, their splits and lines.
+
+    Positions are counted in levels: lines of a split, then splits (``running_position``).
+    """
+    part = F.struct("_metadata.file_path", "_metadata.file_block_start")
+    lines = spark.read.text(path).withColumn("_part", part).withColumn("_line", F.monotonically_increasing_id())
+    return parse_labels(running_position(lines, [], ["_part"], ["_line"], "pos"), first_character_only).select("pos", "cluster")
+
+
 def read_event_points(spark: SparkSession, path: str) -> DataFrame:
     """``time,lon,lat`` lines; each event has its own centre."""
     return spark.read.csv(path, schema=EVENT_POINT)

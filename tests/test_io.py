@@ -22,6 +22,29 @@ def test_list_round_trip(spark, rows):
         assert values(back) == values(ev)
 
 
+def test_packed_lists_open_only_the_files_of_a_place(spark):
+    ev = spark.range(400).selectExpr("'a' AS algo", "id % 40 AS loc_id", "timestampadd(DAY, cast(id as int), timestamp_ntz'2000-01-01') AS time")
+    path = fresh_path(spark, "t")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")    # several files, as a large table has
+    try:
+        text_sinks.write_packed_lists(ev, path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert values(listings.read_packed_lists(spark, path)) == values(ev)
+    folders = {r["file"].rsplit("/", 1)[0] for r in spark.read.parquet(f"{path}/index").collect()}
+    assert len(folders) == 2     # a folder per algorithm and year, whatever the places
+    one = listings.read_packed_lists(spark, path, place=7)
+    assert values(one) == values(ev.where("loc_id = 7"))
+    assert len(one.inputFiles()) < len(listings.read_packed_lists(spark, path).inputFiles())
+    assert listings.read_packed_lists(spark, path, place=99).count() == 0
+
+
+def test_label_files_keep_their_order(spark):
+    path = fresh_path(spark, "t")
+    spark.range(50).repartitionByRange(4, "id").sortWithinPartitions("id").selectExpr("cast(id * 3 as string) AS value").write.text(path)
+    assert values(listings.read_labels(spark, path), "pos", "cluster") == [(i, 3 * i) for i in range(50)]
+
+
 def test_place_round_trip_and_stride(spark):
     places = spark.range(20).select(F.col("id").alias("loc_id"), (30 + F.col("id") * 0.5).alias("lat"), (-120 - F.col("id") * 1.25).alias("lon"))
     path = fresh_path(spark, "t")

@@ -114,6 +114,21 @@ def test_keep_first_follows_rank(rows):
     assert values(filters.keep_last(df, ["k"], "r"), "k", "r", "v") == [(1, 2, "b"), (2, 5, "c")]
 
 
+def test_an_absent_grid_row_does_not_move_the_axis(spark, rows):
+    df = rows("lat double, lon double", [(lat, lon) for lat in (30.0, 31.0, 31.5, 33.0) for lon in (0.0, 1 / 3, 5 / 3, 2.0)])
+    assert axes.axis_facts(df, "lat").first()[:] == (30.0, 0.5, 4, 3)
+    origin, step, n, missing = axes.axis_facts(df, "lon").first()
+    assert (origin, n, missing) == (0.0, 4, 3) and abs(step - 1 / 3) < 1e-9
+    one = axes.axis_registry(df.where("lat = 30")).orderBy("coord").collect()
+    assert one[0][:] == ("lat", 30.0, 0.0, 1, 0) and one[1]["n_missing"] == 3
+    assert axes.axis_facts(df.limit(0), "lat").first()[:] == (None, None, 0, 0)
+    # a window without the row of 32 degrees has the labels of the full grid
+    window = df.where("lon = 0").withColumn("centre_lat", F.lit(31.5)).withColumn("centre_lon", F.lit(1.0))
+    for known in (df, axes.axis_registry(df)):
+        got = axes.relative_positions(window, known, 1.5, 1.0).orderBy("lat").collect()
+        assert [r["rel_lat"] for r in got] == [-1.5, -0.5, 0.0, 1.5]
+
+
 def test_axis_facts(field):
     assert axes.axis_origin_and_step(field, "lon").first()[:] == (230.0, 0.5)
     assert axes.longitude_frame(field).first()[:] == (245.0, 180)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from conftest import values
 from gridevents.functions.geo import wrap_longitude
-from gridevents.operators import blocks, climate, cluster, consensus, events, grid, stats
+from gridevents.operators import blocks, climate, cluster, consensus, events, grid, moments, stats
 from gridevents.operators.features import Window, as_vectors, feature_arrays
 from gridevents.plans.clustering import cluster_vectors
 from gridevents.sources.cubes import clean, synthetic_cube
@@ -246,3 +246,27 @@ def test_many_groups_take_the_salted_way(spark, monkeypatch):
     monkeypatch.setattr(joins, "fits", lambda df: False)
     monkeypatch.setattr(joins, "ROWS_PER_SALT", 2)
     assert values(joins.with_group_stats(df, ["g"], {"m": F.avg("value")}, ["value"])) == want
+
+
+def test_merged_moments_are_those_of_the_whole(spark, rows):
+    df = spark.range(3000).select((F.col("id") % 3).alias("cell"), (F.col("id") % 7).alias("part"),
+                                  (F.lit(1e9) + F.rand(1)).alias("value")).withColumn("value", F.when(F.col("cell") < 2, F.col("value")))
+    got = moments.mean_and_std(moments.merged(moments.moments(df, ["part", "cell"]), ["cell"]))
+    want = df.groupBy("cell").agg(F.avg("value").alias("a"), F.stddev_pop("value").alias("s"))
+    for r in got.join(want, "cell").collect():
+        if r["cell"] == 2:
+            assert r["mean_value"] is None and r["std_value"] is None
+        else:  # small deviations of large values survive the merge
+            assert abs(r["mean_value"] - r["a"]) < 1e-6 and abs(r["std_value"] - r["s"]) < 1e-6 and r["std_value"] > 0.2
+
+
+def test_a_stored_year_is_replaced_and_others_stay(spark, rows):
+    from gridevents.session import fresh_path
+    from gridevents.sinks.tables import write_moments
+    field = rows("time timestamp_ntz, lat double, value double", [
+        ("2000-01-01", 1.0, 2.0), ("2000-02-01", 1.0, 4.0), ("2001-01-01", 1.0, 9.0), ("2001-01-01", 2.0, None)])
+    path = fresh_path(spark, "t")
+    for year in (2000, 2001, 2001):
+        write_moments(field.where(F.year("time") == year), path, ["lat"])
+    got = moments.merged(spark.read.parquet(path), ["lat"]).orderBy("lat").collect()
+    assert [tuple(r) for r in got] == [(1.0, 3, 5.0, 26.0), (2.0, 0, None, None)]
