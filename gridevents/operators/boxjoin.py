@@ -122,17 +122,20 @@ def _event_tiles(events: DataFrame, half_lat: float, half_lon: float, size: tupl
 
 
 def _join_many(cells: DataFrame, boxes: DataFrame, key: list[str], max_rows: int) -> DataFrame:
-    """Shuffled join of cells and boxes on (time, tile), splitting pairs with very many boxes."""
+    """Shuffled join of cells and boxes on (time, tile), splitting pairs with very many boxes.
+
+    Boxes are exploded rows of a small file: left to its estimate the planner would broadcast them all.
+    """
     parts = F.ceil(F.count(F.lit(1)) / F.lit(BOXES_PER_TASK)).cast("long")
     asked = boxes.groupBy(*key).agg(parts.alias("_parts"))
     n_keys, most = asked.agg(F.count(F.lit(1)), F.max("_parts")).first()
     spread = [c for c in cells.columns if c not in key]
     cells = (equi_join(cells, asked, key, hint=True) if n_keys <= max_rows
-             else salted_join(cells, asked, key, spread))
+             else salted_join(cells, asked, key, spread, shuffled=True))
     if most is None or most == 1:
-        return equi_join(cells.drop("_parts"), boxes, key)
+        return equi_join(cells.drop("_parts"), boxes, key, shuffled=True)
     cells = cells.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts")
     row = [c for c in boxes.columns if c not in key]
-    boxes = (equi_join(boxes, asked, key, hint=True) if n_keys <= max_rows else salted_join(boxes, asked, key, row))
+    boxes = (equi_join(boxes, asked, key, hint=True) if n_keys <= max_rows else salted_join(boxes, asked, key, row, shuffled=True))
     boxes = boxes.withColumn("_part", F.pmod(F.xxhash64(*row), F.col("_parts"))).drop("_parts")
-    return equi_join(cells, boxes, [*key, "_part"]).drop("_part")
+    return equi_join(cells, boxes, [*key, "_part"], shuffled=True).drop("_part")

@@ -36,4 +36,4 @@ def on_consensus(df: DataFrame, days: DataFrame, invert: bool = False) -> DataFr
     wanted = days.select("time").distinct()
     if fits(wanted):
         return equi_join(df, wanted, ["time"], how, hint=True)
-    return salted_join(df, wanted, ["time"], [c for c in df.columns if c != "time"], how)
+    return salted_join(df, wanted, ["time"], [c for c in df.columns if c != "time"], how, shuffled=True)

@@ -50,7 +50,7 @@ def synthetic_stamp(year: Column, ordinal: Column) -> Column:
 
 def with_labels(events: DataFrame, labels: DataFrame, key: Sequence[str] = ("event_id",)) -> DataFrame:
     """Events with their cluster, matched by key."""
-    return salted_join(events, labels, list(key), list(events.columns))
+    return salted_join(events, labels, list(key), list(events.columns), shuffled=True)
 
 
 def majority_tags(events: DataFrame) -> DataFrame:

@@ -47,25 +47,31 @@ def same(left: DataFrame, right: DataFrame, on: Sequence[str], prefix: str) -> C
 
 
 def equi_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner",
-              hint: bool = False) -> DataFrame:
-    """Join on keys (see ``NEVER_NULL`` for how NULL compares); the keys appear once."""
+              hint: bool = False, shuffled: bool = False) -> DataFrame:
+    """Join on keys (see ``NEVER_NULL`` for how NULL compares); the keys appear once.
+
+    ``hint`` broadcasts the right side.  ``shuffled`` keeps the planner from broadcasting one
+    by its own estimate, which is that of the stored file and knows nothing of exploded rows.
+    """
     prefix = "_r_"
     renamed = right.select([F.col(c).alias(prefix + c) if c in on else F.col(c) for c in right.columns])
-    joined = left.join(F.broadcast(renamed) if hint else renamed, same(left, renamed, on, prefix), how)
+    other = F.broadcast(renamed) if hint else renamed.hint("merge") if shuffled else renamed
+    joined = left.join(other, same(left, renamed, on, prefix), how)
     return joined if how in ("left_semi", "left_anti") else joined.drop(*[prefix + c for c in on])
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread: Sequence[str],
-                how: str = "inner", salts: int = SALTS) -> DataFrame:
+                how: str = "inner", salts: int = SALTS, shuffled: bool = False) -> DataFrame:
     """Equi-join whose hot keys are split into ``salts`` parts.
 
     ``spread`` names columns of ``big`` that vary inside a key; each row of
     ``small`` is repeated once per part, so every pair still meets exactly once.
+    ``shuffled`` is for a ``small`` that was counted to be too large for a broadcast.
     """
     big_side = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
     parts = F.array(*[F.lit(i).cast("long") for i in range(salts)])
     small_side = small.withColumn("_salt", F.explode(parts))
-    return equi_join(big_side, small_side, [*on, "_salt"], how).drop("_salt")
+    return equi_join(big_side, small_side, [*on, "_salt"], how, shuffled=shuffled).drop("_salt")
 
 
 def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread: Sequence[str],
@@ -73,7 +79,7 @@ def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread: Seq
     """Join with a side that is small as a rule: broadcast if counted so, else salted."""
     if fits(small, max_rows):
         return equi_join(big, small, on, how, hint=True)
-    return salted_join(big, small, on, spread, how)
+    return salted_join(big, small, on, spread, how, shuffled=True)
 
 
 def group_stats(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column]) -> DataFrame:
@@ -101,7 +107,7 @@ def with_group_stats(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Colu
     if fits(stats):
         return equi_join(df, stats, keys, hint=True)
     most = sized.agg(F.max("_rows")).first()[0]
-    return salted_join(df, stats, keys, spread, salts=max(SALTS, -(-most // ROWS_PER_SALT)))
+    return salted_join(df, stats, keys, spread, salts=max(SALTS, -(-most // ROWS_PER_SALT)), shuffled=True)
 
 
 def with_total_stats(df: DataFrame, aggs: Mapping[str, Column]) -> DataFrame:

@@ -114,7 +114,7 @@ def lagged_stamps(stamps: DataFrame, axis: DataFrame, lags: Sequence[int]) -> Da
     pos = clamp(F.col("idx") - F.col("lag"), F.lit(0), F.col("_size") - F.greatest(F.col("lag"), F.lit(1)))
     points = points.select("_scope", "time", "lag", pos.cast("long").alias("pos"))
     at = axis.select("_scope", "pos", F.col("time").alias("matched_time"))
-    return salted_join(points, at, ["_scope", "pos"], ["time"]).drop("pos")
+    return salted_join(points, at, ["_scope", "pos"], ["time"], shuffled=True).drop("pos")
 
 
 def _stamps(df: DataFrame, axis_scope: str) -> DataFrame:

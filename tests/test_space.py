@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import values
+from conftest import plan, values
 from gridevents.operators import axes, boxjoin, filters
 from gridevents.operators.joins import lookup_join, salted_join, with_group_stats, with_total_stats
 from gridevents.plans.composites import composite_native, composite_raw
@@ -67,6 +67,16 @@ def test_box_join_paths_agree(field, places, events, monkeypatch):
     assert values(few, *cols) == values(brute, *cols)
 
 
+def test_many_boxes_are_never_broadcast(spark, field, places, events):
+    """Tiles of boxes are exploded from a small file: its size must not decide."""
+    matched = events.join(places, "loc_id").select("algo", "loc_id", F.date_trunc("hour", "time").cast("timestamp_ntz").alias("matched_time"),
+                                                  F.col("lat").alias("centre_lat"), F.col("lon").alias("centre_lon"))
+    many = plan(boxjoin.join_event_boxes(field, matched, 2, 3, few=False), "simple")
+    assert many.count("SortMergeJoin") == 1 and many.count("BroadcastHashJoin") <= 1  # the cut to pairs in use
+    past = plan(lookup_join(spark.range(40), spark.range(10).withColumn("v", F.lit(1)), ["id"], ["id"], max_rows=5), "simple")
+    assert "SortMergeJoin" in past and "Broadcast" not in past
+
+
 def test_composite_labels(field, places, events):
     raw = composite_raw(field, events, places, 2, 3)
     assert raw.where("loc_id = 0").agg(F.max("rel_lat"), F.min("rel_lat"), F.max("rel_lon")).first()[:] == (2.0, -2.0, 3.0)
