@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from conftest import plan, values
 from gridevents.operators import axes, boxjoin, filters
 from gridevents.operators.joins import lookup_join, salted_join, with_group_stats, with_total_stats
-from gridevents.plans.composites import composite_native, composite_raw
+from gridevents.plans.composites import composite_native, composite_raw, composite_windows
 from gridevents.plans.detection import landfall_events
 
 
@@ -77,6 +77,18 @@ def test_many_boxes_are_never_broadcast(spark, field, places, events):
     assert "SortMergeJoin" in past and "Broadcast" not in past
 
 
+def test_many_windows_take_departures_from_the_cube(field, places, events):
+    """Windows of many events outnumber the cells: the climatology meets the cells, not the windows."""
+    matched = events.join(places, "loc_id").select("algo", "loc_id", "time", F.date_trunc("hour", "time").cast("timestamp_ntz").alias("matched_time"),
+                                                  F.col("lat").alias("centre_lat"), F.col("lon").alias("centre_lon"))
+    means = field.groupBy("variable", "level", "lat", "lon").agg(F.avg("value").alias("clim_value")).where("lat > 21")
+    few, many = (composite_windows(field, matched, 2, 3, climatology=means, few=choice) for choice in (True, False))
+    cols = ["algo", "loc_id", "event_time", "matched_time", "rel_lat", "rel_lon", "value"]
+    assert values(few, *cols) == values(many, *cols) != []
+    last = next(line for line in plan(many, "simple").splitlines() if "Join" in line)
+    assert "_ti" in last
+
+
 def test_composite_labels(field, places, events):
     raw = composite_raw(field, events, places, 2, 3)
     assert raw.where("loc_id = 0").agg(F.max("rel_lat"), F.min("rel_lat"), F.max("rel_lon")).first()[:] == (2.0, -2.0, 3.0)
