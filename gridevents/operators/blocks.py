@@ -11,6 +11,7 @@ from gridevents.operators.axes import axis_origin_and_step
 from gridevents.operators.joins import lookup_join, with_group_stats
 from gridevents.operators.ordering import axis_positions, running_totals
 from gridevents.operators.stats import block_of
+from gridevents.session import written
 
 #: Blocks of the first dimension that are numbered together.
 BLOCK_RUN = 4096
@@ -28,7 +29,8 @@ def with_chunks(field: DataFrame, sizes: Mapping[str, int], registry: DataFrame
     out = field
     for dim, size in sizes.items():
         if dim == "time":
-            axis = axis_positions(field)
+            # written: the field is read for its stamps once, not for every count of the axis
+            axis = written(axis_positions(written(field.select("time").distinct(), "stamps")), "axis")
             out = lookup_join(out, axis, ["time"], [c for c in field.columns if c != "time"])
         elif dim == "level":
             listed = field.agg(F.sort_array(F.collect_set("level"))).scalar()

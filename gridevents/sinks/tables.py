@@ -12,6 +12,7 @@ from gridevents.operators.blocks import chunk_table, with_chunks
 from gridevents.operators.consensus import marked
 from gridevents.operators.joins import lookup_join
 from gridevents.operators.moments import moments
+from gridevents.session import written
 
 
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str], max_rows: int = 0) -> None:
@@ -63,10 +64,12 @@ def write_chunks(field: DataFrame, path: str, sizes: Mapping[str, int], counter:
     """A cube in numbered blocks; numbers continue from ``counter``.
 
     Returns the manifest: number, stamp count, offset and stamp range per block.
+    The cube is read for its axes, the manifest and the blocks, so it is built once and
+    written; so is the manifest, which is counted and joined.
     """
     dims = list(sizes)
-    chunked = with_chunks(field, sizes)
-    manifest = chunk_table(chunked, dims, counter)
+    chunked = with_chunks(written(field, "cube"), sizes)
+    manifest = written(chunk_table(chunked, dims, counter), "manifest")
     keys = [f"chunk_{d}" for d in dims]
     numbered = lookup_join(chunked, manifest.select(*keys, "chunk_id"), keys, ["lat", "lon"]).drop(*keys)
     numbered.hint("rebalance", "chunk_id").write.mode("append").option("compression", "zstd") \

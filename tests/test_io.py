@@ -135,3 +135,21 @@ def test_first_file_wins(spark, rows):
     df = rows("variable string, time timestamp_ntz, level double, lat double, lon double, value double, source_rank string", [
         ("T", "2000-01-05", None, 30.0, 240.0, 2.0, "b.nc"), ("T", "2000-01-05", None, 30.0, 240.0, 1.0, "a.nc")])
     assert values(prepare_field(df, "T"), "value", "lon") == [(1.0, -120.0)]
+
+
+def test_a_derived_cube_is_built_once_for_its_blocks(spark, rows, tmp_path):
+    """Axis, manifest and blocks are read from one copy of the cube."""
+    built = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def seen(_):
+        built.add(1)
+        return True
+
+    df = rows("variable string, time timestamp_ntz, level double, lat double, lon double, value double",
+              [("T", f"2000-01-0{d} 00:00", 500.0, 0.0, 1.0, float(d)) for d in range(1, 9)])
+    path = str(tmp_path / "once")
+    manifest = tables.write_chunks(df.where(seen("value")), path, {"time": 3}, counter=2)
+    assert values(manifest, "chunk_id", "n_times", "offset") == [(2, 3, 0), (3, 3, 3), (4, 2, 6)]
+    assert values(spark.read.parquet(path), "chunk_id", "value") == [(2 + (d - 1) // 3, float(d)) for d in range(1, 9)]
+    assert built.value == 8
