@@ -9,6 +9,7 @@ from gridevents.catalog.joining import _COUNTS
 from gridevents.catalog.registry import query, r6, s6
 from gridevents.operators import climate, consensus, grid, stats
 from gridevents.plans import clustering, comparison, composites, detection, energies
+from gridevents.session import written
 from gridevents.sinks.listings import yearly_list_lines
 
 
@@ -95,24 +96,25 @@ def lagged_region(v):
     return out.select("algo", "loc_id", "event_time", "lag", "matched_time", "level", "lat", "lon", "value")
 
 
-def _native_windows(v):
-    """Positional windows of T and Q at 500 around the numbered daily events.
+def _native_windows(v, events):
+    """Positional windows of T and Q at 500 around the positioned events.
 
     The sample cube is sparse (about one cell per window), so the clustering
     queries scale in few blocks: small blocks would hold single values.
+    Its cells at 500 are built once: the windows and both axes of the grid are read from them.
     """
-    events = clustering.positioned_events(v.event_daily, unique=True).withColumnRenamed("time", "event_time")
-    field = composites.prepare_field(v.field.where(F.col("variable").isin("T", "Q")), levels=[500])
+    field = written(composites.prepare_field(v.field.where(F.col("variable").isin("T", "Q")), levels=[500]), "cells")
     matched = composites.with_centres(events, v.location).withColumn("time", F.col("event_time"))
-    matched = composites.asof_nearest(matched, v.axis).drop("time")
-    few = composites.few_boxes(v.event_daily)
+    matched = written(composites.asof_nearest(matched, v.axis).drop("time"), "matched")
+    few = composites.few_boxes(events)
     boxes = composites.join_event_boxes(field, matched, WINDOW.half_lat, WINDOW.half_lon, few=few)
     return composites.relative_positions(boxes, field.select("lat", "lon"), WINDOW.half_lat, WINDOW.half_lon)
 
 
 def _labelled_events(v, algorithm, splits):
-    events = clustering.positioned_events(v.event_daily, unique=True).withColumnRenamed("time", "event_time")
-    return clustering.cluster_events(_native_windows(v), algorithm, WINDOW, splits, "T", 500, "Q", 500, events=events)
+    positioned = clustering.positioned_events(written(v.event_daily, "events"), unique=True)
+    events = written(positioned.withColumnRenamed("time", "event_time"), "positioned")  # mapped, joined, and asked for at the end
+    return clustering.cluster_events(_native_windows(v, events), algorithm, WINDOW, splits, "T", 500, "Q", 500, events=events)
 
 
 @query("x09_cluster_events")

@@ -2,10 +2,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import plan, values
+from gridevents.catalog.analyses import _native_windows
+from gridevents.catalog.views import Views
 from gridevents.operators import axes, boxjoin, filters
 from gridevents.operators.joins import lookup_join, salted_join, with_group_stats, with_total_stats
+from gridevents.plans.clustering import positioned_events
 from gridevents.plans.composites import composite_native, composite_raw, composite_windows
 from gridevents.plans.detection import landfall_events
+from gridevents.session import written
 
 
 @pytest.fixture
@@ -156,3 +160,11 @@ def test_axis_facts(field):
     assert axes.longitude_frame(field).first()[:] == (245.0, 180)
     assert axes.axis_length(field).first()[0] == 6
     assert axes.at_positions(field, "lat", [0, 2]).select("lat").distinct().count() == 2
+
+
+def test_clustering_windows_read_the_cells_once(spark):
+    """Windows and grid axes come from stored cells and events, not from the large tables again."""
+    v = Views(spark, "/root/testdata/sf0.001")
+    events = written(positioned_events(v.event_daily, unique=True).withColumnRenamed("time", "event_time"), "positioned")
+    text = plan(_native_windows(v, events))
+    assert "lineitem" not in text and "orders" not in text
