@@ -32,6 +32,20 @@ LONG_WORD = 256
 END = 2
 
 
+#: A-Z folded, other white space that cuts words as a space; bytes of longer code points stay.
+FOLD = bytes(32 if b in b"\n\r\t" else b for b in bytes(range(256)).lower())
+
+
+class Codes(dict):
+    """Codes of words.  A word not known yet is noted in ``fresh`` and gets a negative number for the time being."""
+
+    def __init__(self):
+        self.fresh: dict[str, int] = {}
+
+    def __missing__(self, word: str) -> int:
+        return self.fresh.setdefault(word, -1 - len(self.fresh))
+
+
 class WordIds:
     """Ids of whole texts through a bounded memory of words.
 
@@ -58,7 +72,7 @@ class WordIds:
         self.word_end[ends] = True
 
     def clear(self) -> None:
-        self.codes: dict[str, int] = {}
+        self.codes = Codes()
         self.flat, self.used = np.zeros(1 << 20, np.int32), 0
         self.start, self.length, self.uses = (np.zeros(1 << 18, np.int64) for _ in range(3))
         self.letters = 0
@@ -126,19 +140,21 @@ class WordIds:
     def _words(self, text: str) -> list[str]:
         if any(token in text for token in self.special):
             return list(chain.from_iterable([" " + part] if part in self.special else self._words(part) for part in self.cut.split(text)))
-        return (text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-                .replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" "))
+        return text.encode("utf-8", "surrogatepass").translate(FOLD).decode("utf-8", "surrogatepass").split(" ")
 
     def encode(self, column: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by ``END``; bounds of the texts)."""
         if len(self.codes) > self.limit or self.letters > self.limit * LONG_WORD // 8:
             self._forget()
         split = [self._words(t) for t in column]
-        fresh = set().union(*split) - self.codes.keys()
-        if fresh:
-            self._learn(fresh)
         get = self.codes.__getitem__
         codes = np.fromiter(map(get, chain.from_iterable(split)), np.int64, sum(map(len, split)))
+        if self.codes.fresh:  # each word is looked up once; only the places of new ones are filled in afterwards
+            fresh, self.codes.fresh = self.codes.fresh, {}
+            self._learn(set(fresh))
+            learnt = np.array([self.codes[word] for word in fresh], np.int64)
+            new = np.flatnonzero(codes < 0)
+            codes[new] = learnt[-1 - codes[new]]
         self.uses += np.bincount(codes, minlength=len(self.uses))
         flat, length = self._gather(codes)
         # each text's ids, then the end id

@@ -2,9 +2,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 from hypothesis import given, settings, strategies as st
 
+from gridevents.llm import packing
 from gridevents.llm.packing import Bins, WordIds, first_fit_decreasing, pack, sequences
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -94,3 +96,16 @@ def test_copies_of_one_row_fall_into_several_groups(spark):
     assert len(packed) == 6098
     per_group = Counter(r["sequence_id"] >> 32 for r in packed)
     assert len(per_group) > 4 and max(per_group.values()) < 3000
+
+
+def test_new_words_are_numbered_in_the_one_pass_over_all_words():
+    """New words take numbers for the time being while known ones are looked up; none is left over."""
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids, library = packing.WordIds(path), Tokenizer.from_file(path)
+    assert ids.codes["unseen"] == -1 and ids.codes["another"] == -2 and ids.codes["unseen"] == -1
+    for column in (["One two, one.\tTWO\r\nthree", ""], ["three new. two new, NEW Äß one", "two"]):
+        flat, first = ids.encode(column)
+        assert not ids.codes.fresh and min(ids.codes.values()) >= 0
+        got = [flat[a:b].tolist() for a, b in zip(first[:-1], first[1:])]
+        assert got == [library.encode(t, add_special_tokens=False).ids + [packing.END] for t in column]
