@@ -134,7 +134,8 @@ def top_k(vectors: DataFrame, queries, k: int = 5, scale: float = 256.0, key: st
                                        pa.array([int(s) for o in out for s in o[2]], pa.int64())],
                                       ["query_id", "vec_id", "score"])
 
-    found = (block.join(shard, "shard").select("shard_rows", "block_rows")
+    # blocks are repeated for every shard: the planner's estimate knows nothing of it and would broadcast them through the driver
+    found = (block.join(shard.hint("merge"), "shard").select("shard_rows", "block_rows")
                   .mapInArrow(search, "query_id long, vec_id long, score long").distinct())
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -3,6 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from conftest import plan
 from gridevents.llm import maxscore
 from gridevents.llm.maxscore import top_k
 
@@ -54,3 +55,12 @@ def test_large_components_stay_exact(spark):
 
 def test_components_beyond_32_bits_take_part(spark):
     check(spark, [(i, [R.uniform(-1, 1) for _ in range(4)]) for i in range(20)] + [(25, [1e7, -3.5, 2.0, 1.0]), (31, [-9e6, 1e8, 0.25, 4.0])])
+
+
+def test_blocks_are_never_broadcast(spark, monkeypatch):
+    """Blocks of queries are repeated for every shard: the size of the few queries must not decide."""
+    monkeypatch.setattr(maxscore, "SHARD_ROWS", 50)
+    frame = spark.range(400).select(F.col("id").alias("vec_id"), F.array(F.col("id") % 7 - 3.0, F.col("id") % 5 - 2.0).alias("embedding"))
+    got = top_k(frame, F.col("vec_id") % 50 == 0)
+    assert "SortMergeJoin" in plan(got, "simple")
+    assert got.count() == 8 * 5 and "BroadcastExchange" not in plan(got, "simple")
