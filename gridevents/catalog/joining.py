@@ -83,6 +83,7 @@ SELECT e.event_id, f.variable, f.level, f.lat, f.lon, f.value FROM event_pt e JO
 WHERE f.variable='T' AND f.lat BETWEEN e.lat-2 AND e.lat+2
   AND f.lon BETWEEN (e.lon+180)%360-180-4 AND (e.lon+180)%360-180+4""")
 def box_join(v):
+    v = v.built()  # for the count of cells and the join
     field = canonical_longitude(v.field.where("variable = 'T'"))
     points = canonical_longitude(v.event_pt).select(
         "event_id", F.col("time").alias("matched_time"), F.col("lat").alias("centre_lat"), F.col("lon").alias("centre_lon"))

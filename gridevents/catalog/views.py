@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gridevents.functions.times import hour_key
 from gridevents.operators.filters import keep_first
 from gridevents.operators.ordering import axis_positions, strided
-from gridevents.session import fresh_path
+from gridevents.session import fresh_path, written
 from gridevents.sinks.tables import write_cube
 
 
@@ -29,6 +29,12 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def built(self) -> Views:
+        """The same views over cells that are built once and written, for queries that read the cube several times."""
+        views = Views(self.spark, self.folder)
+        views.cell = written(self.cell, "cells")
+        return views
+
     @cached_property
     def cell(self) -> DataFrame:
         levels = F.array(*[F.lit(v) for v in (250.0, 300.0, 500.0, 700.0, 850.0, 925.0)])

@@ -15,6 +15,8 @@ from gridevents.session import written
 
 #: Boxes on one (time, tile) that one task serves before the tile is split.
 BOXES_PER_TASK = 10_000
+#: Stamps at which boxes and cells are counted.
+COUNTED_STAMPS = 32
 
 
 def box_tiles(boxes: DataFrame, size: tuple[float, float]) -> DataFrame:
@@ -74,7 +76,8 @@ def few_boxes(events: DataFrame, per_event: int = 1, max_rows: int = BROADCAST_R
 
 
 def join_event_boxes(field: DataFrame, events: DataFrame, half_lat: float, half_lon: float,
-                     few: bool | None = None, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+                     few: bool | None = None, max_rows: int = BROADCAST_ROWS, stored: bool = False,
+                     plain: DataFrame | None = None) -> DataFrame:
     """Field cells at each event's ``matched_time`` inside the box around its centre.
 
     ``events`` carries ``matched_time``, ``centre_lat``, ``centre_lon``.  The
@@ -84,7 +87,12 @@ def join_event_boxes(field: DataFrame, events: DataFrame, half_lat: float, half_
 
     * Few events (counted): their tiles are broadcast and the field is not
       shuffled at all.
-    * Many events: they are written out once, as they are read several times.
+    * Many events: they are written out once, as they are read several times (not
+      again if they are ``stored``).  Either each box is put on the tiles it touches,
+      or, where boxes outnumber cells, on the tile of its centre only, and each cell
+      on the tiles of the centres it can belong to: the side with fewer rows is
+      repeated, as all that is shuffled stays on disk until the query ends.
+      ``plain`` may name a plainer frame of the same cells, to be counted.
       The field is cut to the (time, tile) pairs in use.  A pair that many boxes
       ask for is split: its boxes are dealt out to parts and its cells are
       repeated per part, so that no task serves a hot stamp alone.  All other
@@ -95,13 +103,19 @@ def join_event_boxes(field: DataFrame, events: DataFrame, half_lat: float, half_
     """
     size = tile_size(half_lat, half_lon)
     key = ["_t", "_ti", "_tj"]
-    cells = cell_tiles(months_in_use(field, events), size).withColumnRenamed("time", "_t")
+    cells = months_in_use(field, events).withColumnRenamed("time", "_t")
     if few if few is not None else few_boxes(events, max_rows=max_rows):
-        joined = equi_join(cells, _event_tiles(events, half_lat, half_lon, size), key, hint=True)
+        joined = equi_join(cell_tiles(cells, size), _event_tiles(events, half_lat, half_lon, size), key, hint=True)
     else:
-        boxes = _event_tiles(written(events, "matched"), half_lat, half_lon, size)
+        events = events if stored else written(events, "matched")
+        if boxes_outnumber(field if plain is None else plain, events):
+            cells = _reached_tiles(cells, half_lat, half_lon, size)
+            boxes = events.withColumnRenamed("matched_time", "_t").withColumns(
+                {"_ti": tile(F.col("centre_lat"), size[0]), "_tj": tile(F.col("centre_lon"), size[1])})
+        else:
+            cells, boxes = cell_tiles(cells, size), _event_tiles(events, half_lat, half_lon, size)
         joined = _join_many(cells, boxes, key, max_rows)
-    return joined.where(_inside()).withColumnRenamed("_t", "matched_time").drop(*_HELPERS)
+    return centred_boxes(joined, half_lat, half_lon).where(_inside()).withColumnRenamed("_t", "matched_time").drop(*_HELPERS)
 
 
 def months_in_use(field: DataFrame, events: DataFrame) -> DataFrame:
@@ -118,24 +132,52 @@ def months_in_use(field: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def _event_tiles(events: DataFrame, half_lat: float, half_lon: float, size: tuple[float, float]) -> DataFrame:
-    return box_tiles(centred_boxes(events, half_lat, half_lon), size).withColumnRenamed("matched_time", "_t")
+    """One row per event and tile its box touches; the edges are left out, as the centre gives them."""
+    tiled = box_tiles(centred_boxes(events, half_lat, half_lon), size).drop("lat_lo", "lat_hi", "lon_lo", "lon_hi")
+    return tiled.withColumnRenamed("matched_time", "_t")
+
+
+def _reached_tiles(cells: DataFrame, half_lat: float, half_lon: float, size: tuple[float, float]) -> DataFrame:
+    """One row per cell and tile in which the centre of a box that holds it can lie."""
+    edge = 1e-9  # the box test rounds differently; the exact test follows
+    return (cells
+            .withColumn("_ti", F.explode(tiles_covering(F.col("lat") - (half_lat + edge), F.col("lat") + (half_lat + edge), size[0])))
+            .withColumn("_tj", F.explode(tiles_covering(F.col("lon") - (half_lon + edge), F.col("lon") + (half_lon + edge), size[1]))))
+
+
+def boxes_outnumber(field: DataFrame, events: DataFrame, stamps: int = COUNTED_STAMPS) -> bool:
+    """True when events have more boxes than the field has cells, counted at some of their stamps.
+
+    It chooses the side that is repeated for tiles; the rows of the join are the same either way.
+    """
+    some = events.select("matched_time").distinct().orderBy(F.xxhash64("matched_time"), "matched_time").limit(stamps)
+    some = some.agg(F.collect_list("matched_time")).scalar()
+    at_some = events.where(F.array_contains(some, F.col("matched_time")))
+    return at_some.count() > field.where(F.array_contains(some, F.col("time"))).count()
 
 
 def _join_many(cells: DataFrame, boxes: DataFrame, key: list[str], max_rows: int) -> DataFrame:
     """Shuffled join of cells and boxes on (time, tile), splitting pairs with very many boxes.
 
     Boxes are exploded rows of a small file: left to its estimate the planner would broadcast them all.
+    Cells are cut to the pairs in use where these fit a broadcast; a shuffle for that would move them twice.
     """
     parts = F.ceil(F.count(F.lit(1)) / F.lit(BOXES_PER_TASK)).cast("long")
     asked = boxes.groupBy(*key).agg(parts.alias("_parts"))
-    n_keys, most = asked.agg(F.count(F.lit(1)), F.max("_parts")).first()
-    spread = [c for c in cells.columns if c not in key]
-    cells = (equi_join(cells, asked, key, hint=True) if n_keys <= max_rows
-             else salted_join(cells, asked, key, spread, shuffled=True))
-    if most is None or most == 1:
-        return equi_join(cells.drop("_parts"), boxes, key, shuffled=True)
+    n_keys, n_split = asked.agg(F.count(F.lit(1)), F.count_if(F.col("_parts") > 1)).first()
+    if n_keys <= max_rows:
+        cells = equi_join(cells, asked.select(*key), key, hint=True)
+    if not n_split:
+        return equi_join(cells, boxes, key, shuffled=True)
+    split = asked.where("_parts > 1")
+
+    def counted(df: DataFrame, spread: list[str]) -> DataFrame:
+        found = (equi_join(df, split, key, "left", hint=True) if n_split <= max_rows
+                 else salted_join(df, split, key, spread, "left", shuffled=True))
+        return found.withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+
+    cells = counted(cells, [c for c in cells.columns if c not in key])
     cells = cells.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts")
     row = [c for c in boxes.columns if c not in key]
-    boxes = (equi_join(boxes, asked, key, hint=True) if n_keys <= max_rows else salted_join(boxes, asked, key, row, shuffled=True))
-    boxes = boxes.withColumn("_part", F.pmod(F.xxhash64(*row), F.col("_parts"))).drop("_parts")
+    boxes = counted(boxes, row).withColumn("_part", F.pmod(F.xxhash64(*row), F.col("_parts"))).drop("_parts")
     return equi_join(cells, boxes, [*key, "_part"], shuffled=True).drop("_part")

@@ -72,7 +72,8 @@ def composite_windows(field: DataFrame, matched: DataFrame, half_lat: float, hal
     """The window of ``field`` around every matched event, with relative coordinates.
 
     ``matched`` has ``matched_time``, ``centre_lat``, ``centre_lon``; its other
-    columns are carried through (the event stamp as ``event_time``).
+    columns are carried through (the event stamp as ``event_time``).  It is a written
+    table, as it is read several times.
 
     A climatology is subtracted from the windows of few events.  Many events share cells, and
     their windows hold far more rows than the cube: there it is subtracted from the cells of the
@@ -81,11 +82,11 @@ def composite_windows(field: DataFrame, matched: DataFrame, half_lat: float, hal
     events = matched.withColumnRenamed("time", "event_time")
     few = few_boxes(events) if few is None else few
     if climatology is None:
-        window = join_event_boxes(field, events, half_lat, half_lon, few=few)
+        window = join_event_boxes(field, events, half_lat, half_lon, few=few, stored=True)
     elif few:
         window = _departures(join_event_boxes(field, events, half_lat, half_lon, few=True), climatology)
     else:
-        window = join_event_boxes(_departures(field, climatology), events, half_lat, half_lon, few=False)
+        window = join_event_boxes(_departures(field, climatology), events, half_lat, half_lon, few=False, stored=True, plain=field)
     return _labelled(window, field, labels, half_lat, half_lon, resolution)
 
 

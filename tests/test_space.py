@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import plan, values
+from gridevents import catalog
 from gridevents.catalog.analyses import _native_windows
 from gridevents.catalog.views import Views
 from gridevents.operators import axes, boxjoin, filters
@@ -81,6 +82,30 @@ def test_many_boxes_are_never_broadcast(spark, field, places, events):
     assert "SortMergeJoin" in past and "Broadcast" not in past
 
 
+def test_boxes_that_outnumber_cells_are_shuffled_once(spark, monkeypatch):
+    """Cells are repeated for the tiles, boxes are not; edges are hit exactly, up to rounding."""
+    stamp = F.timestamp_add("HOUR", (F.col("id") % 3).cast("int"), F.expr("timestamp_ntz'2000-01-01'"))
+    cells = spark.range(120).select(stamp.alias("time"), (F.col("id") % 10 * 0.1 - 0.5).alias("lat"), (F.col("id") % 12 * 0.1 - 0.6).alias("lon"),
+                                    F.col("id").cast("double").alias("value"))
+    boxes = spark.range(900).select("id", stamp.alias("matched_time"), (F.col("id") * 7 % 23 * 0.1 - 1.1).alias("centre_lat"),
+                                    (F.col("id") * 5 % 29 * 0.1 - 1.4).alias("centre_lon"))
+    cols = ["id", "matched_time", "lat", "lon", "value"]
+    brute = cells.withColumnRenamed("time", "matched_time").join(boxes, "matched_time").where(
+        "lat BETWEEN centre_lat - 0.3D AND centre_lat + 0.3D AND lon BETWEEN centre_lon - 0.6D AND centre_lon + 0.6D")
+    wanted = values(brute, *cols)
+    assert boxjoin.boxes_outnumber(cells, boxes) and not boxjoin.boxes_outnumber(cells, boxes.where("id < 60"))
+    many = boxjoin.join_event_boxes(cells, boxes, 0.3, 0.6, few=False)
+    right = plan(many, "simple").split("SortMergeJoin")[1].split("\n      +- ")[1]
+    assert "id#" in right and "explode" not in right
+    assert values(many, *cols) == wanted != []
+    monkeypatch.setattr(boxjoin, "BOXES_PER_TASK", 3)
+    for most in (1, 100, 10_000):
+        assert values(boxjoin.join_event_boxes(cells, boxes, 0.3, 0.6, few=False, max_rows=most), *cols) == wanted
+    monkeypatch.setattr(boxjoin, "boxes_outnumber", lambda *_: False)
+    for most in (1, 100, 10_000):
+        assert values(boxjoin.join_event_boxes(cells, boxes, 0.3, 0.6, few=False, max_rows=most), *cols) == wanted
+
+
 def test_many_windows_take_departures_from_the_cube(field, places, events):
     """Windows of many events outnumber the cells: the climatology meets the cells, not the windows."""
     matched = events.join(places, "loc_id").select("algo", "loc_id", "time", F.date_trunc("hour", "time").cast("timestamp_ntz").alias("matched_time"),
@@ -168,3 +193,13 @@ def test_clustering_windows_read_the_cells_once(spark):
     events = written(positioned_events(v.event_daily, unique=True).withColumnRenamed("time", "event_time"), "positioned")
     text = plan(_native_windows(v, events))
     assert "lineitem" not in text and "orders" not in text
+
+
+def test_box_queries_read_the_cells_once(spark, field, places, events, monkeypatch):
+    """Cells are built and written before they are counted, averaged and joined; matched events are not written again."""
+    for name in ("j03_box_join",):
+        assert "lineitem" not in plan(catalog.queries()[name](spark, "/root/testdata/sf0.001"))
+    matched = events.join(places, "loc_id").select("algo", "loc_id", "time", F.date_trunc("hour", "time").cast("timestamp_ntz").alias("matched_time"),
+                                                  F.col("lat").alias("centre_lat"), F.col("lon").alias("centre_lon"))
+    monkeypatch.setattr(boxjoin, "written", None)
+    assert composite_windows(field, matched, 2, 3, few=False).count() == composite_windows(field, matched, 2, 3, few=True).count()
