@@ -197,7 +197,7 @@ def test_clustering_windows_read_the_cells_once(spark):
 
 def test_box_queries_read_the_cells_once(spark, field, places, events, monkeypatch):
     """Cells are built and written before they are counted, averaged and joined; matched events are not written again."""
-    for name in ("j03_box_join",):
+    for name in ("x07_composite_lagged_points", "j03_box_join"):
         assert "lineitem" not in plan(catalog.queries()[name](spark, "/root/testdata/sf0.001"))
     matched = events.join(places, "loc_id").select("algo", "loc_id", "time", F.date_trunc("hour", "time").cast("timestamp_ntz").alias("matched_time"),
                                                   F.col("lat").alias("centre_lat"), F.col("lon").alias("centre_lon"))
