@@ -94,6 +94,8 @@ def test_boxes_that_outnumber_cells_are_shuffled_once(spark, monkeypatch):
         "lat BETWEEN centre_lat - 0.3D AND centre_lat + 0.3D AND lon BETWEEN centre_lon - 0.6D AND centre_lon + 0.6D")
     wanted = values(brute, *cols)
     assert boxjoin.boxes_outnumber(cells, boxes) and not boxjoin.boxes_outnumber(cells, boxes.where("id < 60"))
+    dated = cells.withColumns({"year": F.year("time"), "month": F.month("time")})
+    assert boxjoin.boxes_outnumber(dated, boxes) and values(boxjoin.join_event_boxes(dated, boxes, 0.3, 0.6, few=False), *cols) == wanted
     many = boxjoin.join_event_boxes(cells, boxes, 0.3, 0.6, few=False)
     first, second = plan(many, "simple").split("SortMergeJoin")[1].split("\n      +- ")
     assert "explode" not in first and "explode" in second  # the merge holds rows of the second side
